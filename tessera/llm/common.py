@@ -63,6 +63,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with `value` computed once. A plain column alias may be inlined at each of its uses, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

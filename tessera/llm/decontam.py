@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import let, stored
 
 WORDS = 5
 #: Sketch rows up to which they are broadcast: 16 bytes each. More are joined by shuffling.
@@ -63,12 +63,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
     fits = seen["n"] <= BROADCAST_ROWS
     small = F.broadcast if fits else (lambda df: df)
     named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    hashes = named.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", _over(F.col("w"), _hash).alias("hs"))
-    probes = hashes.select("doc_id", F.explode("hs").alias("h")).where(F.col("h") <= F.lit(seen["top"] if seen["top"] is not None else -(2**63)))
+    # the outer form of explode: the other one asks for non-empty arrays in a filter that computes them once more
+    hashes = named.select("doc_id", F.explode_outer(let(words(F.col("text")), lambda w: _over(w, _hash))).alias("h"))
+    probes = hashes.where(F.col("h") <= F.lit(seen["top"] if seen["top"] is not None else -(2**63)))
     found = stored(probes.join(small(bottom), "h").select("doc_id", "item_id").distinct())
     held = found.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))  # no more than there are items
     texts = items.select("item_id", F.array_distinct(_over(F.col("w"), _text)).alias("of_item"))
-    there = named.join(held, "doc_id").select("doc_id", "items", words(F.col("text")).alias("w")).select("doc_id", "items", F.array_distinct(_over(F.col("w"), _text)).alias("of_doc"))
+    there = named.join(held, "doc_id").select("doc_id", "items", F.array_distinct(let(words(F.col("text")), lambda w: _over(w, _text))).alias("of_doc"))
     pairs = there.select("doc_id", "of_doc", F.explode("items").alias("item_id")).join(small(texts), "item_id")
     counted = pairs.select("doc_id", "item_id", F.size(F.array_intersect("of_item", "of_doc")).cast("bigint").alias("n_shared"), F.size("of_item").cast("bigint").alias("n_item"))
     best = counted.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item")).groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n_shared") / F.col("n_item"), "n_shared", "n_item")).alias("b"))
@@ -81,12 +82,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
 
 
 LEAKS_SQL = """
-WITH i AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
-d AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
-si AS (SELECT item_id, len(w) AS n, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), k -> list_aggregate(w[k:k + 4], 'string_agg', ' ')) WHEN len(w) > 0 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE [] END) AS s FROM i),
-sd AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), k -> list_aggregate(w[k:k + 4], 'string_agg', ' ')) WHEN len(w) > 0 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE [] END) AS s FROM d),
-ui AS (SELECT DISTINCT item_id, s FROM si), ud AS (SELECT DISTINCT doc_id, s FROM sd),
-n AS (SELECT item_id, count(*) AS n_item FROM ui GROUP BY item_id)
-SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
-FROM ud JOIN ui USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_item)
+WITH t AS (SELECT 'i' AS side, item_id AS id, text FROM benchmark UNION ALL SELECT 'd', doc_id, text FROM documents),
+w AS (SELECT DISTINCT side, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM t WHERE id IS NOT NULL),
+r AS (SELECT row_number() OVER () AS r, side, id, w FROM w WHERE len(w) > 0),
+u AS (SELECT r, side, id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM r),
+g AS (SELECT r, side, id, n, k, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS s FROM u WINDOW o AS (PARTITION BY r ORDER BY k)),
+s AS (SELECT DISTINCT r, side, id, s FROM g WHERE k <= greatest(n - 4, 1)),
+n AS (SELECT r, count(*) AS n_item FROM s WHERE side = 'i' GROUP BY r),
+p AS (SELECT d.r AS dr, d.id AS doc_id, i.id AS item_id, n_item, count(*) AS n_shared FROM s d JOIN s i ON d.s = i.s JOIN n ON n.r = i.r WHERE d.side = 'd' AND i.side = 'i' GROUP BY d.r, i.r, d.id, i.id, n_item HAVING count(*) >= 0.8 * n_item)
+SELECT doc_id, item_id, arg_max(n_shared, (n_shared / n_item, n_shared)) AS n_shared, arg_max(n_item, (n_shared / n_item, n_shared)) AS n_item, max(n_shared / n_item) AS containment FROM p GROUP BY doc_id, item_id
 """
