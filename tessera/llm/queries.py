@@ -6,14 +6,22 @@ Each query applies one operator, with production parameters, to its whole table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontam, pii, simhash
+from tessera.llm import bpe, decontam, pii, sharding, simhash, topk
 from tessera.llm.common import table
 
 #: The key of the pseudonyms in the queries. A deployment passes its own secret.
 DEMO_KEY = "tessera-demo-key"
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the BPE queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment: test items that a document holds at 0.8 or more."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -24,15 +32,33 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY, count="n_replaced")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the decoded text."""
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id over links of two differing bits or fewer."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each document in 16 shards of near-equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 5 best for every vector whose id is divisible by 50."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_pseudonyms": op3_pseudonyms,
+    "op4_bpe": op4_bpe,
     "op6_simhash": op6_simhash,
+    "op7_sharding": op7_sharding,
+    "op8_topk": op8_topk,
 }
 
-ORACLES = {"op2_decontamination": decontam.LEAKS_SQL}
+ORACLES = {"op2_decontamination": decontam.LEAKS_SQL, "op8_topk": topk.TOPK_SQL}
