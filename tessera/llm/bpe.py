@@ -12,11 +12,11 @@ their parts become rows, encoded in parallel by other tasks, and one task a text
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,10 +27,9 @@ from tessera.llm.common import python_ready, stored
 #: Characters of an unsplit run from which on a text's parts are dealt out.
 LONG = 1 << 16
 #: Symbols of a part of a long word, and tokens on each side of the first window.
-PART, WINDOW = 1 << 10, 4
+PART, WINDOW = 128, 4
 #: Words that a worker remembers.
-MEMORY = 200_000
-SPACE = r"[\t-\r \x85\xa0  -     　]+"
+MEMORY = 400_000
 
 
 def _byte_chars() -> list[str]:
@@ -42,131 +41,117 @@ def _byte_chars() -> list[str]:
 
 
 class Vocabulary:
-    """A word-level BPE file of the tokenizers library: NFC, white space as one space, lower case, a split pattern,
-    bytes as characters, merges with a suffix at word ends."""
+    """A word-level BPE file of the tokenizers library: NFC, white space dropped, lower case, a split pattern, bytes as
+    characters, merges with a suffix at word ends.
+
+    Within, a token is one character and an encoding a string, so that a merge is one replacement: below 256 a byte,
+    from 256 one that ends a word, from 512 the result of the merge of that rank, after these the special tokens.
+    """
 
     def __init__(self, path: str) -> None:
+        import re
+
+        import numpy as np
         import regex
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
-        ids: dict[str, int] = model["vocab"]
-        self.suffix = model["end_of_word_suffix"]
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in [*ids.items(), *self.special.items()]}
+        ids: dict[str, int] = spec["model"]["vocab"]
+        suffix, merges = spec["model"]["end_of_word_suffix"], spec["model"]["merges"]
         chars = _byte_chars()
-        self.inner = [ids[c] for c in chars]
-        self.final = [ids[c + self.suffix] for c in chars]
-        self.ranks: dict[int, int] = {}
-        self.made: list[int] = []
-        self.parts: dict[int, tuple[int, ...]] = {i: (i,) for i in [*self.inner, *self.final]}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.ranks.setdefault(ids[a] << 20 | ids[b], rank)
-            self.made.append(ids[a + b])
-            self.parts[ids[a + b]] = self.parts[ids[a]] + self.parts[ids[b]]
+        codes = {c + end: chr(at + b) for at, end in ((0, ""), (256, suffix)) for b, c in enumerate(chars)}
+        strings = [*codes]
+        self.ranks: dict[str, int] = {}
+        self.pairs: list[str] = []
+        self.parts = {c: c for c in codes.values()}
+        for rank, (a, b) in enumerate(merges):
+            pair, made = codes[a] + codes[b], chr(512 + rank)
+            self.ranks.setdefault(pair, rank)
+            self.pairs.append(pair)
+            self.parts[made] = self.parts[codes[a]] + self.parts[codes[b]]
+            codes.setdefault(a + b, made)
+            strings.append(a + b)
+        self.special = {t["content"]: chr(512 + len(merges) + i) for i, t in enumerate(spec["added_tokens"])}
+        self.ids = np.array([*(ids[x] for x in strings), *(t["id"] for t in spec["added_tokens"])], np.int32)
+        self.tokens = np.empty(self.ids.max() + 1, object)
+        self.tokens[self.ids] = [*strings, *self.special]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern).findall
-        self.space = regex.compile(SPACE).sub
+        plain = pattern.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}\p{N}", "a-z0-9")
+        self.split_ascii = re.compile(plain, re.ASCII).findall  # the same for lower-case ASCII, and faster
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")").split
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, str] = {}
 
-    def symbols(self, word: str) -> list[int]:
+    def symbols(self, word: str) -> str:
         data = word.encode("utf-8", "replace")
-        return [*map(self.inner.__getitem__, data[:-1]), self.final[data[-1]]]
+        return data[:-1].decode("latin-1") + chr(256 + data[-1])
 
-    def merge(self, s: list[int]) -> list[int]:
+    def merge(self, s: str) -> str:
         """The encoding of some symbols, by merging the pair of lowest rank again and again."""
-        if len(s) > 48:
-            return self._merge_many(s)
-        get, none = self.ranks.get, 1 << 30
+        get = self.ranks.get
         while len(s) > 1:
-            ranks = [get(a << 20 | b, none) for a, b in zip(s, s[1:])]  # noqa: B905
-            rank = min(ranks)
-            if rank == none:
+            ranks = [r for p in map(add, s, s[1:]) if (r := get(p)) is not None]
+            if not ranks:
                 break
-            new, out, i, n = self.made[rank], [], 0, len(s)
-            while i < n:
-                if i < n - 1 and ranks[i] == rank:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(s[i])
-                    i += 1
-            s = out
+            rank = min(ranks)
+            s = s.replace(self.pairs[rank], chr(512 + rank))
         return s
 
-    def _merge_many(self, s: list[int]) -> list[int]:
-        """As merge(), with a queue of pairs over a linked list."""
-        s, n = list(s), len(s)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        get = self.ranks.get
-        heap = [(r, i, s[i], s[i + 1]) for i in range(n - 1) if (r := get(s[i] << 20 | s[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if s[i] != a or j < 0 or s[j] != b:
-                continue
-            s[i], s[j] = self.made[rank], -1
-            after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-                if (r := get(s[i] << 20 | s[k])) is not None:
-                    heapq.heappush(heap, (r, i, s[i], s[k]))
-            h = before[i]
-            if h >= 0 and (r := get(s[h] << 20 | s[i])) is not None:
-                heapq.heappush(heap, (r, h, s[h], s[i]))
-        return [x for x in s if x >= 0]
-
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: str, right: str) -> str:
         """The encoding of what two encodings stand for together."""
         k = WINDOW
         while True:
             a, b = left[-k:], right[:k]
-            w = self.merge([x for t in (*a, *b) for x in self.parts[t]])
+            w = self.merge("".join(map(self.parts.__getitem__, a + b)))
             if (k >= len(left) or w[0] == a[0]) and (k >= len(right) or w[-1] == b[-1]):
-                return [*left[:-k], *w, *right[k:]]
+                return left[:-k] + w + right[k:]
             k *= 2
 
-    def joined(self, encodings: list[list[int]]) -> list[int]:
+    def joined(self, encodings: list[str]) -> str:
         """Of the encodings of a word's parts, joined as a tree."""
         while len(encodings) > 1:
             pairs = [self.join(a, b) for a, b in zip(encodings[::2], encodings[1::2])]  # noqa: B905
             encodings = pairs + encodings[len(encodings) - len(encodings) % 2 :]
         return encodings[0]
 
-    def word(self, word: str) -> list[int]:
+    def halves(self, symbols: str) -> list[str]:
+        """The parts that halving gives, all of PART symbols at most."""
+        n = 1
+        while -(-len(symbols) // n) > PART:
+            n *= 2
+        size = -(-len(symbols) // n)
+        return [symbols[i : i + size] for i in range(0, len(symbols), size)]
+
+    def word(self, word: str) -> str:
+        if word in self.special.values():
+            return word
         s = self.symbols(word)
-        return self.merge(s) if len(s) <= PART else self.joined([self.merge(s[i : i + PART]) for i in range(0, len(s), PART)])
-
-    def normal(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a capital sigma is lowered without its context
-        return self.space(" ", text).lower()
+        return self.merge(s) if len(s) <= PART else self.joined([*map(self.merge, self.halves(s))])
 
-    def words(self, text: str) -> Iterator[str | int]:
-        """The words of a text, and the ids of the special tokens in it."""
-        for i, piece in enumerate(self.cut(text)):
+    def words(self, text: str) -> list[str]:
+        """The words of a text; a special token in it is its own character."""
+        out = []
+        for i, piece in enumerate(self.cut(text) if "<|" in text else [text]):
             if i % 2:
-                yield self.special[piece]
-            else:
-                yield from self.split(self.normal(piece))
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
+                out.append(self.special[piece])
+            elif piece.isascii():
+                out += self.split_ascii(piece.lower())
+            else:  # a capital sigma is lowered without its context
+                out += self.split(unicodedata.normalize("NFC", piece).replace("\u03a3", "\u03c3").lower())
+        return out
+
+    def encode(self, text: str) -> str:
         known, out = self.known, []
-        for w in self.words(text) if "<|" in text else self.split(self.normal(text)):
+        for w in self.words(text):
             e = known.get(w)
             if e is None:
-                ids = [w] if isinstance(w, int) else self.word(w)
-                e = b"".join([i.to_bytes(4, "little") for i in ids])
-                if len(w if isinstance(w, str) else "") < 64:
+                e = self.word(w)
+                if len(w) < 64:
                     if len(known) >= MEMORY:
                         known.clear()
                     known[w] = e
             out.append(e)
-        return b"".join(out)
+        return "".join(out)
 
 
 @lru_cache(maxsize=4)
@@ -174,11 +159,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _ids(encoded: list[bytes]) -> pa.Array:
+def _ids(v: Vocabulary, encodings: list[str]) -> pa.Array:
     import numpy as np
 
-    ends = np.cumsum([0] + [len(e) // 4 for e in encoded], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
+    ends = np.cumsum([0, *map(len, encodings)], dtype=np.int32)
+    codes = np.frombuffer("".join(encodings).encode("utf-32-le", "surrogatepass"), "<u4")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(v.ids[codes]))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
@@ -194,7 +180,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
     def whole(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(path)
         for column in parts:
-            yield _ids([v.encode(x) for x in column.to_pylist()])
+            yield _ids(v, [v.encode(x) for x in column.to_pylist()])
 
     whole = whole.asNondeterministic()  # so that Spark computes it once, however often it is used
     is_long = (F.length(t) >= LONG) & t.rlike(rf"\S{{{LONG}}}")
@@ -214,44 +200,35 @@ def _dealt(docs: DataFrame, path: str, t: Column, into: str) -> DataFrame:
         for frame in frames:
             for no, text in zip(frame["_tessera_no"].tolist(), frame["_tessera_text"], strict=True):
                 rows, run = [], []
-
-                def flush(rows=rows, run=run) -> None:
-                    if run:
-                        rows.append((0, [*run]))
-                        run.clear()
-
-                for w in v.words(text):
-                    s = [w] if isinstance(w, int) else v.symbols(w)
-                    if len(s) <= PART:
-                        run += [w] if isinstance(w, int) else v.merge(s)
+                for w in [*v.words(text), None]:
+                    s = "" if w is None or w in v.special.values() else v.symbols(w)
+                    if w is not None and len(s) < LONG:
+                        run.append(v.word(w))
                         continue
-                    flush()
-                    rows += [(1 + (i > 0), s[i : i + PART]) for i in range(0, len(s), PART)]
-                flush()
+                    rows.append((0, "".join(run)))
+                    run = []
+                    rows += [(1 + (i > 0), part) for i, part in enumerate(v.halves(s))] if s else []
                 yield pd.DataFrame({"no": no, "at": range(len(rows)), "kind": [k for k, _ in rows], "s": [s for _, s in rows]})
 
     def leaf(frames):
         v = vocabulary(path)
         for frame in frames:
-            frame["s"] = [list(s) if k == 0 else v.merge([int(x) for x in s]) for k, s in zip(frame["kind"], frame["s"], strict=True)]
+            frame["s"] = [s if k == 0 else v.merge(s) for k, s in zip(frame["kind"], frame["s"], strict=True)]
             yield frame
 
     def join(frame):
         import pandas as pd
 
-        v, out, open_ = vocabulary(path), [], []
+        v, out, parts = vocabulary(path), [], []
         frame = frame.sort_values("at")
-        for kind, s in [*zip(frame["kind"], frame["s"], strict=True), (0, [])]:
-            if kind < 2 and open_:
-                out += v.joined(open_)
-                open_ = []
-            if kind:
-                open_.append([int(x) for x in s])
-            else:
-                out += [int(x) for x in s]
-        return pd.DataFrame({"no": frame["no"].iloc[:1], "s": [out]})
-
-    schema = "no bigint, at int, kind int, s array<int>"  # kind: 0 done, 1 the first part of a word, 2 a later one
+        for kind, s in [*zip(frame["kind"], frame["s"], strict=True), (0, "")]:
+            if kind < 2 and parts:
+                out.append(v.joined(parts))
+                parts = []
+            (parts if kind else out).append(s)
+        return pd.DataFrame({"no": frame["no"].iloc[:1], "s": _ids(v, ["".join(out)]).to_pylist()})
+
+    schema = "no bigint, at int, kind int, s string"  # kind: 0 encoded, 1 the first part of a word, 2 a later one
     parts = base.select("_tessera_no", "_tessera_text").mapInPandas(cut, schema)
     encoded = parts.repartition(F.xxhash64("no", "at")).mapInPandas(leaf, schema).groupBy("no").applyInPandas(join, "no bigint, s array<int>")
     out = base.join(encoded, base["_tessera_no"] == encoded["no"], "left").withColumn(into, F.coalesce("s", F.array().cast("array<int>")))
@@ -268,10 +245,9 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
         import numpy as np
 
         v = vocabulary(path)
-        tokens = np.array([v.tokens.get(i, "") for i in range(max(v.tokens) + 1)], dtype=object)
         for column in parts:
             flat, ends = column.flatten().to_numpy(), np.cumsum([0, *(n or 0 for n in column.value_lengths().to_pylist())])
-            yield pa.array([" ".join(tokens[flat[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+            yield pa.array([" ".join(v.tokens[flat[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
 
     return docs.withColumn(into, text.asNondeterministic()(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
