@@ -1,6 +1,7 @@
 """Quality by naive Bayes support vectors.
 
-A text's features are indicators of its hashed character n-grams, case and punctuation included. Each indicator is
+A text's features are indicators of its hashed character n-grams, case and punctuation included, and of n-grams of the
+sequences that say of each word, and of each line, whether it repeats the one before or, for lines, any before. Each indicator is
 scaled by its class log-count ratio (Wang and Manning 2012), a text's features are brought to length one, and a linear hinge-loss
 model is fitted by dual coordinate descent (Hsieh et al. 2008). Margins become probabilities by Platt's method, on a
 part of the sample that the fit has not seen.
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -21,12 +23,23 @@ from tessera.llm.features import codes, ngram_hashes, platt, sigmoid
 
 BUCKETS = 1 << 17
 SHORTEST, LONGEST = 1, 4
+#: Repeats of words and of lines are counted up to this.
+LONGEST_RUN = 6
 #: Rows of labelled documents that the model is fitted on, half of each label.
 SAMPLE_ROWS = 4_000
 
 
+def _runs(repeats: list[bool]) -> int:
+    """The length of the longest run of repeats: an n-gram of n repeats is in a sequence if that is n or more."""
+    return max(map(len, "".join("x" if r else " " for r in repeats).split()), default=0)
+
+
 def indicators(text: str, seen: np.ndarray) -> np.ndarray:
     """The buckets of the n-grams in a text, ascending. `seen`: a false array of BUCKETS, which is left so."""
+    w, before = text.split(), set()
+    lines = [line in before or before.add(line) is not None for line in text.split("\n") if line.strip()]
+    for at, n in ((0, _runs(list(map(eq, w, w[1:])))), (LONGEST_RUN, _runs(lines)), (2 * LONGEST_RUN, sum(lines))):
+        seen[at : at + min(n, LONGEST_RUN)] = True
     points = codes(text)
     for h in ngram_hashes(points, SHORTEST, LONGEST, BUCKETS):
         seen[h] = True

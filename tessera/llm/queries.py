@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, pii, sharding, simhash, topk
-from tessera.llm.common import table
+from tessera.llm import bpe, decontam, pii, quality, sharding, simhash, topk, toxicity
+from tessera.llm.common import held_out, table
 
 #: The key of the pseudonyms in the queries. A deployment passes its own secret.
 DEMO_KEY = "tessera-demo-key"
@@ -22,6 +22,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted: quality of every document."""
+    scored = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment: test items that a document holds at 0.8 or more."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -52,13 +58,21 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted: toxicity of every document."""
+    scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
     "op3_pseudonyms": op3_pseudonyms,
     "op4_bpe": op4_bpe,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op8_topk": op8_topk,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {"op2_decontamination": decontam.LEAKS_SQL, "op8_topk": topk.TOPK_SQL}

@@ -2,9 +2,8 @@
 
 A word is the mean of the vectors of its character n-grams, borders included, so that a misspelling shares most of its
 vectors with the word it hides. A window of words is the mean of its words, and a linear softmax over it gives the
-class (Joulin et al. 2016). Vectors and softmax are trained together by Adam over the windows of labelled texts: first
-each window has its text's label; then windows of toxic texts that the model finds clean leave, as one insult doesn't
-make every passage toxic. A text's margin is that of its most toxic window, so length doesn't dilute it.
+class (Joulin et al. 2016). Vectors and softmax are trained together by Adam over the windows of labelled texts,
+each with its text's label. Passages of toxic texts that are clean look like those of clean texts, so they cancel out. A text's margin is that of its most toxic window, so length doesn't dilute it.
 """
 
 from __future__ import annotations
@@ -21,13 +20,16 @@ from pyspark.sql import functions as F
 from tessera.llm.common import labelled_sample, python_ready
 from tessera.llm.features import codes, ngram_hashes, platt, sigmoid
 
-BUCKETS, DIMENSIONS = 1 << 16, 8
+BUCKETS, DIMENSIONS = 1 << 16, 4
 SHORTEST, LONGEST = 3, 6
 #: Words of a window.
-WINDOW = 48
+WINDOW = 16
 #: Rows of labelled documents that the model is fitted on, half of each label.
-SAMPLE_ROWS = 3_000
-STEPS, RATE, DECAY = 40, 0.05, 1e-6
+SAMPLE_ROWS = 2_400
+#: The decay keeps vectors of n-grams that few windows have near zero.
+STEPS, RATE, DECAY = 60, 0.05, 4e-5
+#: Of a window's mean, so that a single word of it can tell.
+SCALE = 16.0
 #: Words that a worker remembers.
 MEMORY = 400_000
 
@@ -77,9 +79,11 @@ class Model:
         out = np.full(len(texts), self.bias)
         for i, t in enumerate(split):
             if t:
-                v = np.array([self.known[w] for w in t])
-                starts = np.arange(0, len(v), WINDOW)
-                out[i] = (np.add.reduceat(v, starts) / WINDOW).max() + self.bias
+                v = np.zeros(-(-len(t) // WINDOW) * WINDOW)
+                v[: len(t)] = [self.known[w] for w in t]
+                v = np.sort(v.reshape(-1, WINDOW), axis=1)
+                v[:, 1:][v[:, 1:] == v[:, :-1]] = 0  # a word counts once in a window
+                out[i] = v.sum(1).max() / WINDOW + self.bias
         return out
 
 
@@ -97,6 +101,20 @@ def _adam(parameters: list[np.ndarray]):
     return step
 
 
+def _sums(of: np.ndarray, at: np.ndarray, size: int):
+    """A function that adds the rows `of` of a table up at the places `at`."""
+    order = np.argsort(at, kind="stable")
+    there, starts = np.unique(at[order], return_index=True)
+    of = of[order]
+
+    def sums(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((size, rows.shape[1]), np.float32)
+        out[there] = np.add.reduceat(rows[of], starts, axis=0)
+        return out
+
+    return sums
+
+
 def train(sample: list[tuple[str, int]], shift: float = 0.0) -> Model:
     """From (text, 0 or 1); every fifth row calibrates. shift: log-odds of label 1 in the population less those of the sample."""
     y = np.array([label for _, label in sample], np.int64)
@@ -111,36 +129,29 @@ def train(sample: list[tuple[str, int]], shift: float = 0.0) -> Model:
         for k in range(0, len(t), WINDOW):
             starts.append(len(flat))
             owner.append(i)
-            flat += t[k : k + WINDOW]
+            flat += dict.fromkeys(t[k : k + WINDOW])
     flat, starts, owner = np.array(flat, np.int64), np.array(starts, np.int64), np.array(owner, np.int64)
     h, first = subwords([*number])
-    per_word = np.diff([*first, len(h)]).astype(np.float32)
-    word_of, window_of = np.repeat(np.arange(len(number)), per_word.astype(np.int64)), np.repeat(np.arange(len(starts)), np.diff([*starts, len(flat)]))
+    per_word = np.diff([*first, len(h)])
+    word_of, window_of = np.repeat(np.arange(len(number)), per_word), np.repeat(np.arange(len(starts)), np.diff([*starts, len(flat)]))
+    to_words, to_vectors, share = _sums(window_of, flat, len(number)), _sums(word_of, h, BUCKETS), (1 / per_word).astype(np.float32)[:, None]
+    target, toxic = np.eye(2, dtype=np.float32)[y[owner]], y[owner] > 0
+    weight = np.where(toxic, 0.25 / max(toxic.sum(), 1), 0.75 / max((~toxic).sum(), 1)).astype(np.float32)
     random = np.random.default_rng(0)
     vectors = random.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
-    classes, bias = random.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
-    target = np.eye(2, dtype=np.float32)[y[owner]]
-    weight = np.ones(len(starts), np.float32)
-    for stage in range(2):
-        weight *= np.where(y[owner] > 0, 0.5 / max(weight[y[owner] > 0].sum(), 1), 0.5 / max(weight[y[owner] == 0].sum(), 1)).astype(np.float32)
-        step = _adam([vectors, classes, bias])
-        for _ in range(STEPS):
-            of_word = np.stack([np.bincount(word_of, vectors[h, d], len(number)) for d in range(DIMENSIONS)], 1).astype(np.float32) / per_word[:, None]
-            of_window = np.stack([np.bincount(window_of, of_word[flat, d], len(starts)) for d in range(DIMENSIONS)], 1).astype(np.float32) / WINDOW
-            logits = of_window @ classes + bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            wrong = (p - target) * weight[:, None]
-            back = wrong @ classes.T / WINDOW
-            to_word = np.stack([np.bincount(flat, back[window_of, d], len(number)) for d in range(DIMENSIONS)], 1) / per_word[:, None]
-            to_vector = np.stack([np.bincount(h, to_word[word_of, d], BUCKETS) for d in range(DIMENSIONS)], 1).astype(np.float32)
-            step([to_vector + DECAY * vectors, of_window.T @ wrong + DECAY * classes, wrong.sum(0)])
-        if stage == 0:
-            odds = logits[:, 1] - logits[:, 0]
-            best = np.full(len(sample), -np.inf)
-            np.maximum.at(best, owner, odds)
-            weight = ((y[owner] == 0) | (odds > 0) | (odds >= best[owner])).astype(np.float32)
-    model = Model((vectors @ (classes[:, 1] - classes[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    classes, bias = random.normal(0, 0.3, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
+    step = _adam([vectors, classes, bias])
+    for _ in range(STEPS):
+        of_word = np.add.reduceat(vectors[h], first, axis=0) * share
+        of_window = np.add.reduceat(of_word[flat], starts, axis=0) * np.float32(SCALE / WINDOW)
+        logits = of_window @ classes + bias
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        wrong = (p - target) * weight[:, None]
+        back = wrong @ classes.T * np.float32(SCALE / WINDOW)
+        to_word = to_words(back) * share
+        step([to_vectors(to_word) + DECAY * vectors, of_window.T @ wrong + DECAY * classes, wrong.sum(0)])
+    model = Model((SCALE * vectors @ (classes[:, 1] - classes[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
     rest = rest if len(set(y[rest].tolist())) == 2 else order
     model.a, model.b = platt(model.margins([sample[i][0] for i in rest]), y[rest])
     model.b += shift
