@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, pii, quality, sharding, simhash, topk, toxicity
+from tessera.llm import bpe, decontam, html, lm, pii, quality, sharding, simhash, topk, toxicity
 from tessera.llm.common import held_out, table
 
 #: The key of the pseudonyms in the queries. A deployment passes its own secret.
@@ -43,6 +43,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score: how much more each document is like the benchmark than
+    like all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs.select("doc_id", "text"), lm.train(docs, table(spark, sf_dir, "benchmark"))).drop("text")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id over links of two differing bits or fewer."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -58,6 +65,12 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars: the main text of every page."""
+    out = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted: toxicity of every document."""
     scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
@@ -69,9 +82,11 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_pseudonyms": op3_pseudonyms,
     "op4_bpe": op4_bpe,
+    "op5_cross_entropy": op5_cross_entropy,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op8_topk": op8_topk,
+    "op9_main_text": op9_main_text,
     "op10_toxicity": op10_toxicity,
 }
 
