@@ -61,16 +61,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
     bottom = stored(sketches(items, threshold))
     seen = bottom.agg(F.count("*").alias("n"), F.max("h").alias("top")).first()
     fits = seen["n"] <= BROADCAST_ROWS
-    small = F.broadcast if fits else (lambda df: df)
     named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    # the outer form of explode: the other one asks for non-empty arrays in a filter that computes them once more
-    hashes = named.select("doc_id", F.explode_outer(let(words(F.col("text")), lambda w: _over(w, _hash))).alias("h"))
-    probes = hashes.where(F.col("h") <= F.lit(seen["top"] if seen["top"] is not None else -(2**63)))
-    found = stored(probes.join(small(bottom), "h").select("doc_id", "item_id").distinct())
-    held = found.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))  # no more than there are items
+    top = F.lit(seen["top"] if seen["top"] is not None else -(2**63))
+    low = F.filter(let(words(F.col("text")), lambda w: _over(w, _hash)), lambda h: h <= top)
+    # The outer form of explode: the other one asks for non-empty arrays in a filter that computes them once more. It is apart
+    # from the array's projection, so that it joins within generated code, where `text` is a reference until a row has matched.
+    probes = named.select("doc_id", "text", low.alias("low")).select("doc_id", "text", F.explode_outer("low").alias("h"))
+    if fits:
+        found = probes.join(F.broadcast(bottom), "h").select("doc_id", "text", "item_id").distinct()
+    else:  # shuffled by hash, so without texts; these are joined to what was found
+        ids = stored(probes.select("doc_id", "h").join(bottom, "h").select("doc_id", "item_id").distinct())
+        found = named.join(ids, "doc_id").select("doc_id", "text", "item_id")
     texts = items.select("item_id", F.array_distinct(_over(F.col("w"), _text)).alias("of_item"))
-    there = named.join(held, "doc_id").select("doc_id", "items", F.array_distinct(let(words(F.col("text")), lambda w: _over(w, _text))).alias("of_doc"))
-    pairs = there.select("doc_id", "of_doc", F.explode("items").alias("item_id")).join(small(texts), "item_id")
+    of_doc = F.array_distinct(let(words(F.col("text")), lambda w: _over(w, _text)))
+    pairs = found.select("doc_id", "item_id", of_doc.alias("of_doc")).join(F.broadcast(texts) if fits else texts, "item_id")
     counted = pairs.select("doc_id", "item_id", F.size(F.array_intersect("of_item", "of_doc")).cast("bigint").alias("n_shared"), F.size("of_item").cast("bigint").alias("n_item"))
     best = counted.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item")).groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n_shared") / F.col("n_item"), "n_shared", "n_item")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n_shared").alias("n_shared"), F.col("b.n_item").alias("n_item"), (F.col("b.n_shared") / F.col("b.n_item")).alias("containment"))
