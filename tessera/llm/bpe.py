@@ -231,8 +231,9 @@ def _dealt(docs: DataFrame, path: str, t: Column, into: str) -> DataFrame:
     schema = "no bigint, at int, kind int, s string"  # kind: 0 encoded, 1 the first part of a word, 2 a later one
     parts = base.select("_tessera_no", "_tessera_text").mapInPandas(cut, schema)
     encoded = parts.repartition(F.xxhash64("no", "at")).mapInPandas(leaf, schema).groupBy("no").applyInPandas(join, "no bigint, s array<int>")
-    out = base.join(encoded, base["_tessera_no"] == encoded["no"], "left").withColumn(into, F.coalesce("s", F.array().cast("array<int>")))
-    return out.drop("_tessera_no", "_tessera_text", "no", "s")
+    encoded = encoded.toDF("_tessera_no", "_tessera_ids")
+    out = base.drop("_tessera_text").join(encoded, "_tessera_no", "left")
+    return out.withColumn(into, F.coalesce("_tessera_ids", F.array().cast("array<int>"))).drop("_tessera_no", "_tessera_ids")
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

@@ -151,7 +151,7 @@ def blocks(html: str) -> list[Block]:
 
 def odds(b: Block) -> float:
     """The classifier: log-odds of content. Settling signs on the path weigh most, then links, length and punctuation."""
-    out, body = 0.0, False
+    out, body = 3.0 * any(e.hint == 1 for e in b.path), False
     for e in b.path:
         if e.hint == 2:  # an article in a wrapper that only its words speak against
             out, body = max(out, -1.0) + 3, True
@@ -159,10 +159,8 @@ def odds(b: Block) -> float:
             out -= 40
         elif e.hint == -1:
             out -= 1 if e.name == "header" and body else 12
-        elif e.hint == 1:
-            out += 1
     n = b.text.count(" ") + 1
-    out += min(n, 60) / 20 - 0.4
+    out += min(n, 60) / 20 - 0.2
     out -= 4.0 * b.linked / len(b.text)
     if b.text[-1] in ".!?…\"”»'":
         out += 0.5
@@ -175,7 +173,7 @@ def odds(b: Block) -> float:
 
 
 #: Smoothness: between neighbours, and for the share of the path that two blocks have in common.
-NEXT, NEAR = 0.4, 1.2
+NEXT, NEAR = 0.4, 0.6
 #: How far apart in reading order blocks of one parent are tied.
 REACH = 2
 

@@ -117,7 +117,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold:
     scored whole. Null texts count as empty; a text without n-grams gets the probability of margin zero. With no or
     one label, all scores are that label's smoothed share. Repeated rows get equal scores.
     """
-    sample, shift = labelled_sample(docs, labels, label, rows)
+    sample, shift = labelled_sample(docs.select("doc_id", F.col(text).alias("text")), labels, label, rows)
     model = docs.sparkSession.sparkContext.broadcast(train(sample, shift))
     python_ready(docs.sparkSession)
 

@@ -166,7 +166,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
     scored whole. Null texts count as empty; a text without words gets the probability of a window without words.
     With no or one label, all scores are that label's smoothed share. Repeated rows get equal scores.
     """
-    sample, shift = labelled_sample(docs, labels, label, rows)
+    sample, shift = labelled_sample(docs.select("doc_id", F.col(text).alias("text")), labels, label, rows)
     model = docs.sparkSession.sparkContext.broadcast(train(sample, shift))
     python_ready(docs.sparkSession)
 
@@ -180,5 +180,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """`docs` without those scored at `threshold` or more, with the columns of `docs`."""
-    return score(docs.select("*"), labels, threshold=threshold, text=text).where(F.col("score") < threshold).select(*docs.columns)
+    """The rows of `docs` scored below `threshold`, with the columns of `docs`, one named score or predicted too."""
+    own = {c: f"_tessera_{c}" for c in ("score", "predicted") if c in docs.columns}
+    scored = score(docs.withColumnsRenamed(own), labels, threshold=threshold, text=text).where(F.col("score") < threshold)
+    return scored.drop("score", "predicted").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
