@@ -30,19 +30,25 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(a, b) so that sigmoid(a * margin + b) fits the labels, by Newton steps on smoothed targets (Platt 1999)."""
+def platt(margins: np.ndarray, y: np.ndarray, shift: float = 0.0) -> tuple[float, float]:
+    """(a, b) so that sigmoid(a * margin + b) fits the labels, by Newton steps on smoothed targets (Platt 1999).
+
+    shift: log-odds of label 1 in the population less those of the sample, by which its rows are weighted.
+    """
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     if not len(y):
-        return 1.0, 0.0
+        return 1.0, shift
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = np.where(y > 0, np.exp(min(shift, 0.0)), np.exp(min(-shift, 0.0)))
     scale = float(np.std(margins)) or 1.0
     x = np.stack([margins / scale, np.ones(len(margins))], 1)
-    w = np.array([0.0, np.log((n1 + 1) / (n0 + 1))])
-    for _ in range(60):
+    w = np.array([0.0, np.log((n1 + 1) / (n0 + 1)) + shift])
+    for _ in range(200):
         p = sigmoid(x @ w)
-        gradient = x.T @ (p - target) + 1e-3 * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        gradient = x.T @ (weight * (p - target)) + 1e-3 * w
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
-        w = w - step * min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
+        w = w - step * min(1.0, 1.0 / (np.abs(step).max() + 1e-12))
+        if np.abs(step).max() < 1e-6:
+            break
     return float(w[0] / scale), float(w[1])

@@ -105,8 +105,7 @@ def train(sample: list[tuple[str, int]], shift: float = 0.0) -> Model:
     w = descend([found[i] for i in at], [values[i] for i in at], np.where(y[at] > 0, 1.0, -1.0), BUCKETS)
     model = Model((w * ratios).astype(np.float32), ratios, 1.0, 0.0)
     rest = np.flatnonzero(~fit) if (~fit).any() else at
-    model.a, model.b = platt(np.array([model.margin(found[i]) for i in rest]), y[rest])
-    model.b += shift
+    model.a, model.b = platt(np.array([model.margin(found[i]) for i in rest]), y[rest], shift)
     return model
 
 
