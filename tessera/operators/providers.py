@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.expr import let
 
 #: Context windows in tokens, and the models that see images.
 CONTEXT_WINDOWS = {"openai": 128_000, "anthropic": 200_000, "gemini": 1_000_000, "minimax": 200_000, "lmstudio": 8_192}
@@ -56,8 +57,11 @@ def is_compatible(size: Column, chat_provider: Column) -> Column:
 def embed(rows: DataFrame, text: str = "text", into: str = "embedding", size: int = 64) -> DataFrame:
     """A deterministic embedding: words hashed into `size` counts, of length one; zeros for a text without words."""
     slots = F.transform(T.words(F.lower(F.col(text))), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(F.col("_slots"), lambda s: s == i)).cast("double"))
-    out = rows.withColumn("_slots", slots).withColumn("_counts", counts)
-    length = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda s, x: s + x * x))
-    unit = F.transform("_counts", lambda x: F.when(F.col("_length") > 0, x / F.col("_length")).otherwise(0.0).cast("float"))
-    return out.withColumn("_length", length).withColumn(into, unit).drop("_slots", "_counts", "_length")
+    places = F.sequence(F.lit(0), F.lit(size - 1))
+    counts = let(slots, lambda found: F.transform(places, lambda i: F.size(F.filter(found, lambda s: s == i)).cast("double")))
+
+    def unit(n: Column) -> Column:
+        length = F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, x: s + x * x))
+        return let(length, lambda d: F.transform(n, lambda x: F.when(d > 0, x / d).otherwise(0.0).cast("float")))
+
+    return rows.withColumn(into, let(counts, unit))
