@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Chunking
 from tessera.functions import text as T
+from tessera.session import ship
 
 #: The parser for each file extension.
 PARSERS = {
@@ -132,6 +133,8 @@ def split_text(text: str | None, config: Chunking = Chunking()) -> list[str]:
 def chunks(docs: DataFrame, config: Chunking = Chunking(), text: str = "text") -> DataFrame:
     """A row for each chunk of each text, with chunk_no from 1 and chunk in place of the text."""
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("array<string>")
     def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:

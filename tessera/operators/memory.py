@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.config import Memory
 from tessera.functions import text as T
 from tessera.operators import retrieval
+from tessera.session import ship
 
 
 def provider(name: Column, known: list[str], default: str) -> Column:
@@ -108,6 +109,8 @@ def facts(response: str | None) -> list[str]:
 def extract_facts(responses: DataFrame, text: str = "response") -> DataFrame:
     """`responses` with facts, an array of strings."""
 
+    ship(responses.sparkSession)
+
     @F.pandas_udf("array<string>")
     def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:

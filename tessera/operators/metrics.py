@@ -46,6 +46,24 @@ def readiness(checks: DataFrame, service: str, status: Column) -> DataFrame:
     return checks.groupBy(service).agg(F.bool_and(status.isin("ok", "skipped")).alias("ready"))
 
 
+def alive(rows: DataFrame, written: str, ttl_seconds: int, now: Column) -> DataFrame:
+    """What a store keeps: rows written within the time to live before `now`."""
+    return rows.where(F.col(written) >= now - F.make_interval(secs=F.lit(ttl_seconds)))
+
+
+def latest_alive(rows: DataFrame, key: str, written: str, ttl_seconds: int, now: Column, tie: str) -> DataFrame:
+    """The last row of each key, if it is within its time to live."""
+    last = Window.partitionBy(key).orderBy(F.col(written).desc(), F.col(tie).desc())
+    return alive(rows, written, ttl_seconds, now).withColumn("_rank", F.row_number().over(last)).where("_rank = 1").drop("_rank")
+
+
+def first_seen(calls: DataFrame, key: str, name: str, order: str) -> DataFrame:
+    """key, names: the different names of each key in the order in which they first came, summed up before they are shuffled."""
+    firsts = calls.groupBy(key, name).agg(F.min(order).alias("_at"))
+    rows = F.array_sort(F.collect_list(F.struct("_at", name)))
+    return firsts.groupBy(key).agg(F.transform(rows, lambda r: r[name]).alias("names"))
+
+
 def ttl_hits(events: DataFrame, key: str, time: str, seconds: int, tie: str = "event_id") -> DataFrame:
     """key, time, tie, hit: whether a look-up finds the entry that the last miss of its key wrote. A hit doesn't renew it.
 

@@ -75,3 +75,9 @@ def option(value: Column, allowed: list[str], default: str) -> Column:
     """A lower-case option, the default for one that isn't allowed."""
     v = F.lower(value)
     return F.when(v.isin(*allowed), v).otherwise(default)
+
+
+def with_status(requests: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
+    """Every request with its answer's columns and a status: ok, or no_results where no answer has its keys."""
+    out = requests.join(answers.withColumn("_found", F.lit(True)), keys, "left")
+    return out.withColumn("status", F.when(F.col("_found"), "ok").otherwise("no_results")).drop("_found")

@@ -32,6 +32,13 @@ def joined(segments: DataFrame, key: str, separator: str = " ") -> DataFrame:
     return segments.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r["text"]), separator).alias("text"))
 
 
+def segment_lines(segments: DataFrame, key: str) -> DataFrame:
+    """key, lines: `[start - end] text` with two decimals for each segment, by start."""
+    line = F.format_string("[%.2f - %.2f] %s", F.col("start"), F.col("end"), F.col("text"))
+    rows = F.array_sort(F.collect_list(F.struct("start", "segment_no", line.alias("line"))))
+    return segments.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("lines"))
+
+
 def gaps(clips: DataFrame, track: str = "track", offset: str = "offset", duration: str = "duration", tie: str = "clip_id", least: float = 0.001) -> DataFrame:
     """`clips` that have audio, with gap: the silence before each on its track; zero where it is `least` seconds or less."""
     end = F.lag(F.col(offset) + F.col(duration)).over(Window.partitionBy(track).orderBy(offset, tie))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.config import PageGate
 from tessera.functions import text as T
 from tessera.functions import urls as U
+from tessera.session import ship
 
 #: Elements whose content is noise.
 NOISE = ("script", "style", "nav", "footer", "iframe")
@@ -126,6 +127,8 @@ def annotated(html: str | None, base: str, part: str | None = None) -> tuple[str
 
 
 def html_to_text(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
+    ship(pages.sparkSession)
+
     @F.pandas_udf("string")
     def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
@@ -137,6 +140,8 @@ def html_to_text(pages: DataFrame, html: str = "html", into: str = "text") -> Da
 def page_links(pages: DataFrame, part: str | None = None, url: str = "url", html: str = "html") -> DataFrame:
     """`pages` with annotated (text with markers) and links (number to address)."""
 
+    ship(pages.sparkSession)
+
     @F.pandas_udf("struct<annotated: string, links: array<string>>")
     def each(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for h, u in parts:
@@ -228,6 +233,8 @@ def search_results(html: str | None, limit: int) -> list[dict[str, str]]:
 def parse_search(pages: DataFrame, limit: int = 10, html: str = "html") -> DataFrame:
     """A row with rank, title, url and content for each result of each page of results."""
 
+    ship(pages.sparkSession)
+
     @F.pandas_udf("array<struct<title: string, url: string, content: string>>")
     def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.config import Compaction, Retrieval
+from tessera.functions import registry
 from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.operators import history, ingest, memory, metrics, providers, retrieval, shaping, transcript, web
@@ -455,6 +456,77 @@ def ttl_cache_hits(spark, sf):
     return metrics.ttl_hits(table(spark, sf, "events"), "user_id", "ts", 86_400).select("user_id", "event_id", "hit")
 
 
+@query("SELECT user_id, count(*) AS calls, count(CASE WHEN event_type = 'click' AND event_id % 3 > 0 THEN 1 END) AS hits, CAST(sum(CASE WHEN event_type = 'click' THEN event_id % 3 ELSE 0 END) AS BIGINT) AS tokens_read, CAST(sum(event_id % 5) AS BIGINT) AS tokens_written FROM events GROUP BY user_id")
+def prompt_cache_hits(spark, sf):
+    calls = table(spark, sf, "events").select("user_id", F.when(F.col("event_type") == "click", F.col("event_id") % 3).alias("read"), (F.col("event_id") % 5).alias("written"))
+    return metrics.prompt_cache(calls, ["user_id"], "read", "written")
+
+
+@query("SELECT user_id, bool_and(value < 95) AS ready FROM events GROUP BY user_id")
+def service_readiness(spark, sf):
+    return metrics.readiness(table(spark, sf, "events"), "user_id", F.when(F.col("value") < 50, "ok").when(F.col("value") < 95, "skipped").otherwise("down"))
+
+
+@query("SELECT source, doc_id, n_chars FROM (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS total FROM documents) WHERE total <= 20000")
+def archive_cap(spark, sf):
+    return transcript.within_cap(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), "source", "n_chars", "doc_id", 20_000)
+
+
+@query(
+    "WITH h AS (SELECT page_id, string_split(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '.') AS l FROM pages), d AS (SELECT page_id, array_to_string(list_slice(l, -2, -1), '.') AS domain FROM h), "
+    "a AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id DESC) AS r FROM d WHERE page_id <= 200 AND page_id >= 80) SELECT domain, page_id FROM a WHERE r = 1"
+)
+def cookie_sessions(spark, sf):
+    """The last session of each registrable domain within two hours; a page's id is its minute."""
+    rows = table(spark, sf, "pages").where("page_id <= 200").select("page_id", U.registrable_domain(F.col("url")).alias("domain"), F.timestamp_seconds(F.col("page_id") * 60).alias("saved"))
+    return metrics.latest_alive(rows, "domain", "saved", 7200, F.timestamp_seconds(F.lit(200 * 60)), "page_id").select("domain", "page_id")
+
+
+@query("SELECT conv_id, string_agg('- ' || text, chr(10) ORDER BY turn) AS memory FROM conversations WHERE role = 'user' AND regexp_matches(coalesce(text, ''), '\\S') GROUP BY conv_id")
+def memory_lines(spark, sf):
+    return memory.lines(table(spark, sf, "conversations").where("role = 'user'"), "conv_id", "turn")
+
+
+@query("SELECT user_id, string_agg('[' || format('{:.2f}', event_id % 1000 / 4.0) || ' - ' || format('{:.2f}', event_id % 1000 / 4.0 + 0.5) || '] ' || event_type, chr(10) ORDER BY event_id % 1000, event_id) AS lines FROM events GROUP BY user_id")
+def segment_lines(spark, sf):
+    start = F.col("event_id") % 1000 / F.lit(4.0)
+    rows = table(spark, sf, "events").select("user_id", start.alias("start"), (start + 0.5).alias("end"), F.col("event_id").alias("segment_no"), F.col("event_type").alias("text"))
+    return transcript.segment_lines(rows, "user_id")
+
+
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY seen) AS names FROM (SELECT user_id, event_type, min(event_id) AS seen FROM events GROUP BY user_id, event_type) GROUP BY user_id")
+def tool_names(spark, sf):
+    return metrics.first_seen(table(spark, sf, "events"), "user_id", "event_type", "event_id").select("user_id", F.array_join("names", ",").alias("names"))
+
+
+@query("SELECT bucket, key, size, 3600 AS ttl_seconds FROM (SELECT 'b' || CAST(doc_id % 3 AS VARCHAR) AS bucket, source || '/' || CAST(doc_id AS VARCHAR) AS key, n_chars AS size FROM documents WHERE doc_id % 2 = 0) WHERE size <= 3000")
+def source_files(spark, sf):
+    objects = table(spark, sf, "documents").select(F.concat(F.lit("b"), (F.col("doc_id") % 3).cast("string")).alias("bucket"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("key"), F.col("n_chars").alias("size"), "doc_id")
+    return retrieval.source_files(objects.where("doc_id % 2 = 0").select("bucket", "key"), objects.drop("doc_id"), 86_400, Retrieval(max_source_bytes=3000))
+
+
+@query("SELECT n_nationkey, n, CASE WHEN n IS NULL THEN 'no_results' ELSE 'ok' END AS status FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY s_nationkey) ON s_nationkey = n_nationkey")
+def forecast_lookup(spark, sf):
+    answers = table(spark, sf, "supplier").where("s_suppkey % 3 = 0").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    return shaping.with_status(table(spark, sf, "nation").select("n_nationkey"), answers, ["n_nationkey"])
+
+
+@query(
+    "SELECT event_type, CAST(epoch_us(w) AS BIGINT) AS window_start, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY event_type, w"
+)
+def sliding_windows(spark, sf):
+    rows = windows.counted(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), ["event_type"], windows.sliding("ts", "2 hours", "1 hour"))
+    return rows.select("event_type", F.unix_micros("window_start").alias("window_start"), "n")
+
+
+@query()
+def sql_tools(spark, sf):
+    """The registered tools, called from SQL."""
+    registry.register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("tessera_documents")
+    return spark.sql("SELECT d.doc_id, c.chunk_no, length(page_text(c.chunk)) AS n_chars FROM tessera_documents d, LATERAL split_text(d.text) c")
+
+
 def _shared(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")

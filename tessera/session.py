@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+_sent: set[str] = set()
+
 
 def session(name: str = "tessera", **conf: str) -> SparkSession:
     """UTC, adaptive plans; everything else is the cluster's. Keys of `conf` have underscores for dots."""
@@ -15,3 +21,19 @@ def session(name: str = "tessera", **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package, once a session, so that what runs there in Python can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _sent:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for n in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, n)
+                z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    context.addPyFile(path)
+    _sent.add(context.applicationId)
