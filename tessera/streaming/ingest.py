@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
+from tessera.functions import text as T
 from tessera.operators import ingest
 
 LEDGER = "key string, version string, status string, batch bigint"
@@ -38,14 +39,14 @@ def index_batches(index: str, ledger: str, parse: Callable[[DataFrame], DataFram
     def each(files: DataFrame, batch: int) -> None:
         spark = files.sparkSession
         claimed = stored(spark, ledger, LEDGER).where(F.col("batch") != batch)
-        fresh = ingest.new_versions(parse(files), claimed).withColumn("batch", F.lit(batch).cast("bigint"))
-        folder = f"{index}/batch={batch}"
+        fresh = ingest.new_versions(parse(files), claimed).withColumn("batch", F.lit(batch).cast("bigint")).persist()
         good = fresh.where("error is null").select(F.col("key").alias("source"), "version", "text")
-        ingest.chunks(good).write.mode("overwrite").parquet(folder)
-        status = F.when(F.col("error").isNotNull(), "failed").when(F.length(F.trim("text")) == 0, "empty").otherwise("indexed")
+        ingest.chunks(good).write.mode("overwrite").parquet(f"{index}/batch={batch}")
         # a failed file gives no claim: it goes to the dead letters, and its next version is tried
+        status = F.when(T.is_blank(F.col("text")), "empty").otherwise("indexed")
         fresh.where("error is null").select("key", "version", status.alias("status")).write.mode("overwrite").parquet(f"{ledger}/batch={batch}")
         fresh.where("error is not null").select("key", "version", "error").write.mode("overwrite").parquet(f"{ledger}_failed/batch={batch}")
+        fresh.unpersist()
 
     return each
 
