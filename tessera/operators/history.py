@@ -36,12 +36,15 @@ def compaction_plan(turns: DataFrame, config: Compaction = Compaction(), key: st
     """
     first = F.min_by(F.struct("role", "text"), F.col(order))
     sums = turns.groupBy(key).agg(F.count("*").alias("turns"), F.coalesce(F.sum(T.token_estimate(F.col("text"))), F.lit(0)).alias("tokens"), first.alias("_first"))
-    n = F.col("turns")
-    due = (n >= config.turn_trigger) | (F.col("tokens") >= config.token_share * config.context_tokens)
-    summarised = F.coalesce(T.is_summary(F.col("_first.role"), F.col("_first.text"), config), F.lit(False)) & (n - 1 < config.turn_trigger)
+    return sums.select(key, "turns", "tokens", _prefix(F.col("turns"), F.col("tokens"), F.col("_first"), config).alias("prefix"))
+
+
+def _prefix(n: Column, tokens: Column, first: Column, config: Compaction) -> Column:
+    due = (n >= config.turn_trigger) | (tokens >= config.token_share * config.context_tokens)
+    summarised = F.coalesce(T.is_summary(first["role"], first["text"], config), F.lit(False)) & (n - 1 < config.turn_trigger)
     prefix = F.greatest(F.lit(1), n - config.keep)
     prefix = F.when(prefix >= n, n - 1).otherwise(prefix)
-    return sums.select(key, "turns", "tokens", F.when(due & ~summarised & (prefix >= 1), prefix).otherwise(0).cast("bigint").alias("prefix"))
+    return F.when(due & ~summarised & (prefix >= 1), prefix).otherwise(0).cast("bigint")
 
 
 def stub_summary(texts: int | Column, config: Compaction = Compaction()) -> Column:
@@ -51,18 +54,26 @@ def stub_summary(texts: int | Column, config: Compaction = Compaction()) -> Colu
 
 def compact(turns: DataFrame, config: Compaction = Compaction(), key: str = "conv_id", order: str = "turn", summarise: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """`turns` (key, order, role, text) with each due prefix replaced by one system turn, placed at the prefix's last
-    order, just before the oldest turn that stays.
+    order, just before the oldest turn that stays. One shuffle by the key serves the plan and the replacement.
 
     summarise: from (key, prefix, end) to (key, summary); blank and over-long summaries leave the conversation as it is.
     """
-    plan = compaction_plan(turns, config, key, order).where("prefix > 0")
-    ranked = turns.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(order, "role", "text"))).join(plan.select(key, "prefix"), key, "left")
-    ends = ranked.where(F.col("_rank") == F.col("prefix")).select(key, "prefix", F.col(order).alias("end"))
-    made = summarise(ends) if summarise else ends.select(key, stub_summary(F.col("prefix"), config).alias("summary"))
-    summaries = ends.join(made, key).select(key, F.col("end").alias(order), F.lit("system").alias("role"), T.valid_summary(F.col("summary"), config).alias("text")).where(F.col("text").isNotNull())
-    gone = summaries.select(key, F.lit(True).alias("_gone"))
-    kept = ranked.join(gone, key, "left").where(F.col("prefix").isNull() | F.col("_gone").isNull() | (F.col("_rank") > F.col("prefix")))
-    return kept.select(key, order, "role", "text").unionByName(summaries)
+    whole = Window.partitionBy(key)
+    ordered = whole.orderBy(order, "role", "text")
+    rows = turns.select(key, order, "role", "text").withColumns({
+        "_rank": F.row_number().over(ordered), "_first": F.first(F.struct("role", "text")).over(ordered),
+        "_turns": F.count("*").over(whole), "_tokens": F.coalesce(F.sum(T.token_estimate(F.col("text"))).over(whole), F.lit(0)),
+    })
+    rows = rows.withColumn("prefix", _prefix(F.col("_turns"), F.col("_tokens"), F.col("_first"), config))
+    if summarise:
+        ends = rows.where(F.col("_rank") == F.col("prefix")).select(key, "prefix", F.col(order).alias("end"))
+        rows = rows.join(summarise(ends).select(key, "summary"), key, "left")
+    else:
+        rows = rows.withColumn("summary", stub_summary(F.col("prefix"), config))
+    rows = rows.withColumn("summary", F.when(F.col("prefix") > 0, T.valid_summary(F.col("summary"), config)))
+    replaced = F.col("summary").isNotNull() & (F.col("_rank") == F.col("prefix"))
+    kept = rows.where(F.col("summary").isNull() | (F.col("_rank") >= F.col("prefix")))
+    return kept.select(key, order, F.when(replaced, "system").otherwise(F.col("role")).alias("role"), F.when(replaced, F.col("summary")).otherwise(F.col("text")).alias("text"))
 
 
 def compact_list(messages: Column, prefix: Column, summary: Column) -> Column:
