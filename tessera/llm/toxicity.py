@@ -31,25 +31,31 @@ STEPS, RATE, DECAY = 60, 0.05, 4e-5
 #: Of a window's mean, so that a single word of it can tell.
 SCALE = 16.0
 #: Words that a worker remembers.
-MEMORY = 400_000
+MEMORY = 150_000
 
 words = re.compile(r"\w+").findall
 
 
-def subwords(of: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, starts): the n-grams of <word> for each of some words, one after the other; no word is without one."""
+def _subwords(of: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(w) + 2 for w in of])
     points = codes("".join(f"<{w}>" for w in of))
     ends = np.repeat(np.cumsum(lengths), lengths)
-    owner = np.repeat(np.arange(len(of)), lengths)
+    owner = np.repeat(np.arange(len(of), dtype=np.int32), lengths)
     hashes, owners = [], []
     for n, h in zip(range(SHORTEST, LONGEST + 1), ngram_hashes(points, SHORTEST, LONGEST, BUCKETS), strict=False):
         inside = np.arange(len(h)) + n <= ends[: len(h)]
-        hashes.append(h[inside])
+        hashes.append(h[inside].astype(np.int32))
         owners.append(owner[: len(h)][inside])
     o, h = np.concatenate(owners), np.concatenate(hashes)
     order = np.argsort(o, kind="stable")
-    return h[order], np.searchsorted(o[order], np.arange(len(of)))
+    return h[order], np.bincount(o, minlength=len(of))
+
+
+def subwords(of: list[str], at_once: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, starts): the n-grams of <word> for each of some words, one after the other; no word is without one."""
+    parts = [_subwords(of[i : i + at_once]) for i in range(0, len(of), at_once)]
+    counts = np.concatenate([n for _, n in parts])
+    return np.concatenate([h for h, _ in parts]), np.cumsum(counts) - counts
 
 
 @dataclass
@@ -153,8 +159,7 @@ def train(sample: list[tuple[str, int]], shift: float = 0.0) -> Model:
         step([to_vectors(to_word) + DECAY * vectors, of_window.T @ wrong + DECAY * classes, wrong.sum(0)])
     model = Model((SCALE * vectors @ (classes[:, 1] - classes[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
     rest = rest if len(set(y[rest].tolist())) == 2 else order
-    model.a, model.b = platt(model.margins([sample[i][0] for i in rest]), y[rest])
-    model.b += shift
+    model.a, model.b = platt(model.margins([sample[i][0] for i in rest]), y[rest], shift)
     model.known.clear()
     return model
 
