@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import os
+import math
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.expr import let as let
+from tessera.session import ship
+from tessera.session import table as table
+
 #: Rows of an Arrow batch: a batch of the longest texts still fits a Python worker.
 BATCH_ROWS = 256
 
@@ -37,25 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-_sent: set[str] = set()
-
-
 def python_ready(spark: SparkSession) -> None:
     """Gives executors this package and bounds the Arrow batches that their Python workers get, by rows and bytes."""
-    context = spark.sparkContext
-    if context.applicationId not in _sent:
-        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        path = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for folder, _, names in os.walk(top):
-                for n in sorted(names):
-                    if n.endswith(".py"):
-                        full = os.path.join(folder, n)
-                        z.write(full, os.path.relpath(full, os.path.dirname(top)))
-        context.addPyFile(path)
-        _sent.add(context.applicationId)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,15 +52,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with `value` computed once. A plain column alias may be inlined at each of its uses, inside lambdas too."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[list[tuple[str, int]], float]:
     """At most `rows` (text, 0 or 1) of the labelled documents that are not held out, and the log-odds of label 1
     among all of them less those of the sample.
@@ -79,8 +59,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     Each label gives up to half of the rows, those with the smallest hashes of doc_id, so that the sample doesn't
     depend on partitions. Rows without a label or a doc_id give nothing.
     """
-    import math
-
     marked = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull())
     marked = marked.join(ids, "doc_id", "left_semi")
