@@ -146,7 +146,27 @@ def blocks(html: str) -> list[Block]:
         raw = "".join(b.parts)
         b.text = " ".join((unescape(raw) if "&" in raw else raw).split())
         b.linked = min(b.linked, len(raw)) * len(b.text) // max(len(raw), 1)
-    return [b for b in out if b.text]
+    out = [b for b in out if b.text]
+    _excuse(out)
+    return out
+
+
+def _excuse(page: list[Block]) -> None:
+    """Takes the words' hint from wrappers with the heading and most of the page's text, as `page with-sidebar` may name one."""
+    lengths: dict[int, int] = {}
+    headed = set()
+    for b in page:
+        for i, e in enumerate(b.path):
+            if e.hint == -1 and e.name != "header":
+                lengths[e.number] = lengths.get(e.number, 0) + len(b.text)
+                if any(x.name == "h1" for x in b.path[i:]):
+                    headed.add(e.number)
+    if headed:
+        total = sum(len(b.text) for b in page)
+        for b in page:
+            for e in b.path:
+                if e.number in headed and lengths[e.number] > 0.6 * total:
+                    e.hint = 0
 
 
 def odds(b: Block) -> float:

@@ -124,6 +124,8 @@ PAGES = {
     '<body><div class="cookie-notice"><p>We use cookies on this site.</p></div><div class="content"><h1>T</h1><p>Some real text here.</p><div class="ad">Buy</div><p>Ok.</p></div><div class="sidebar"><p>Popular posts this week.</p></div><form><label>Mail</label></form>': "T\nSome real text here.\nOk.",
     '<article><header><h1>Head</h1></header><p>Body text.</p><section class="comments"><p>Nice article, thanks a lot.</p></section></article><aside><p>Related</p></aside>': "Head\nBody text.",
     '<script>var t="</p>";</script><style>p{}</style><article><p>x<!-- <p>no</p> -->y</p><pre>a  b</pre></article><noscript>Enable</noscript>': "xy\na b",
+    '<div class="page with-sidebar"><div class="text"><h1>Title</h1><p>All of the text of this page is in here.</p><p>Indeed.</p></div><div class="sidebar"><p>Links</p></div></div>': "Title\nAll of the text of this page is in here.\nIndeed.",
+    '<div class="article-header"><h1>One</h1></div><article><p>Text.</p></article><div class="comments"><p>A very long comment, far longer than the article, by a reader who likes to write, and so on and on.</p></div>': "One\nText.",
     "": "",
     "<nav>only a menu</nav>": "",
 }
