@@ -77,7 +77,8 @@ def _block_topk(vectors: DataFrame, ids: list[int], matrix: np.ndarray, k: int,
             scores = np.round(unit @ v.T, 6)
             for q in range(len(own)):
                 s = np.where(at == own[q], -np.inf, scores[q])
-                top = np.lexsort((at, -s))[:k]
+                near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
+                top = near[np.lexsort((at[near], -s[near]))][:k]
                 top = top[np.isfinite(s[top])]
                 yield pd.DataFrame({"query_id": own[q], "vec_id": at[top], "score": s[top]})
 
