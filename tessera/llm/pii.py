@@ -1,11 +1,12 @@
 r"""Format-preserving pseudonyms by keyed Feistel networks.
 
 What is replaced, where its form and its check hold: e-mail addresses (the local part), IBANs (mod 97), IPv4
-addresses, calendar dates, US social security numbers (allowed areas), telephone numbers, and payment card numbers
-(Luhn). Numbers that fail their check stay as they are. A value is permuted within its format: letters stay letters
-of their case, digits digits, separators stay, check digits are computed anew, addresses and dates stay valid, a date in its 400
-years. The permutation depends on the key and the format only, so equal values get equal pseudonyms in every
-document, and different ones of a format get different ones.
+addresses, calendar dates, US social security numbers (allowed areas), telephone numbers (of ten digits in groups, or
+with a plus and a country code), and payment card numbers (Luhn). Numbers that fail their check stay as they are. A
+value is permuted within its format: letters stay letters of their case, digits digits, separators stay, check digits
+are computed anew, addresses and dates stay valid, a date in its 400 years. The permutation depends on the key and the
+format only, so equal values get equal pseudonyms in every document, and different ones of a format get different
+ones.
 
 Strings go through an alternating Feistel network on their two halves: a round shifts each letter or digit of one
 half, within its class, by bytes of a SHA-512 of the key and the other half. Addresses, dates and social security
@@ -26,7 +27,7 @@ FORMS = {
     "ip": rf"(?<![A-Za-z0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![A-Za-z0-9]|\.[0-9])",
     "date": r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![A-Za-z0-9]|[-/.][0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![A-Za-z0-9])",
+    "phone": r"(?<![A-Za-z0-9+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,5})){2,5})(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}|[0-9]{13,19})(?![A-Za-z0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in FORMS.values())
