@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.config import Compaction, PageGate
+from tessera.functions.expr import let
 
 
 def strip(text: Column) -> Column:
@@ -95,14 +96,18 @@ def has_error_keyword(text: Column) -> Column:
 
 def quality_gate(text: Column, config: PageGate = PageGate()) -> Column:
     """Why a page's text is not worth keeping: empty, error, short, unreadable or repetitive; else ok."""
-    w = words(text)
-    lexicon = F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}']+"), F.lit(0)))
-    distinct = F.size(F.array_distinct(w)) / F.size(w)
-    return (
-        F.when(is_blank(text), "empty").when(has_error_keyword(text), "error").when(F.size(w) < config.min_words, "short")
-        .when((lexicon < config.min_words) & (reading_ease(text) < config.min_reading_ease), "unreadable")
-        .when((F.size(w) > config.repetition_words) & (distinct < config.min_distinct_share), "repetitive").otherwise("ok")
-    )
+    letter = r"\p{L}\p{N}'"
+    # whether there are `min_words` words without punctuation; anchored, so that it reads no further than these
+    lexicon = text.rlike(rf"^[^{letter}]*+(?:[{letter}]++[^{letter}]++){{{config.min_words - 1}}}[{letter}]")
+
+    def of_words(w: Column) -> Column:
+        n = F.size(w)
+        return (
+            F.when(n < config.min_words, "short").when(~lexicon & (reading_ease(text) < config.min_reading_ease), "unreadable")
+            .when((n > config.repetition_words) & (F.size(F.array_distinct(w)) / n < config.min_distinct_share), "repetitive").otherwise("ok")
+        )
+
+    return F.when(is_blank(text), "empty").when(has_error_keyword(text), "error").otherwise(let(words(text), of_words))
 
 
 def user_hash(user: Column) -> Column:

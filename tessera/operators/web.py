@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.config import PageGate
 from tessera.functions import text as T
 from tessera.functions import urls as U
+from tessera.functions.expr import let
 from tessera.session import ship
 
 #: Elements whose content is noise.
@@ -185,7 +186,8 @@ def read(pages: DataFrame, tiers: list[tuple[str, Column]], url: str = "url", ht
     all_tiers_failed.
     """
     blocked = U.is_login_redirect(F.col(url)) | (challenge(F.col(html), status if status is not None else F.lit(200)) != "none")
-    good = [F.when(T.quality_gate(text) == "ok", F.struct(text.alias("content"), F.lit(name).alias("mode"))) for name, text in tiers]
+    tier = lambda name: lambda t: F.when(T.quality_gate(t) == "ok", F.struct(t.alias("content"), F.lit(name).alias("mode")))
+    good = [let(text, tier(name)) for name, text in tiers]  # a tier's text is computed once, and not at all after a good one
     out = pages.withColumn("_blocked", F.coalesce(blocked, F.lit(False))).withColumn("_read", F.when(~F.col("_blocked"), F.coalesce(*good)))
     reason = F.when(F.col("_blocked"), "human_intervention").when(F.col("_read").isNull(), "all_tiers_failed")
     return out.withColumns({"content": F.col("_read.content"), "mode": F.col("_read.mode"), "reason": reason}).drop("_read", "_blocked")
