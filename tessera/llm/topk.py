@@ -25,6 +25,8 @@ BLOCK_ROWS = 16_384
 QUERY_ROWS = 1_024
 #: Segments between two looks for the proof, and the part of a block that may be left to score exactly.
 LOOK, FEW = 32, 32
+#: The sum of rows that are no candidates; no sum of impacts comes near its size.
+NEVER = -(1 << 62)
 
 
 class Index:
@@ -55,23 +57,26 @@ class Index:
         order = np.argsort(-most, kind="stable")
         spread = int((np.abs(q) * (self.width - 1)).sum())  # quantisation, over all components
         sums = np.zeros(len(self.ids), np.int64)
-        n, kth = len(self.ids), k + 1  # one more, as `own` may be among them
+        mine = slice(np.searchsorted(self.ids, own), np.searchsorted(self.ids, own, "right"))
+        sums[mine] = NEVER  # stays below all others, so the bound is that of the others
+        size = len(self.ids)
+        n = size - (mine.stop - mine.start)
         left = np.zeros(self.v.shape[1], np.int64)
         np.maximum.at(left, self.of, most)
         maybe = None
         ranked, most_left = order.tolist(), most[order]
         for i, s in enumerate(ranked):
-            if i % LOOK == 0 and n > kth:
+            if i % LOOK == 0 and n > k:
                 # a component whose next segment adds at most most_left[i] can still add no more than that
                 rest = int(np.minimum(left, most_left[i]).sum()) + spread
-                bar = np.partition(sums, n - kth)[n - kth] - rest
+                bar = np.partition(sums, size - k)[size - k] - rest
                 maybe = np.flatnonzero(sums >= bar)
                 if len(maybe) <= max(4 * k, n // FEW):
                     break
             sums[self.segments[s][2]] += least[s]
         else:
-            bar = np.partition(sums, n - kth)[n - kth] - spread if n > kth else None
-            maybe = np.flatnonzero(sums >= bar) if bar is not None else np.arange(n)
+            bar = np.partition(sums, size - k)[size - k] - spread if n > k else None
+            maybe = np.flatnonzero(sums >= bar) if bar is not None else np.arange(size)
         maybe = maybe[self.ids[maybe] != own]
         scores = self.v[maybe] @ q
         best = np.lexsort((self.ids[maybe], -scores))[:k]

@@ -208,6 +208,22 @@ def test_topk_stops_on_proof():
     assert ids.tolist() == [7] and scores.tolist() == [4000 * 3 * 16]
 
 
+@pytest.mark.parametrize("copies", [8, 700, 1999])
+def test_topk_of_repeated_query_ids(spark, copies):
+    """Rows with the query's own id stand above all others and are none of its neighbours."""
+    r = np.random.default_rng(4)
+    v = r.normal(size=(2000, 8))
+    v[:copies] = v[0] * 3
+    ids = np.where(np.arange(2000) < copies, 0, np.arange(2000))
+    q = np.floor(v * 256).astype(np.int64)
+    want = sorted((-int(q[i] @ q[0]), i) for i in range(copies, 2000))[:5]
+    found, scores = topk.Index(ids, q).top(q[0], 0, 5)
+    assert [(-s, i) for i, s in zip(found.tolist(), scores.tolist(), strict=True)] == want
+    table = spark.createDataFrame(list(zip(ids.tolist(), v.tolist(), strict=True)), "vec_id bigint, embedding array<double>")
+    got = topk.search(table, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(-x["score"], x["vec_id"]) for x in got] == want and [x["rank"] for x in got] == list(range(1, len(want) + 1))
+
+
 def test_topk_of_an_empty_table_and_other_lengths(spark):
     v = vectors(spark)
     assert topk.search(v.limit(0), F.col("vec_id") % 50 == 0).count() == 0
