@@ -5,11 +5,12 @@ vectors at Manhattan distance k at most, so a range join on the grid of count ve
 reach; an exact test of the Hamming distance follows. Each pair of neighbouring cells meets once, as only half of
 the ball of offsets is probed.
 
-Cells that hold many fingerprints would meet quadratically. Fingerprints in or next to such cells are linked by a
-second exact way: two of them within two bits share a third value that is within one bit of both, so each is put
-under its 65 values at distance one or less, and all under one value are linked to the smallest. A value has at
-most 65 fingerprints, so no group is large, and the work is linear in the number of fingerprints however dense
-the grid gets.
+Cells that hold many fingerprints would meet quadratically, so the join leaves them out. Fingerprints in or next to
+such cells are linked by a second exact way: two of them within two bits share a third value that is within one bit
+of both, so each is put under its 65 values at distance one or less, and all under one value are linked to the
+smallest. A value has at most 65 fingerprints, so no group is large, and the work is linear in the number of
+fingerprints however dense the grid gets. Those next to dense cells take part in the join, too, as they may be within
+reach of some that are not.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, python_ready, stored
 
 SEGMENTS = 8
-#: Cells with more fingerprints than this are linked by shared neighbour values.
+#: Cells with more fingerprints than this are linked by shared neighbour values, with all in reach of them.
 DENSE_CELL = 64
 REACH = 2
 
@@ -83,12 +84,13 @@ def _links(fps: DataFrame) -> DataFrame:
     """(a, b): pairs of different values of `fp` within two bits, enough of them to connect all that are."""
     cells = fps.groupBy("cell").agg(F.count("*").alias("n"))
     offsets = _ball()
-    dense = cells.where(F.col("n") > DENSE_CELL).select(F.explode(F.array(*[F.col("cell") + F.lit(o) for o in [0, *offsets, *(-o for o in offsets)]])).alias("cell")).distinct().withColumn("near", F.lit(True))
+    around = F.explode(F.array(*[F.struct((F.col("cell") + F.lit(o)).alias("cell"), F.lit(o == 0).alias("dense")) for o in [0, *offsets, *(-o for o in offsets)]])).alias("at")
+    dense = cells.where(F.col("n") > DENSE_CELL).select(around).groupBy(F.col("at.cell").alias("cell")).agg(F.max("at.dense").alias("dense")).withColumn("near", F.lit(True))
     marked = stored(fps.join(dense, "cell", "left"))
-    apart = marked.where(~F.col("near") | F.col("near").isNull()).select("cell", "fp")
-    # cells of `apart` are near no dense cell, so each side of a meeting has at most DENSE_CELL rows
-    probes = apart.select(F.col("fp").alias("a"), F.explode(F.array(*[F.col("cell") + F.lit(o) for o in [0, *offsets]])).alias("cell"), F.col("cell").alias("home"))
-    met = probes.join(apart.withColumnRenamed("fp", "b"), "cell").where((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= REACH) & ((F.col("home") != F.col("cell")) | (F.col("a") < F.col("b")))).select("a", "b")
+    sparse = marked.where(~F.col("dense") | F.col("dense").isNull()).select("cell", "fp")
+    # a pair with an end in a dense cell has both ends in `near`; of all others each side of a meeting has at most DENSE_CELL rows
+    probes = sparse.select(F.col("fp").alias("a"), F.explode(F.array(*[F.col("cell") + F.lit(o) for o in [0, *offsets]])).alias("cell"), F.col("cell").alias("home"))
+    met = probes.join(sparse.withColumnRenamed("fp", "b"), "cell").where((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= REACH) & ((F.col("home") != F.col("cell")) | (F.col("a") < F.col("b")))).select("a", "b")
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("bigint"), i)) for i in range(64)])
     shared = marked.where("near").select("fp", F.explode(flips).alias("value")).groupBy("value").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     starred = shared.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b").distinct()

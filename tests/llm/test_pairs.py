@@ -101,6 +101,28 @@ def test_links_of_chains_and_balls(spark, monkeypatch, dense):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, classes.values()))
 
 
+def test_links_across_the_border_of_a_dense_cell(spark):
+    """Cell (2, 2) is dense, (4, 2) next to it, (5, 2) and (6, 2) are out of its reach."""
+    dense = [(1 << a | 1 << b) | (1 << c | 1 << d) << 8 for a in range(8) for b in range(a) for c in range(8) for d in range(c)][:100]
+    border = [0b11110000 | 0b11 << 8, 0b11111000 | 0b11 << 8, 0b11111011 | 0b11 << 8]
+    values = [*dense, *border]
+    assert len(dense) > simhash.DENSE_CELL
+    parent = {v: v for v in values}
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a in values:
+        for b in values:
+            if a != b and bin(a ^ b).count("1") <= 2:
+                parent[find(a)] = find(b)
+    got = {r["fp"]: r["root"] for r in simhash._classes(spark.createDataFrame([(v,) for v in values], "fp bigint")).collect()}
+    assert len(got) == len(values) and len(set(got.values())) == len({find(v) for v in values})
+    assert got[border[0]] == got[border[1]] == got[border[2]]
+
+
 def test_deduplicate_keeps_the_first_of_each_class(spark):
     rows = corpus()
     kept = simhash.deduplicate(frame(spark, rows))
