@@ -47,7 +47,7 @@ def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score: how much more each document is like the benchmark than
     like all documents."""
     docs = table(spark, sf_dir, "documents")
-    return lm.score(docs.select("doc_id", "text"), lm.train(docs, table(spark, sf_dir, "benchmark"))).drop("text")
+    return lm.differences(docs.select("doc_id", "text"), docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

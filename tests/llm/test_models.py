@@ -138,6 +138,40 @@ def test_cross_entropy_difference_equals_plain_counts(spark):
     assert liked[0]["score"] < liked[1]["score"]
 
 
+def test_cross_entropy_knows_all_characters(spark, monkeypatch, tmp_path):
+    """Far more characters than VOCABULARY, and two rare scripts of which the target has one."""
+    r = random.Random(3)
+    many = ["".join(chr(r.randint(0x4E00, 0x4E00 + 400)) for _ in range(300)) for _ in range(20)]
+    greek, cyrillic = ["".join(chr(r.randint(low, low + 20)) for _ in range(60)) for low in (0x3B1, 0x430)]
+    docs, target = [*many, *many[:3], greek, cyrillic, "", "a", "\U0001f600\x00é"], [greek[:50], many[0], ""]
+    columns = "doc_id bigint, text string"
+    spark.createDataFrame([*enumerate(docs), (len(docs), None)], columns).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(target)), columns).write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {x["doc_id"]: x for x in queries.op5_cross_entropy(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(docs) + 1 and list(rows[0].asDict()) == ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
+    monkeypatch.setattr(lm, "VOCABULARY", len(set("".join(docs))) + 2)
+    t, b = plain_lm(docs, target)
+    for i, text in enumerate([*docs, ""]):
+        assert rows[i]["n_tokens"] == len(text) and rows[i]["score"] == rows[i]["target_loss"] - rows[i]["background_loss"]
+        assert rows[i]["target_loss"] == pytest.approx(t(text), abs=1e-6) and rows[i]["background_loss"] == pytest.approx(b(text), abs=1e-6)
+    assert rows[len(many) + 3]["score"] < rows[len(many) + 4]["score"]
+
+
+def test_cross_entropy_of_blocks_and_empty_tables(spark, monkeypatch):
+    r = random.Random(5)
+    docs = [" ".join(word(r) for _ in range(r.randint(0, 40))) for _ in range(50)]
+    d, none = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"), spark.createDataFrame([], "doc_id bigint, text string")
+    want = {x["doc_id"]: x["score"] for x in lm.score(d, lm.train(d, d.limit(5))).collect()}
+    for chars, held in ((1, 1), (500, 3), (1 << 21, 1 << 20)):
+        monkeypatch.setattr(lm, "BLOCK_CHARS", chars)
+        monkeypatch.setattr(lm, "HELD", held)
+        got = {x["doc_id"]: x["score"] for x in lm.differences(d, d, d.limit(5)).collect()}
+        assert got == pytest.approx(want, abs=1e-5)
+    assert lm.differences(none, none, none).count() == 0
+    one = lm.differences(d.where("doc_id = 7"), none, none).first()
+    assert one["score"] == 0 and one["target_loss"] == pytest.approx(math.log(lm.VOCABULARY), abs=1e-9)
+
+
 def test_language_models_of_empty_tables(spark):
     none = spark.createDataFrame([], "text string")
     models = lm.train(none, none)
