@@ -1,13 +1,17 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a sequence of text blocks, each with its path of open elements. A linear classifier over names of
-elements, class and id words, link share, length and punctuation gives each block a cost for being content and one for
-being boilerplate: the capacities to the two terminals. Neighbours in reading order and blocks that share more of
+A page becomes a sequence of text blocks. Each block has a cost for being content and one for being boilerplate, the
+capacities to the two terminals. Their difference, the log-odds of content, is the sum of what the elements around a
+block say by name, class and id (fixed signs) and of what its shape says: length, share of links, punctuation, kind of
+element. The weights of the shape are fitted by logistic regression on blocks of a sample of the pages themselves, weakly labelled
+by the signs where these are plain. Neighbours in reading order and blocks that share more of
 their path than that are tied by smoothness edges. The least cut between the terminals labels the page; the content
 blocks are its text.
 
-Blocks whose own cost outweighs all their edges have the same label in a least cut, so they are settled first
-and their edges become costs of their neighbours; maximum flow runs on the rest.
+Odds are held within LIMIT, so that a block that shape or signs mistake is outvoted by its neighbours unless these
+are divided. Blocks whose own odds outweigh all their edges have the same label in a least cut, so they are settled first
+and their edges become costs of their neighbours; maximum flow runs on the rest. All steps take time in proportion to a page's
+length but for the flow, which runs on what is left of it.
 """
 
 from __future__ import annotations
@@ -18,106 +22,129 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import python_ready
+from tessera.llm.features import sigmoid
 
 # Elements of HTML.
-RAW = ("script", "style", "template", "noscript", "textarea", "iframe", "svg", "math", "select", "object", "title")
+RAW = ("script", "style", "template", "textarea", "iframe", "select", "title")  # what is in them is never shown as text of the page
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = frozenset(
+    "a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i img ins kbd label map mark object picture q ruby rb rp rt s samp small span strike strong sub sup time tt u var video wbr br "
+    "math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover semantics annotation svg g text tspan defs path circle rect line polygon polyline ellipse use desc".split()
+)
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ENDS_LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
 KEEPS_OPEN = frozenset("table ul ol dl article section div main aside nav footer header form body".split())
-# What the classifier takes as signs.
-NEVER = frozenset("head nav footer aside form button menu dialog".split())
+# What counts as a sign.
+NEVER = frozenset("head nav footer aside form button menu dialog noscript".split())
 BODY = frozenset("article main".split())
+BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 BOILERPLATE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner banners promo promotion promoted sponsor sponsored nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar "
-    "footer bottom sidebar side rail aside widget widgets notice notices cookie cookies consent gdpr alert popup modal overlay comment comments commentlist disqus reply replies respond discussion form "
-    "search login signup subscribe newsletter share sharing social related recommended recommendations toolbar pager pagination copyright legal disclaimer skip tags".split()
+    "ad ads advert adverts advertisement advertising adsense banner banners promo promotion promoted sponsor sponsored nav navbar navigation breadcrumb breadcrumbs masthead topbar "
+    "footer sidebar rail aside widget widgets notice notices cookie cookies consent gdpr alert popup modal overlay comment comments commentlist disqus replies respond "
+    "login signup subscribe newsletter share sharing social related recommended recommendations toolbar pager pagination copyright disclaimer".split()
 )
+#: Words that boilerplate has, and articles too: their shape decides within an article, and next to a content word they say nothing.
+DOUBTFUL_WORDS = frozenset("menu menus header bottom side reply discussion form search legal tags skip".split())
 CONTENT_WORDS = frozenset("article content post entry story text body main page prose".split())
 
 TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"'=]|=\s*+(?:\"[^\"]*\"|'[^']*')?|[\"'])*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>(?:[^>\"'=]|=\s*+(?:\"[^\"]*\"|'[^']*')?|[\"'])*+)>|<[!?/][^>]*>",
     re.I | re.S,
 )
 HINTS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 WORD = re.compile(r"[a-z]+")
 BREAK = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-
-@dataclass
-class Element:
-    name: str
-    number: int
-    hint: int  # 1 content, -1 boilerplate by its words, -2 boilerplate by its name, 2 the article by its name
+#: What a sign says: nothing, content by a word, the article by its name, doubt, boilerplate by a word, boilerplate by its name.
+NONE, CONTENT, ARTICLE, DOUBT, BAD, BARRED = range(6)
 
 
 @dataclass
 class Block:
-    path: tuple[Element, ...]
+    element: int
+    shared: int  # how many elements of its path the block before has too
+    depth: int
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    prior: float = 0.0
+    article: bool = False
+    leaf: str = ""
+
+
+@dataclass
+class Tree:
+    """Elements in the order of their start tags; a parent comes before its children."""
+
+    parent: list[int] = field(default_factory=list)
+    name: list[str] = field(default_factory=list)
+    sign: list[int] = field(default_factory=list)
 
 
-def _hint(name: str, attributes: str) -> int:
+def _sign(name: str, attributes: str) -> int:
     if name in NEVER:
-        return -2
+        return BARRED
     if name in BODY:
-        return 2
+        return ARTICLE
     if name == "header":
-        return -1
+        return BAD
     if not attributes or name in ("html", "body"):
-        return 0
+        return NONE
     found: set[str] = set()
     for kind, *values in HINTS.findall(attributes):
         value = "".join(values)
-        if kind.lower() == "role" and value.lower() in ("main", "article"):
-            return 2
-        if kind.lower() == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"):
-            return -2
+        if kind.lower() == "role" and value.lower() in BODY:
+            return ARTICLE
+        if kind.lower() == "role" and value.lower() in BOILERPLATE_ROLES:
+            return BARRED
         found.update(WORD.findall(BREAK.sub(" ", value).lower()))
-    content = bool(found & CONTENT_WORDS)
-    if found & BOILERPLATE_WORDS - {"header"} or "header" in found and not content:
-        return -1
-    return int(content and "header" not in found)
+    if found & BOILERPLATE_WORDS:
+        return BAD
+    doubtful, content = bool(found & DOUBTFUL_WORDS), bool(found & CONTENT_WORDS)
+    return NONE if doubtful == content else CONTENT if content else DOUBT
 
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in reading order. A line break is white space of its block."""
     out: list[Block] = []
-    stack: list[Element] = []
+    tree, stack = Tree(), []
+    at: dict[str, list[int]] = {}  # the places in the stack of the open elements of each name
     current: Block | None = None
-    number = at = 0
+    done = lowest = 0  # lowest: how far the stack has been taken down since the last block began
 
     def text(raw: str) -> None:
-        nonlocal current
+        nonlocal current, lowest
         if not raw or (current is None and raw.isspace()):
             return
         if current is None:
-            current = Block(tuple(stack))
+            current = Block(stack[-1] if stack else -1, min(lowest, len(stack)), len(stack))
+            lowest = len(stack)
             out.append(current)
         current.parts.append(raw)
-        if any(e.name == "a" for e in stack):
+        if at.get("a"):
             current.linked += len(raw)
 
     def close(names: tuple[str, ...], until: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].name in names:
-                del stack[i:]
-                return
-            if stack[i].name in until:
-                return
-
-    for m in TOKEN.finditer(html):
-        text(html[at : m.start()])
-        at = m.end()
+        nonlocal lowest
+        last = lambda of: max((at[n][-1] for n in of if at.get(n)), default=-1)
+        place = last(names)
+        if place < 0 or place < last(until - {*names}):
+            return
+        while len(stack) > place:
+            at[tree.name[stack.pop()]].pop()
+        lowest = min(lowest, place)
+
+    end = html.rfind(">") + 1
+    for m in TOKEN.finditer(html, 0, end):
+        text(html[done : m.start()])
+        done = m.end()
         if m["name"] is None:
             if m["raw"] and current is not None:
                 current.parts.append(" ")
@@ -128,8 +155,6 @@ def blocks(html: str) -> list[Block]:
         elif name == "br" and current is not None:
             current.parts.append(" ")
         if m["end"]:
-            if name == "p" and not any(e.name == "p" for e in stack):
-                continue
             close((name,), frozenset() if name in KEEPS_OPEN else KEEPS_OPEN)
             continue
         if name in VOID:
@@ -139,73 +164,132 @@ def blocks(html: str) -> list[Block]:
         if name in ENDS_LIKE:
             close(ENDS_LIKE[name], KEEPS_OPEN - {"table"} if name in ("tbody", "tfoot") else KEEPS_OPEN)
         if not m["attributes"].endswith("/") or name not in INLINE:
-            number += 1
-            stack.append(Element(name, number, _hint(name, m["attributes"])))
-    text(html[at:])
+            tree.parent.append(stack[-1] if stack else -1)
+            tree.name.append(name)
+            tree.sign.append(_sign(name, m["attributes"]))
+            at.setdefault(name, []).append(len(stack))
+            stack.append(len(tree.name) - 1)
+    text(re.sub(r"<[a-z/!?].*", "", html[done:], count=1, flags=re.I | re.S))  # a tag without an end is none
     for b in out:
         raw = "".join(b.parts)
         b.text = " ".join((unescape(raw) if "&" in raw else raw).split())
         b.linked = min(b.linked, len(raw)) * len(b.text) // max(len(raw), 1)
-    out = [b for b in out if b.text]
-    _excuse(out)
-    return out
+    kept, shared = [], None
+    for b in out:
+        shared = b.shared if shared is None else min(shared, b.shared)
+        if b.text:
+            b.shared, shared = shared, None
+            kept.append(b)
+    _excuse(tree, kept)
+    _priors(tree, kept)
+    return kept
+
+
+def _excuse(tree: Tree, page: list[Block]) -> None:
+    """Takes the sign of words from wrappers with the heading and most of the page's text, as `page with-sidebar` may name one."""
+    n = len(tree.name)
+    lengths, headed = [0] * n, [x == "h1" for x in tree.name]
+    used = [False] * n
+    for b in page:
+        if b.element >= 0:
+            lengths[b.element] += len(b.text)
+            used[b.element] = True
+    for i in range(n - 1, -1, -1):
+        p = tree.parent[i]
+        if p >= 0:
+            lengths[p] += lengths[i]
+            used[p] = used[p] or used[i]
+            headed[p] = headed[p] or (headed[i] and used[i])
+    total = sum(len(b.text) for b in page)
+    for i in range(n):
+        if tree.sign[i] in (BAD, DOUBT) and tree.name[i] != "header" and headed[i] and lengths[i] > 0.6 * total:
+            tree.sign[i] = NONE
+
+
+def _priors(tree: Tree, page: list[Block]) -> None:
+    """The signs on each block's path, from the outermost element on."""
+    priors: list[tuple[float, bool, bool]] = []  # log-odds, in an article, with a content word
+    for p, name, sign in zip(tree.parent, tree.name, tree.sign, strict=True):
+        odds, article, worded = priors[p] if p >= 0 else (0.0, False, False)
+        if sign == ARTICLE:  # in a wrapper that only its words speak against
+            odds, article = (max(odds, -1.0) if odds > -20 else odds) + 3, True
+        elif sign == CONTENT and not worded:
+            odds, worded = odds + 2, True
+        elif sign == BARRED:
+            odds -= 40
+        elif sign == BAD:
+            odds -= 1 if name == "header" and article else 8
+        elif sign == DOUBT:
+            odds -= 1 if article else 4
+        priors.append((odds, article, worded))
+    for b in page:
+        b.prior, b.article = priors[b.element][:2] if b.element >= 0 else (0.0, False)
+        b.leaf = tree.name[b.element] if b.element >= 0 else ""
 
 
-def _excuse(page: list[Block]) -> None:
-    """Takes the words' hint from wrappers with the heading and most of the page's text, as `page with-sidebar` may name one."""
-    lengths: dict[int, int] = {}
-    headed = set()
-    for b in page:
-        for i, e in enumerate(b.path):
-            if e.hint == -1 and e.name != "header":
-                lengths[e.number] = lengths.get(e.number, 0) + len(b.text)
-                if any(x.name == "h1" for x in b.path[i:]):
-                    headed.add(e.number)
-    if headed:
-        total = sum(len(b.text) for b in page)
-        for b in page:
-            for e in b.path:
-                if e.number in headed and lengths[e.number] > 0.6 * total:
-                    e.hint = 0
-
-
-def odds(b: Block) -> float:
-    """The classifier: log-odds of content. Settling signs on the path weigh most, then links, length and punctuation."""
-    out, body = 3.0 * any(e.hint == 1 for e in b.path), False
-    for e in b.path:
-        if e.hint == 2:  # an article in a wrapper that only its words speak against
-            out, body = max(out, -1.0) + 3, True
-        elif e.hint == -2:
-            out -= 40
-        elif e.hint == -1:
-            out -= 1 if e.name == "header" and body else 12
-    n = b.text.count(" ") + 1
-    out += min(n, 60) / 20 - 0.2
-    out -= 4.0 * b.linked / len(b.text)
-    if b.text[-1] in ".!?…\"”»'":
-        out += 0.5
-    leaf = b.path[-1].name if b.path else ""
-    if leaf in ("h1", "h2", "h3") or leaf in ("p", "blockquote", "pre"):
-        out += 0.5
-    if b.text[0] == "©" or b.text[:9].lower() == "copyright":
-        out -= 4
-    return out
+def shape(b: Block) -> list[float]:
+    """What a block's form says: the features of the fitted weights."""
+    n = min(b.text.count(" ") + 1, 200)
+    return [
+        1.0, float(np.log1p(n)), b.linked / len(b.text), float(b.text[-1] in ".!?…\"”»'"), float(b.leaf in ("h1", "h2", "h3")), float(b.leaf in ("p", "blockquote", "pre")),
+        float(b.text[0] == "©" or b.text[:9].lower() == "copyright"),
+    ]
 
 
+#: Weights of shape() where the pages have no plain signs to learn from, and what the fit is drawn to: prose is long and ends sentences, menus are links.
+DEFAULT = (-1.2, 0.55, -4.0, 0.5, 0.8, 0.5, -4.0)
+#: How strongly fitted weights are drawn to these, in blocks. Pages of the fit and blocks of each that it looks at.
+PULL, SAMPLE_PAGES, SAMPLE_BLOCKS = 20.0, 400, 200
+#: Bound of a block's log-odds, and what speaks for any block: the fit takes both classes as equally many, but text is kept in doubt.
+LIMIT, LENIENCE = 4.0, 0.5
 #: Smoothness: between neighbours, and for the share of the path that two blocks have in common.
-NEXT, NEAR = 0.4, 0.6
+NEXT, NEAR, LEAST = 0.2, 3.0, 0.7
 #: How far apart in reading order blocks of one parent are tied.
 REACH = 2
 
 
+def lessons(html: str | None) -> list[tuple[list[float], int]]:
+    """(shape, 0 or 1) of the blocks that signs alone settle; evenly spaced ones of a long page."""
+    found = [(b, b.prior > 0) for b in blocks(html or "") if b.prior >= 3 or b.prior <= -6]
+    step = max(1, -(-len(found) // SAMPLE_BLOCKS))
+    return [(shape(b), int(y)) for b, y in found[::step]]
+
+
+def fit(rows: list[tuple[list[float], int]]) -> tuple[float, ...]:
+    """The weights of shape(), by Newton steps on the logistic loss of both classes in equal parts plus a pull to DEFAULT."""
+    y = np.array([r[1] for r in rows], float)
+    if len(set(y.tolist())) < 2:
+        return DEFAULT
+    x, start = np.array([r[0] for r in rows]), np.array(DEFAULT)
+    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    w = start.copy()
+    for _ in range(50):
+        p = sigmoid(x @ w)
+        gradient = x.T @ (weight * (p - y)) + PULL * (w - start)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + PULL * np.eye(len(w)), gradient)
+        w = w - step * min(1.0, 2.0 / (np.abs(step).max() + 1e-12))
+        if np.abs(step).max() < 1e-6:
+            break
+    return tuple(w.tolist())
+
+
+def odds(b: Block, weights: tuple[float, ...] = DEFAULT) -> float:
+    """The classifier: log-odds of content by signs and shape, within LIMIT. A paragraph that is a link is no menu."""
+    f = shape(b)
+    form = sum(w * x for w, x in zip(weights, f, strict=True)) + LENIENCE
+    if b.leaf in ("p", "h1", "h2", "h3") or b.article and b.leaf in ("li", "td", "th"):
+        form -= weights[2] * f[2] * 0.5
+    return max(-LIMIT, min(LIMIT, b.prior + max(-LIMIT, min(LIMIT, form))))
+
+
 def edges(page: list[Block]) -> list[tuple[int, int, float]]:
     out = []
     for i, b in enumerate(page):
+        shared = len(b.text) + b.depth
         for j in range(i + 1, min(i + 1 + REACH, len(page))):
-            p, q = b.path, page[j].path
-            depth = max(len(p), len(q), 1)
-            shared = next((k for k, (x, y) in enumerate(zip(p, q, strict=False)) if x.number != y.number), min(len(p), len(q)))
-            weight = (NEXT if j == i + 1 else 0.0) + NEAR * max(0.0, (shared + 1) / depth - 0.5) * (2.0 if j == i + 1 else 1.0)
+            shared = min(shared, page[j].shared)
+            depth = max(b.depth, page[j].depth, 1)
+            weight = (NEXT if j == i + 1 else 0.0) + NEAR * max(0.0, (shared + 1) / depth - LEAST) * (2.0 if j == i + 1 else 1.0)
             if weight > 0:
                 out.append((i, j, weight))
     return out
@@ -239,52 +323,85 @@ def cut(costs: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
 
 
 def _flow(rest: list[int], cost: list[float], around: list[dict[int, float]], label: list) -> None:
-    """Labels `rest` by maximum flow along shortest augmenting paths."""
-    source, sink, inside = -1, -2, set(rest)
-    room: dict[int, dict[int, float]] = {source: {}, sink: {}}
-    for i in rest:
-        room[i] = {j: w for j, w in around[i].items() if j in inside}
-        room[source][i], room[i][sink] = max(cost[i], 0.0), max(-cost[i], 0.0)
-        room[i][source] = room[sink][i] = 0.0
+    """Labels `rest` by maximum flow: blocking flows on the levels of the residual graph (Dinitz 1970)."""
+    inside = set(rest)
+    room = {i: {j: w for j, w in around[i].items() if j in inside} for i in rest}
+    give, take = {i: max(cost[i], 0.0) for i in rest}, {i: max(-cost[i], 0.0) for i in rest}
+    tiny = 1e-9
     while True:
-        came, queue = {source: source}, deque([source])
-        while queue and sink not in came:
+        level, queue = {i: 0 for i in rest if give[i] > tiny}, deque(i for i in rest if give[i] > tiny)
+        reached = False
+        while queue:
             u = queue.popleft()
+            reached = reached or take[u] > tiny
             for v, c in room[u].items():
-                if c > 1e-9 and v not in came:
-                    came[v] = u
+                if c > tiny and v not in level:
+                    level[v] = level[u] + 1
                     queue.append(v)
-        if sink not in came:
+        if not reached:
             break
-        path, v = [], sink
-        while v != source:
-            path.append((came[v], v))
-            v = came[v]
-        flow = min(room[u][v] for u, v in path)
-        for u, v in path:
-            room[u][v] -= flow
-            room[v][u] += flow
+        left = {i: iter([*room[i]]) for i in level}
+        for s in [i for i, d in level.items() if d == 0]:
+            path = [s]
+            while path and give[s] > tiny:
+                u = path[-1]
+                if take[u] > tiny:
+                    flow = min([give[s], take[u], *(room[a][b] for a, b in zip(path, path[1:], strict=False))])
+                    give[s] -= flow
+                    take[u] -= flow
+                    for a, b in zip(path, path[1:], strict=False):
+                        room[a][b] -= flow
+                        room[b][a] += flow
+                    first = next((k for k, (a, b) in enumerate(zip(path, path[1:], strict=False)) if room[a][b] <= tiny), None)
+                    if first is not None:
+                        del path[first + 1 :]
+                    continue
+                ahead = next((v for v in left[u] if room[u][v] > tiny and level.get(v) == level[u] + 1), None)
+                if ahead is None:
+                    path.pop()
+                else:
+                    path.append(ahead)
     for i in rest:
-        label[i] = i in came
+        label[i] = i in level
 
 
-def main_text(html: str | None) -> str:
+def main_text(html: str | None, weights: tuple[float, ...] = DEFAULT) -> str:
     """The content blocks of a page, joined by a line feed."""
     page = blocks(html or "")
-    kept = cut([odds(b) for b in page], edges(page))
+    kept = cut([odds(b, weights) for b in page], edges(page))
     return "\n".join(b.text for b, keep in zip(page, kept, strict=True) if keep)
 
 
-def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
+def learn(pages: DataFrame, html: str = "html") -> tuple[float, ...]:
+    """fit() on about SAMPLE_PAGES pages, chosen by the hash of their html; at most SAMPLE_BLOCKS shapes of each reach the driver."""
+    python_ready(pages.sparkSession)
+    n = pages.count()
+    if not n:
+        return DEFAULT
+    share = min(1.0, SAMPLE_PAGES / n)
+    chosen = pages.where(F.pmod(F.xxhash64(html), F.lit(1_000_000)) < int(share * 1_000_000)).select(html)
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [r for x in f.iloc[:, 0] for r in lessons(x)]
+            yield pd.DataFrame({"x": [r[0] for r in found], "y": [r[1] for r in found]})
+
+    rows = chosen.mapInPandas(each, "x array<double>, y int").collect()
+    return fit(sorted((r["x"], r["y"]) for r in rows))
+
+
+def extract(pages: DataFrame, html: str = "html", into: str = "text", weights: tuple[float, ...] | None = None) -> DataFrame:
     """`pages` with the column `into`: the main text of `html`; empty where there is none, as for null and empty pages.
 
-    Each row is on its own: repeated rows get equal texts, extra columns stay.
+    A column of that name is replaced. Given the weights, which are learned from the pages if not given, each row is on its own:
+    repeated rows get equal texts, extra columns stay.
     """
     python_ready(pages.sparkSession)
+    w = weights or learn(pages, html)
 
     @F.pandas_udf("string")
     def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            yield pd.Series([main_text(x) for x in s], dtype=object)
+            yield pd.Series([main_text(x, w) for x in s], dtype=object)
 
     return pages.withColumn(into, each.asNondeterministic()(F.col(html)))

@@ -1,17 +1,21 @@
 """Exact top-k by integer inner product over an impact-ordered index, read score-at-a-time.
 
 Vectors are split into blocks. A block's index has a list of postings for each component, cut into segments of equal
-quantised value. Relative to the least contribution that a component can make to a query's score in the block, every
-segment has an impact of zero or more. Segments are processed in descending order of that impact, whatever component they belong to,
-and each adds its quantised impact to its vectors' accumulators. A vector's score is then known up to what the segments left can add
-plus the width of the quantisation. Processing stops on the proof that all but few vectors are below the k best so
-far, or after the last segment; those few are scored exactly.
-
-Blocks of queries meet blocks of vectors; each meeting is one task's work of bounded size and returns k rows a query.
+quantised value. For a query, a segment's impact is the largest product that it can add or take away. Segments are processed
+in descending order of impact, whatever component they belong to, and each adds its least contribution to its vectors'
+accumulators. What the segments left can still do to a vector is bounded twice: by the next impact times the number of its
+components left, and, after Cauchy and Schwarz, by the length of the rest of the query times that of the rest of the vector. Processing
+stops on the proof that all but few vectors are below the k best so far, or after the last segment; those few are
+scored exactly.
+
+A block's vectors come to one task and are indexed once; the queries follow them in batches, so a task holds one
+index and one batch. Each query gives k rows a block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,75 +24,98 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import python_ready, stored
 
-LEVELS = 16
+LEVELS = 128
 BLOCK_ROWS = 16_384
-QUERY_ROWS = 1_024
-#: Segments between two looks for the proof, and the part of a block that may be left to score exactly.
-LOOK, FEW = 32, 32
-#: The sum of rows that are no candidates; no sum of impacts comes near its size.
-NEVER = -(1 << 62)
+#: Looks for the proof: one after each of so many equal parts of the postings, from the FIRST on. The part of a block that may be left to score exactly.
+LOOKS, FIRST, FEW = 16, 8, 16
+#: Components, and scores, are held within these.
+MOST, LONGEST = 1 << 62, (1 << 63) - 1
 
 
 class Index:
-    """Of one block: vectors as int64 rows, their ids ascending."""
+    """Of one block: vectors as int64 rows, their ids ascending. read, of: postings processed, and those of all queries so far."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.v = ids[order], vectors[order]
-        self.low, self.high = self.v.min(axis=0), self.v.max(axis=0)
-        self.width = np.maximum(1, -(-(self.high - self.low + 1) // LEVELS))
-        levels = (self.v - self.low) // self.width
-        self.segments = []  # (component, level, rows)
-        for d in range(self.v.shape[1]):
-            rows = np.argsort(levels[:, d], kind="stable")
-            edges = np.searchsorted(levels[rows, d], np.arange(LEVELS + 1))
-            self.segments += [(d, u, rows[a:b]) for u, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
-        self.of = np.array([s[0] for s in self.segments], np.int64)
-        level = np.array([s[1] for s in self.segments], np.int64)
-        first = self.low[self.of] + level * self.width[self.of]
-        self.first, self.last = first, np.minimum(first + self.width[self.of] - 1, self.high[self.of])
+        n, dims = self.v.shape
+        self.read = self.of = 0
+        self.most = max(int(self.v.max(initial=0)), -int(self.v.min(initial=0)))
+        if dims * self.most * self.most >= MOST:  # scored as it is: its sums would leave 64 bits
+            return
+        low, high = self.v.min(axis=0, initial=0), self.v.max(axis=0, initial=0)
+        width = np.maximum(1, -(-(high - low + 1) // LEVELS))
+        level = (self.v - low) // width + np.arange(dims) * LEVELS
+        rows = np.argsort(level.T.ravel(), kind="stable")
+        counts = np.bincount(level.ravel(), minlength=dims * LEVELS)
+        some = np.flatnonzero(counts)
+        self.counts, self.rows = counts[some], (rows % n if n else rows).astype(np.int32)  # postings, by segment
+        self.component = some // LEVELS
+        first = low[self.component] + some % LEVELS * width[self.component]
+        self.first, self.last = first, np.minimum(first + width[self.component] - 1, high[self.component])
+        self.largest = np.maximum(np.abs(self.first), np.abs(self.last))
+        self.smallest = np.where((self.first <= 0) & (self.last >= 0), 0, np.minimum(np.abs(self.first), np.abs(self.last)))
+        self.width = width
+        self.squares = (self.v * self.v).sum(axis=1)
 
     def top(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best other than the vector `own`; ties to the smaller id."""
-        w = q[self.of]
-        base = np.where(q > 0, q * self.low, q * self.high)[self.of]
-        a, b = w * self.first, w * self.last
-        least, most = np.minimum(a, b) - base, np.maximum(a, b) - base  # of what a segment adds
-        order = np.argsort(-most, kind="stable")
-        spread = int((np.abs(q) * (self.width - 1)).sum())  # quantisation, over all components
-        sums = np.zeros(len(self.ids), np.int64)
         mine = slice(np.searchsorted(self.ids, own), np.searchsorted(self.ids, own, "right"))
-        sums[mine] = NEVER  # stays below all others, so the bound is that of the others
-        size = len(self.ids)
-        n = size - (mine.stop - mine.start)
-        left = np.zeros(self.v.shape[1], np.int64)
-        np.maximum.at(left, self.of, most)
-        maybe = None
-        ranked, most_left = order.tolist(), most[order]
-        for i, s in enumerate(ranked):
-            if i % LOOK == 0 and n > k:
-                # a component whose next segment adds at most most_left[i] can still add no more than that
-                rest = int(np.minimum(left, most_left[i]).sum()) + spread
-                bar = np.partition(sums, size - k)[size - k] - rest
-                maybe = np.flatnonzero(sums >= bar)
-                if len(maybe) <= max(4 * k, n // FEW):
-                    break
-            sums[self.segments[s][2]] += least[s]
+        largest = max(int(q.max(initial=0)), -int(q.min(initial=0)))
+        if len(q) * max(self.most, largest) ** 2 >= MOST:
+            maybe, by = np.arange(len(self.ids)), self.v.astype(object)
+            scores = np.array([max(-LONGEST, min(LONGEST, x)) for x in (by @ q.astype(object)).tolist()], np.int64) if len(q) else np.zeros(len(maybe), np.int64)
         else:
-            bar = np.partition(sums, size - k)[size - k] - spread if n > k else None
-            maybe = np.flatnonzero(sums >= bar) if bar is not None else np.arange(size)
-        maybe = maybe[self.ids[maybe] != own]
-        scores = self.v[maybe] @ q
+            maybe = self.possible(q, mine, k)
+            scores = self.v[maybe] @ q
+        other = self.ids[maybe] != own
+        maybe, scores = maybe[other], scores[other]
         best = np.lexsort((self.ids[maybe], -scores))[:k]
         return self.ids[maybe][best], scores[best]
 
+    def possible(self, q: np.ndarray, mine: slice, k: int) -> np.ndarray:
+        """The rows that the segments processed don't rule out of the k best of all but `mine`."""
+        n = len(self.ids)
+        others = n - (mine.stop - mine.start)
+        if others <= k or not len(self.counts):
+            return np.arange(n)
+        w = q[self.component]
+        impact = np.abs(w) * self.largest
+        least = np.minimum(w * self.first, w * self.last).astype(float)
+        order = np.argsort(-impact, kind="stable")
+        ends = np.searchsorted(np.cumsum(self.counts[order]), np.arange(1, LOOKS + 1) * (len(self.rows) / LOOKS)) + 1
+        spread = float((np.abs(q) * (self.width - 1)).sum())  # quantisation, over all components
+        sums, q_left, v_left, left = np.zeros(n), np.full(n, float(q @ q)), self.squares.astype(float), np.full(n, len(q))
+        at, maybe = 0, np.arange(n)
+        self.of += len(self.rows)
+        for look in range(FIRST - 1, LOOKS):
+            new = np.zeros(len(order), bool)
+            new[order[at : ends[look]]] = True
+            at = min(int(ends[look]), len(order))
+            rows = self.rows[np.repeat(new, self.counts)]
+            add = lambda values: np.bincount(rows, np.repeat(values[new], self.counts[new]), n)  # noqa: B023, E731
+            sums += add(least)
+            q_left -= add((w * w).astype(float))
+            v_left -= add((self.smallest * self.smallest).astype(float))
+            left -= np.bincount(rows, minlength=n)
+            following = float(impact[order[at]]) if at < len(order) else 0.0
+            rest = np.minimum(np.sqrt(np.maximum(q_left, 0) * np.maximum(v_left, 0)), following * left) * (1 + 1e-9) + 1e-6
+            lower = sums - rest
+            lower[mine] = -np.inf  # stays below all others, so the bound is that of the others
+            maybe = np.flatnonzero(sums + rest + spread >= np.partition(lower, n - k)[n - k])
+            if at >= len(order) or len(maybe) <= max(4 * k, n // FEW):
+                break
+        self.read += int(self.counts[order[:at]].sum())
+        return maybe
+
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id, v: floor(256 * x) of each component. Vectors that are null or hold null or non-finite components, and
-    rows with a null id, go."""
+    """vec_id, v: floor(256 * x) of each component, within -2^62 and 2^62. Vectors that are null or hold null or non-finite
+    components, and rows with a null id, go."""
     e: Column = F.col(embedding)
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    return vectors.where(F.col(vec_id).isNotNull() & e.isNotNull() & ~F.coalesce(bad, F.lit(True))).select(F.col(vec_id).cast("bigint").alias("vec_id"), F.transform(e, lambda x: F.floor(x.cast("double") * 256).cast("bigint")).alias("v"))
+    held = lambda x: F.floor(F.greatest(F.lit(-float(MOST)), F.least(F.lit(float(MOST)), x.cast("double") * 256))).cast("bigint")
+    return vectors.where(F.col(vec_id).isNotNull() & e.isNotNull() & ~F.coalesce(bad, F.lit(True))).select(F.col(vec_id).cast("bigint").alias("vec_id"), F.transform(e, held).alias("v"))
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -96,30 +123,38 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_i
 
     Scores are inner products of the quantised components; ties go to the smaller vec_id. Only vectors of the query's
     length are candidates. Rows that share an id are candidates with that id each, never of a query with it; a query id that comes more
-    than once is asked with its smallest vector. Empty vectors score 0. An empty table gives no rows.
+    than once is asked with its smallest vector. Empty vectors score 0. Quantised components beyond 2^62 count as 2^62, and scores
+    beyond a long as the longest one. An empty table gives no rows.
     """
     python_ready(vectors.sparkSession)
     rows = stored(quantised(vectors, vec_id, embedding).withColumn("dims", F.size("v")))
     asked = rows.where(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
-    n, m = rows.count(), asked.count()
-    blocks = max(vectors.sparkSession.sparkContext.defaultParallelism * 2, -(-n // BLOCK_ROWS))
-    batches = max(1, -(-m // QUERY_ROWS))
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = asked.select("vec_id", "v", "dims", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(batches)).cast("int").alias("batch"), each(blocks).alias("block"))
-    right = rows.select("vec_id", "v", "dims", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"), each(batches).alias("batch"))
-
-    def meet(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, ...]] = []
-        if len(qs) and len(vs):
-            index = Index(vs["vec_id"].to_numpy(), np.stack(vs["v"].to_numpy()).astype(np.int64).reshape(len(vs), -1))
-            for own, q in zip(qs["vec_id"].tolist(), qs["v"], strict=True):
-                ids, scores = index.top(np.asarray(q, np.int64), own, k)
-                out.append((np.full(len(ids), own), ids, scores))
-        names = ("query_id", "vec_id", "score")
-        return pd.DataFrame({x: np.concatenate([r[i] for r in out]) if out else np.zeros(0, np.int64) for i, x in enumerate(names)})
-
-    keys = ["block", "batch", "dims"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id bigint, vec_id bigint, score bigint")
+    blocks = max(vectors.sparkSession.sparkContext.defaultParallelism * 2, -(-rows.count() // BLOCK_ROWS))
+    right = rows.select("vec_id", "v", "dims", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"))
+    left = asked.select("vec_id", "v", "dims", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"))
+    # each block's vectors, then all queries, so that the index is built once and what a task holds doesn't grow with the queries
+    both = right.unionByName(left).repartition(blocks, "block").sortWithinPartitions("block", "dims", "asks")
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, index = None, [], None
+        for frame in frames:
+            out: list[tuple[np.ndarray, ...]] = []
+            for at, part in frame.groupby(["block", "dims", "asks"]):
+                if at[:2] != key:
+                    key, held, index = at[:2], [], None
+                if not at[2]:
+                    held.append((part["vec_id"].to_numpy(), np.stack(part["v"].to_numpy()).astype(np.int64).reshape(len(part), -1)))
+                    continue
+                if held:
+                    index = Index(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]))
+                    held = []
+                if index is not None:
+                    for own, q in zip(part["vec_id"].tolist(), part["v"], strict=True):
+                        ids, scores = index.top(np.asarray(q, np.int64), own, k)
+                        out.append((np.full(len(ids), own), ids, scores))
+            yield pd.DataFrame({x: np.concatenate([r[i] for r in out]) if out else np.zeros(0, np.int64) for i, x in enumerate(("query_id", "vec_id", "score"))})
+
+    found = both.mapInPandas(meet, "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import lm, quality, queries, sharding, topk, toxicity
+from tessera.llm import common, lm, quality, queries, sharding, topk, toxicity
 from tessera.llm.common import labelled_sample
 from tests.conftest import duck, normal
 
@@ -226,7 +226,7 @@ def vectors(spark, n=400, dims=8, seed=5):
 @pytest.mark.parametrize(("rows", "dims"), [(400, 8), (3, 2), (900, 64)])
 def test_topk_equals_brute_force(spark, monkeypatch, rows, dims):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 150)
-    monkeypatch.setattr(topk, "QUERY_ROWS", 5)
+    monkeypatch.setattr(common, "BATCH_ROWS", 5)
     v = vectors(spark, rows, dims)
     frame = v.select("vec_id", "embedding").toPandas()
     theirs = duck(topk.TOPK_SQL, embeddings=frame)
@@ -240,6 +240,32 @@ def test_topk_stops_on_proof():
     index = topk.Index(np.arange(4000), v)
     ids, scores = index.top(np.full(16, 3), -1, 1)
     assert ids.tolist() == [7] and scores.tolist() == [4000 * 3 * 16]
+    assert index.read < 0.6 * index.of
+
+
+def test_topk_stops_on_proof_on_the_test_vectors(spark):
+    """Vectors of no structure: the worst case for a bound. Every query leaves postings unread, and the result is exact."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    v = np.floor(np.array([x["embedding"] for x in rows], float) * 256).astype(np.int64)
+    ids = np.array([x["vec_id"] for x in rows])
+    index, before = topk.Index(ids, v), 0
+    for i in range(0, len(v), 50):
+        found, scores = index.top(v[i], ids[i], 5)
+        plain = v @ v[i]
+        want = sorted((-int(s), int(d)) for s, d in zip(plain, ids, strict=True) if d != ids[i])[:5]
+        assert [(-s, d) for s, d in zip(scores.tolist(), found.tolist(), strict=True)] == want
+        assert index.read - before < len(index.rows)
+        before = index.read
+    assert index.read < 0.75 * index.of
+
+
+def test_topk_of_huge_components(spark):
+    """Sums that leave 64 bits are exact within, and end at a long's bounds."""
+    rows = [(0, [1e18, 1.0]), (1, [1e18, 0.0]), (2, [-1e18, 0.0]), (3, [0.0, 2.0]), (4, [1e300, 0.0]), (5, [1e-3, 1e-3])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in topk.search(table, F.col("vec_id") == 0).orderBy("rank").collect()]
+    most = (1 << 63) - 1
+    assert got == [(1, most), (4, most), (3, 512 * 256), (5, 0), (2, -most)]
 
 
 @pytest.mark.parametrize("copies", [8, 700, 1999])
