@@ -239,7 +239,7 @@ def shape(b: Block) -> list[float]:
 #: Weights of shape() where the pages have no plain signs to learn from, and what the fit is drawn to: prose is long and ends sentences, menus are links.
 DEFAULT = (-1.2, 0.55, -4.0, 0.5, 0.8, 0.5, -4.0)
 #: How strongly fitted weights are drawn to these, in blocks. Pages of the fit and blocks of each that it looks at.
-PULL, SAMPLE_PAGES, SAMPLE_BLOCKS = 20.0, 400, 200
+PULL, SAMPLE_PAGES, SAMPLE_BLOCKS = 20.0, 200, 200
 #: Bound of a block's log-odds, and what speaks for any block: the fit takes both classes as equally many, but text is kept in doubt.
 LIMIT, LENIENCE = 4.0, 0.5
 #: Smoothness: between neighbours, and for the share of the path that two blocks have in common.

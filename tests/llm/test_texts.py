@@ -73,6 +73,113 @@ def test_pseudonyms_are_one_to_one(spark):
         assert len(set(got)) == len(values)
 
 
+def plain_permuted(s, key):
+    """The network on the halves of a string, in plain Python."""
+    cut = len(s) // 2
+    halves = [s[:cut], s[cut:]]
+    for i in range(pii.ROUNDS):
+        half, other = halves[i % 2], halves[1 - i % 2]
+        code = hashlib.sha512(f"{key}|{i}|{len(half)}|{other}".encode()).digest()
+        out = []
+        for c, by in zip(half, code, strict=False):
+            low, n = next(((x, k) for x, y, k in (("0", "9", 10), ("a", "z", 26), ("A", "Z", 26), ("à", "ö", 23), ("ø", "þ", 7)) if x <= c <= y), (c, 1))
+            out.append(chr(ord(low) + (ord(c) - ord(low) + by) % n))
+        halves[i % 2] = "".join(out)
+    return "".join(halves)
+
+
+def plain_pair(a, b, n, m, key):
+    for i in range(pii.ROUNDS):
+        by = int(hashlib.sha512(f"{key}|{i}|{a if i % 2 else b}".encode()).hexdigest()[:12], 16)
+        a, b = (a, (b + by) % m) if i % 2 else ((a + by) % n, b)
+    return a, b
+
+
+def plain_day(day, late, key):
+    start = date(1600, 1, 1).toordinal()
+    era, x = divmod(day.toordinal() - start, 146097)
+    while True:
+        a, b = plain_pair(x // 773, x % 773, 189, 773, f"{key}|date")
+        x = a * 773 + b
+        out = date.fromordinal(start + era * 146097 + x)
+        if not late or out.day > 12:
+            return out
+
+
+def check_of(payload):
+    return next(str(d) for d in range(10) if luhn(payload + str(d)))
+
+
+def plain_pseudonym(kind, s, key):
+    if kind == "card":
+        out = plain_permuted(s[:-1], f"{key}|card")
+        return out + check_of(out)
+    if kind == "iban":
+        out = plain_permuted(s[4:], f"{key}|iban{s[:2]}")
+        return next(x for n in range(2, 99) if iban(x := f"{s[:2]}{n:02d}{out}"))
+    if kind == "ip":
+        o = [*map(int, s.split("."))]
+        a, b = plain_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, f"{key}|ip")
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "ssn":
+        x, y, z = map(int, s.split("-"))
+        a, b = plain_pair(x - 1 - (x > 666), (y - 1) * 9999 + z - 1, 898, 99 * 9999, f"{key}|ssn")
+        return f"{a + 1 + (a >= 665):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+    if kind == "phone":
+        return s[:3] + plain_permuted(s[3:], f"{key}|phone")
+    if kind == "iso":
+        return plain_day(date.fromisoformat(s), False, key).isoformat()
+    if kind == "month first":
+        return plain_day(date(int(s[6:]), int(s[:2]), int(s[3:5])), False, key).strftime("%m/%d/%Y")
+    if kind == "day first":
+        return plain_day(date(int(s[6:]), int(s[3:5]), int(s[:2])), True, key).strftime("%d/%m/%Y")
+    local, domain = s.split("@")
+    return plain_permuted(local, f"{key}|email") + "@" + domain
+
+
+def test_pseudonyms_equal_plain_networks(spark):
+    r = random.Random(9)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    made = []
+    for _ in range(25):
+        body = "4" + digits(14)
+        made.append(("card", body + check_of(body)))
+        account = digits(18)
+        made.append(("iban", next(x for n in range(2, 99) if iban(x := f"DE{n:02d}{account}"))))
+        made.append(("ip", ".".join(str(r.randrange(256)) for _ in range(4))))
+        made.append(("ssn", f"{r.choice([1, 665, 667, 899, 123]):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"))
+        made.append(("phone", f"+44{digits(10)}"))
+        day = date(r.randint(1900, 2030), r.randint(1, 12), r.randint(13, 28))
+        made += [("iso", day.isoformat()), ("month first", day.strftime("%m/%d/%Y")), ("day first", day.strftime("%d/%m/%Y"))]
+        made.append(("email", f"{r.choice(['josé', 'jane', 'öz'])}.{digits(2)}@x.example"))
+    got = [t for t, _ in replaced(spark, [s for _, s in made])]
+    assert got == [plain_pseudonym(kind, s, KEY) for kind, s in made]
+
+
+def test_values_are_found_to_their_ends_and_linked_whatever_their_spelling(spark):
+    ibans = ["AT61 1904 3002 3457 3201 OK", "ES91 2100 0418 4502 0005 1332 EUR", "BE71 0961 2345 6769 BIC"]
+    for before, (after, n) in zip(ibans, replaced(spark, ibans), strict=True):
+        value, tail = after.rsplit(" ", 1)
+        assert n == 1 and iban(value) and before.endswith(tail) and value not in before
+    only = lambda s, of="0-9": re.sub(f"[^{of}]", "", s)
+    phones = [only(t) for t, _ in replaced(spark, ["+49 30 1234567", "+49301234567", "+49-30-1234567", "+1 (988) 555-2485", "+19885552485", "+1-988-555-2485"])]
+    assert len(set(phones[:3])) == 1 and len(set(phones[3:])) == 1 and phones[0] != "49301234567" and phones[0][:2] == "49"
+    mails = [t for t, _ in replaced(spark, ["Jane.Doe@x.example", "jane.doe@x.example", "josé.garcía@x.com", "José.García@x.com"])]
+    assert mails[0].lower() == mails[1].lower() and mails[0][0].isupper() and mails[2].lower() == mails[3].lower() and not mails[2].startswith("josé")
+    assert re.fullmatch(r"[a-z]{3}[à-þ]\.[a-z]{4}[à-þ][a-z]@x\.com", mails[2])
+    assert [n for _, n in replaced(spark, ["1987/05/03", "a\x00b 10.0.0.1 c\x00", "\x00"])] == [1, 1, 0]
+    assert replaced(spark, ["a\x00b 300.0.0.1 c\x00"])[0][0] == "a\x00b 300.0.0.1 c\x00"
+
+
+def test_slash_dates_are_one_to_one(spark):
+    """All of ten years, month first and day first."""
+    days = [date.fromordinal(date(1995, 1, 1).toordinal() + i) for i in range(3652)]
+    values = [d.strftime("%m/%d/%Y") for d in days] + [d.strftime("%d/%m/%Y") for d in days if d.day > 12]
+    got = [t for t, _ in replaced(spark, values)]
+    assert len(set(got)) == len(values)
+    assert all(int(t[:2]) <= 12 for t in got[: len(days)]) and all(int(t[:2]) > 12 for t in got[len(days) :])
+
+
 def test_pii_of_odd_rows(spark):
     d = spark.createDataFrame([(1, None, 1), (1, None, 1), (2, "x" * 200_000 + " 10.0.0.1", 2), (None, "", 3)], "doc_id int, text string, n_replaced int")
     rows = pii.pseudonymize(d, KEY, count="n_replaced").collect()
