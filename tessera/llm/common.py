@@ -3,37 +3,59 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.expr import let as let
 from tessera.session import ship
 from tessera.session import table as table
 
 #: Rows of an Arrow batch: a batch of the longest texts still fits a Python worker.
-BATCH_ROWS = 256
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+#: Bytes of the texts of a labelled sample.
+SAMPLE_BYTES = 64 << 20
+
+
+#: Tables written by stored() that discard() has not removed yet.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a fresh local one if driver and
+    executors are one process, else an error, as no other folder is known to be shared."""
     context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tessera-")
         context.setCheckpointDir(path)
     return path.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again, which cuts its lineage for good."""
+    """`df` written as Parquet to the shared folder and read again, which cuts its lineage for good. discard() removes it."""
     path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Removes what stored() has written in this process, but for the tables that `keep` reads. For callers who have written their results elsewhere."""
+    used = {f.rsplit("/", 1)[0] for df in keep for f in df.inputFiles()}
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in [p for p in _written if not any(u.endswith(p.rsplit("/", 1)[1]) for u in used)]:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+        _written.remove(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` after a reliable checkpoint, for small tables of an iteration."""
     shared_dir(df.sparkSession)
@@ -41,10 +63,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def python_ready(spark: SparkSession) -> None:
-    """Gives executors this package and bounds the Arrow batches that their Python workers get, by rows and bytes."""
+    """Gives executors this package and bounds the Arrow batches that their Python workers get, by rows and bytes.
+
+    The bounds are settings of the session, as Spark plans a result only when it is asked for. Smaller ones of the caller stay.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        setting = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(setting) or "")
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(setting, most)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,22 +84,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     """At most `rows` (text, 0 or 1) of the labelled documents that are not held out, and the log-odds of label 1
     among all of them less those of the sample.
 
-    Each label gives up to half of the rows, those with the smallest hashes of doc_id, so that the sample doesn't
-    depend on partitions. Rows without a label or a doc_id give nothing.
+    Each label gives up to half of the rows, those with the smallest hashes of doc_id whose texts have SAMPLE_BYTES together, so that the
+    sample doesn't depend on partitions and fits the driver. Of rows that share a doc_id, the smallest text counts. Rows without a label
+    or a doc_id give nothing.
     """
     marked = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull())
-    marked = marked.join(ids, "doc_id", "left_semi")
+    marked = marked.distinct().join(docs.select("doc_id").where(F.col("doc_id").isNotNull()), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    chosen = []
-    for y in (0, 1):
-        top = marked.where(F.col("y") == y).select("doc_id", "y", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(rows // 2)
-        chosen += [(r["doc_id"], r["y"]) for r in top.collect()]
+    first = Window.partitionBy("y").orderBy("h", "doc_id")
+    picked = marked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows // 2)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def of(ids: DataFrame) -> DataFrame:  # ids has at most `rows` rows
+        return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y", "rank").agg(F.min("text").alias("text"))
+
+    chosen, sizes = [], [0, 0]
+    for r in sorted(of(picked).select("doc_id", "y", "rank", F.octet_length("text").alias("size")).collect(), key=lambda r: (r["rank"], r["y"])):
+        if sizes[r["y"]] + r["size"] <= SAMPLE_BYTES // 2:
+            sizes[r["y"]] += r["size"]
+            chosen.append((r["doc_id"], r["y"], r["rank"]))
     if not chosen:
         return [], 0.0
-    spark = docs.sparkSession
-    picked = spark.createDataFrame(chosen, f"doc_id {dict(docs.dtypes)['doc_id']}, y int")  # at most `rows` rows
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(2 * rows).collect()
+    ids = docs.sparkSession.createDataFrame(chosen, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, rank int")
+    got = sorted(of(ids).collect(), key=lambda r: (r["rank"], r["y"]))
     n = {y: sum(r["y"] == y for r in got) for y in (0, 1)}
     shift = math.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5)) - math.log((n[1] + 0.5) / (n[0] + 0.5))
     return [(r["text"], r["y"]) for r in got], shift

@@ -96,8 +96,8 @@ def train(sample: list[tuple[str, int]], shift: float = 0.0) -> Model:
         flat = np.zeros(BUCKETS, np.float32)
         return Model(flat, flat, 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) + shift)
     counts = np.ones((2, BUCKETS))
-    for f, label in zip(found, y, strict=True):
-        counts[label][f] += 1
+    for i in np.flatnonzero(fit):
+        counts[y[i]][found[i]] += 1
     ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     ratios = ratios.astype(np.float32)
     values = [(lambda v: v / (np.sqrt(float(v @ v)) or 1.0))(ratios[f].astype(np.float64)) for f in found]
@@ -110,7 +110,7 @@ def train(sample: list[tuple[str, int]], shift: float = 0.0) -> Model:
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """`docs` with score (0 to 1, higher: label 1 likelier) and predicted (1 from `threshold` on).
+    """`docs` with score (0 to 1, higher: label 1 likelier) and predicted (1 from `threshold` on), in place of columns of these names.
 
     The model is fitted on at most `rows` labelled documents that are not held out (crc32 of doc_id mod 5 is not 0); every text is
     scored whole. Null texts count as empty; a text without n-grams gets the probability of margin zero. With no or

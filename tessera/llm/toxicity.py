@@ -1,9 +1,12 @@
 """Toxicity by subword-bag embeddings and a linear softmax, trained jointly in numpy.
 
 A word is the mean of the vectors of its character n-grams, borders included, so that a misspelling shares most of its
-vectors with the word it hides. A window of words is the mean of its words, and a linear softmax over it gives the
+vectors with the word it hides. A window is the sum of its different words over its length, and a linear softmax over it gives the
 class (Joulin et al. 2016). Vectors and softmax are trained together by Adam over the windows of labelled texts,
-each with its text's label. Passages of toxic texts that are clean look like those of clean texts, so they cancel out. A text's margin is that of its most toxic window, so length doesn't dilute it.
+each with its text's label. Passages of toxic texts that are clean look like those of clean texts, so they cancel out.
+
+A text's margin is the sum of those of its most toxic window of each of three lengths, each over its spread: the short one finds an insult
+in a long text, the long one many that are far apart. These windows overlap by half, so what is found doesn't depend on where a text begins.
 """
 
 from __future__ import annotations
@@ -21,13 +24,13 @@ from tessera.llm.common import labelled_sample, python_ready
 from tessera.llm.features import codes, ngram_hashes, platt, sigmoid
 
 BUCKETS, DIMENSIONS = 1 << 16, 4
-SHORTEST, LONGEST = 3, 6
-#: Words of a window.
-WINDOW = 16
+SHORTEST, LONGEST = 3, 9
+#: Words of a window in training, and of the windows that texts are scored by.
+WINDOW, SPANS = 32, (8, 64, 512)
 #: Rows of labelled documents that the model is fitted on, half of each label.
 SAMPLE_ROWS = 2_400
 #: The decay keeps vectors of n-grams that few windows have near zero.
-STEPS, RATE, DECAY = 60, 0.05, 4e-5
+STEPS, RATE, DECAY = 50, 0.05, 4e-5
 #: Of a window's mean, so that a single word of it can tell.
 SCALE = 16.0
 #: Words that a worker remembers.
@@ -60,12 +63,13 @@ def subwords(of: list[str], at_once: int = 10_000) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Model:
-    """gains: what each n-gram's vector adds to the log-odds of class 1; a, b: of the probability."""
+    """gains: what each n-gram's vector adds to the log-odds of class 1; a, b: of the probability; spreads: of the margins of each span."""
 
     gains: np.ndarray
     bias: float
     a: float = 1.0
     b: float = 0.0
+    spreads: tuple[float, ...] = (1.0,) * len(SPANS)
     known: dict[str, float] = field(default_factory=dict)
 
     def learn_words(self, texts: list[list[str]]) -> None:
@@ -78,20 +82,27 @@ class Model:
             sums = np.add.reduceat(self.gains[h], starts) / np.diff([*starts, len(h)])
             self.known.update(zip(new, sums.tolist(), strict=True))
 
-    def margins(self, texts: list[str]) -> np.ndarray:
-        """Of each text: the log-odds of its most toxic window; without words, the bias."""
+    def spans(self, texts: list[str]) -> np.ndarray:
+        """Of each text: the log-odds of its most toxic window of each length; without words, the bias."""
         split = [words(t.lower()) for t in texts]
         self.learn_words(split)
-        out = np.full(len(texts), self.bias)
+        out = np.full((len(texts), len(SPANS)), self.bias)
         for i, t in enumerate(split):
             if t:
-                v = np.zeros(-(-len(t) // WINDOW) * WINDOW)
-                v[: len(t)] = [self.known[w] for w in t]
-                v = np.sort(v.reshape(-1, WINDOW), axis=1)
-                v[:, 1:][v[:, 1:] == v[:, :-1]] = 0  # a word counts once in a window
-                out[i] = v.sum(1).max() / WINDOW + self.bias
+                values = np.array([self.known[w] for w in t])
+                for j, size in enumerate(SPANS):
+                    step = size // 2
+                    n = max(1, -(-(len(t) - size) // step) + 1)  # windows, the last one filled up
+                    v = np.zeros((n - 1) * step + size)
+                    v[: len(t)] = values
+                    v = np.sort(np.lib.stride_tricks.sliding_window_view(v, size)[::step], axis=1)
+                    v[:, 1:][v[:, 1:] == v[:, :-1]] = 0  # a word counts once in a window
+                    out[i, j] = v.sum(1).max() / size + self.bias
         return out
 
+    def margins(self, texts: list[str]) -> np.ndarray:
+        return (self.spans(texts) / self.spreads).sum(axis=1)
+
 
 def _adam(parameters: list[np.ndarray]):
     m, v, t = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters], 0
@@ -159,13 +170,15 @@ def train(sample: list[tuple[str, int]], shift: float = 0.0) -> Model:
         step([to_vectors(to_word) + DECAY * vectors, of_window.T @ wrong + DECAY * classes, wrong.sum(0)])
     model = Model((SCALE * vectors @ (classes[:, 1] - classes[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
     rest = rest if len(set(y[rest].tolist())) == 2 else order
-    model.a, model.b = platt(model.margins([sample[i][0] for i in rest]), y[rest], shift)
+    found = model.spans([sample[i][0] for i in rest])
+    model.spreads = tuple(float(x) or 1.0 for x in found.std(axis=0))
+    model.a, model.b = platt((found / model.spreads).sum(axis=1), y[rest], shift)
     model.known.clear()
     return model
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """`docs` with score (0 to 1, higher: label 1 likelier) and predicted (1 from `threshold` on).
+    """`docs` with score (0 to 1, higher: label 1 likelier) and predicted (1 from `threshold` on), in place of columns of these names.
 
     The model is fitted on at most `rows` labelled documents that are not held out (crc32 of doc_id mod 5 is not 0); every text is
     scored whole. Null texts count as empty; a text without words gets the probability of a window without words.
