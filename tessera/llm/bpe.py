@@ -40,6 +40,21 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def unlike(spec: dict) -> None:
+    """Raises if a file asks for steps that Vocabulary doesn't take, as its ids would be wrong without a sign."""
+    kinds = lambda part, inner: [x.get("type") for x in part.get(inner, [part])] if part else []
+    normal, split = kinds(spec.get("normalizer"), "normalizers"), kinds(spec.get("pre_tokenizer"), "pretokenizers")
+    model = spec["model"]
+    spaces = [n for n in (spec.get("normalizer") or {}).get("normalizers", []) if n.get("type") == "Replace"]
+    good = (
+        normal == ["NFC", "Replace", "Lowercase"] and all(n["pattern"].get("Regex") == r"\s+" and n["content"] == " " for n in spaces) and split == ["Split", "ByteLevel"]
+        and model.get("type", "BPE") == "BPE" and not model.get("dropout") and not model.get("byte_fallback") and not model.get("ignore_merges") and not model.get("continuing_subword_prefix")
+        and model.get("end_of_word_suffix") and spec.get("decoder") is None and all("<|" in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec["added_tokens"])
+    )
+    if not good:
+        raise ValueError("not a word-level BPE file of the kind that this encoder knows")
+
+
 class Vocabulary:
     """A word-level BPE file of the tokenizers library: NFC, white space dropped, lower case, a split pattern, bytes as
     characters, merges with a suffix at word ends.
@@ -56,6 +71,7 @@ class Vocabulary:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        unlike(spec)
         ids: dict[str, int] = spec["model"]["vocab"]
         suffix, merges = spec["model"]["end_of_word_suffix"], spec["model"]["merges"]
         chars = _byte_chars()
@@ -254,10 +270,10 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
 
 
 def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """`docs` with ids, n_tokens, ids_sha256 (of the decimal ids joined by a space) and decoded_sha256."""
-    out = decode(encode(docs, path, text), path)
+    """`docs` with ids, n_tokens, ids_sha256 (of the decimal ids joined by a space) and decoded_sha256, in place of columns of these names."""
+    out = decode(encode(docs, path, text), path, into="_tessera_decoded")
     return out.withColumns({
         "n_tokens": F.size("ids").cast("bigint"),
         "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256),
-        "decoded_sha256": F.sha2("decoded", 256),
-    }).drop("decoded")
+        "decoded_sha256": F.sha2("_tessera_decoded", 256),
+    }).drop("_tessera_decoded")

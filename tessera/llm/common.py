@@ -46,16 +46,30 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, keep: tuple[DataFrame, ...] = ()) -> None:
-    """Removes what stored() has written in this process, but for the tables that `keep` reads. For callers who have written their results elsewhere."""
-    used = {f.rsplit("/", 1)[0] for df in keep for f in df.inputFiles()}
+def written() -> set[str]:
+    """The tables that stored() has written in this process and discard() has not removed."""
+    return set(_written)
+
+
+def discard(spark: SparkSession, but: set[str], keep: DataFrame) -> None:
+    """Removes the tables of stored() but for those in `but` and the one that `keep` reads. For callers whose results no longer read them."""
+    used = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()}
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in [p for p in _written if not any(u.endswith(p.rsplit("/", 1)[1]) for u in used)]:
+    for path in [p for p in _written if p not in but and p.rsplit("/", 1)[1] not in used]:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
         _written.remove(path)
 
 
+def spread_join(rows: DataFrame, by: DataFrame, key: str, how: str = "inner", hot: int = 10_000, salts: int = 64) -> DataFrame:
+    """`rows` with the columns of `by`, which has each key once; how: inner or left. Keys with more than `hot` rows are dealt to `salts` tasks; what is
+    broadcast for that is a key for each `hot` rows at most. `rows` is read twice."""
+    many = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(key, F.lit(True).alias("_hot")))
+    dealt = rows.withColumn("_place", F.xxhash64(*rows.columns)).join(many, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod("_place", F.lit(salts))).otherwise(0).cast("int"))
+    each = by.join(many, key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.drop("_hot", "_place").join(each.drop("_hot"), [key, "_salt"], how).drop("_salt")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` after a reliable checkpoint, for small tables of an iteration."""
     shared_dir(df.sparkSession)

@@ -8,8 +8,8 @@ by the signs where these are plain. Neighbours in reading order and blocks that
 their path than that are tied by smoothness edges. The least cut between the terminals labels the page; the content
 blocks are its text.
 
-Odds are held within LIMIT, so that a block that shape or signs mistake is outvoted by its neighbours unless these
-are divided. Blocks whose own odds outweigh all their edges have the same label in a least cut, so they are settled first
+The odds of a shape are bounded, so that a block whose shape deceives is outvoted by its neighbours unless these
+are divided; a plain sign, such as an advert's class, outweighs them all. Blocks whose own odds outweigh all their edges have the same label in a least cut, so they are settled first
 and their edges become costs of their neighbours; maximum flow runs on the rest. All steps take time in proportion to a page's
 length but for the flow, which runs on what is left of it.
 """
@@ -69,8 +69,9 @@ NONE, CONTENT, ARTICLE, DOUBT, BAD, BARRED = range(6)
 @dataclass
 class Block:
     element: int
-    shared: int  # how many elements of its path the block before has too
-    depth: int
+    above: int  # the innermost element of its path that the block before has too
+    shared: int = 0  # elements of its path that the block before has too, and all of it; inline ones don't count
+    depth: int = 0
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -124,7 +125,8 @@ def blocks(html: str) -> list[Block]:
         if not raw or (current is None and raw.isspace()):
             return
         if current is None:
-            current = Block(stack[-1] if stack else -1, min(lowest, len(stack)), len(stack))
+            both = min(lowest, len(stack))
+            current = Block(stack[-1] if stack else -1, stack[both - 1] if both else -1)
             lowest = len(stack)
             out.append(current)
         current.parts.append(raw)
@@ -174,8 +176,12 @@ def blocks(html: str) -> list[Block]:
         raw = "".join(b.parts)
         b.text = " ".join((unescape(raw) if "&" in raw else raw).split())
         b.linked = min(b.linked, len(raw)) * len(b.text) // max(len(raw), 1)
+    levels = [0]
+    for parent, name in zip(tree.parent, tree.name, strict=True):
+        levels.append(levels[parent + 1] + (name not in INLINE))
     kept, shared = [], None
     for b in out:
+        b.depth, b.shared = levels[b.element + 1], levels[b.above + 1]
         shared = b.shared if shared is None else min(shared, b.shared)
         if b.text:
             b.shared, shared = shared, None
@@ -209,6 +215,7 @@ def _excuse(tree: Tree, page: list[Block]) -> None:
 def _priors(tree: Tree, page: list[Block]) -> None:
     """The signs on each block's path, from the outermost element on."""
     priors: list[tuple[float, bool, bool]] = []  # log-odds, in an article, with a content word
+    leaves: list[str] = []  # the innermost element that is not inline
     for p, name, sign in zip(tree.parent, tree.name, tree.sign, strict=True):
         odds, article, worded = priors[p] if p >= 0 else (0.0, False, False)
         if sign == ARTICLE:  # in a wrapper that only its words speak against
@@ -218,13 +225,14 @@ def _priors(tree: Tree, page: list[Block]) -> None:
         elif sign == BARRED:
             odds -= 40
         elif sign == BAD:
-            odds -= 1 if name == "header" and article else 8
+            odds -= 1 if name == "header" and article else 14
         elif sign == DOUBT:
             odds -= 1 if article else 4
         priors.append((odds, article, worded))
+        leaves.append(name if name not in INLINE else leaves[p] if p >= 0 else "")
     for b in page:
         b.prior, b.article = priors[b.element][:2] if b.element >= 0 else (0.0, False)
-        b.leaf = tree.name[b.element] if b.element >= 0 else ""
+        b.leaf = leaves[b.element] if b.element >= 0 else ""
 
 
 def shape(b: Block) -> list[float]:
@@ -240,10 +248,10 @@ def shape(b: Block) -> list[float]:
 DEFAULT = (-1.2, 0.55, -4.0, 0.5, 0.8, 0.5, -4.0)
 #: How strongly fitted weights are drawn to these, in blocks. Pages of the fit and blocks of each that it looks at.
 PULL, SAMPLE_PAGES, SAMPLE_BLOCKS = 20.0, 200, 200
-#: Bound of a block's log-odds, and what speaks for any block: the fit takes both classes as equally many, but text is kept in doubt.
-LIMIT, LENIENCE = 4.0, 0.5
-#: Smoothness: between neighbours, and for the share of the path that two blocks have in common.
-NEXT, NEAR, LEAST = 0.2, 3.0, 0.7
+#: Bound of the log-odds by shape, and what speaks for any block: the fit takes both classes as equally many, but text is kept in doubt.
+LIMIT, LENIENCE = 3.0, 1.0
+#: Smoothness: between neighbours, and for the share of the path that two blocks have in common, as far as it is over the LEAST.
+NEXT, NEAR, LEAST = 0.1, 2.0, 0.8
 #: How far apart in reading order blocks of one parent are tied.
 REACH = 2
 
@@ -274,12 +282,12 @@ def fit(rows: list[tuple[list[float], int]]) -> tuple[float, ...]:
 
 
 def odds(b: Block, weights: tuple[float, ...] = DEFAULT) -> float:
-    """The classifier: log-odds of content by signs and shape, within LIMIT. A paragraph that is a link is no menu."""
+    """The classifier: log-odds of content by signs and shape, the latter within LIMIT. A paragraph that is a link is no menu."""
     f = shape(b)
     form = sum(w * x for w, x in zip(weights, f, strict=True)) + LENIENCE
     if b.leaf in ("p", "h1", "h2", "h3") or b.article and b.leaf in ("li", "td", "th"):
         form -= weights[2] * f[2] * 0.5
-    return max(-LIMIT, min(LIMIT, b.prior + max(-LIMIT, min(LIMIT, form))))
+    return b.prior + max(-LIMIT, min(LIMIT, form))
 
 
 def edges(page: list[Block]) -> list[tuple[int, int, float]]:

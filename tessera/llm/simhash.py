@@ -1,16 +1,23 @@
 """SimHash near-duplicates by segment popcounts.
 
-A fingerprint is mapped to the bit counts of its eight bytes. Two fingerprints at Hamming distance k have count
+A fingerprint is mapped to the bit counts of its segments, eight of a byte each. Two fingerprints at Hamming distance k have count
 vectors at Manhattan distance k at most, so a range join on the grid of count vectors finds every pair within
 reach; an exact test of the Hamming distance follows. Each pair of neighbouring cells meets once, as only half of
 the ball of offsets is probed.
 
-Cells that hold many fingerprints would meet quadratically, so the join leaves them out. Fingerprints in or next to
-such cells are linked by a second exact way: two of them within two bits share a third value that is within one bit
-of both, so each is put under its 65 values at distance one or less, and all under one value are linked to the
-smallest. A value has at most 65 fingerprints, so no group is large, and the work is linear in the number of
-fingerprints however dense the grid gets. Those next to dense cells take part in the join, too, as they may be within
+Cells that hold many fingerprints would meet quadratically, so the join leaves them out, and the fingerprints in or next to
+them go through a finer grid, of sixteen segments of four bits, where the same holds. What is dense there too goes through the finest
+grid, of 64 segments of one bit, whose cells are the fingerprints themselves: two of them within two bits share a cell that is within one bit
+of both, so each is put under its 65 cells at distance one or less, and all under one cell are linked to the
+smallest. A cell has at most 65 fingerprints, so no group is large, and the work is linear in the number of
+fingerprints however dense the grid gets. Those next to dense cells take part in the coarser join, too, as they may be within
 reach of some that are not.
+
+deduplicate() links texts by the Jaccard similarity of their shingles, which fingerprints of whole texts are too coarse to search for: texts at 0.8
+differ in some ten bits, and so do unrelated ones among many. It also takes fingerprints of parts. A text's shingles are dealt by their hashes into
+as many parts as make SHARE shingles each at most, and PARTS of these are fingerprinted; similar texts have some parts that are
+equal, at distance zero. Texts of few shingles have too few parts for that; two of them share one of their rarest shingles, so these are
+looked up. Candidates from any search are verified exactly.
 """
 
 from __future__ import annotations
@@ -21,35 +28,74 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessera.llm.common import cut, python_ready, stored
+from tessera.llm.common import cut, python_ready, spread_join, stored
 
-SEGMENTS = 8
-#: Cells with more fingerprints than this are linked by shared neighbour values, with all in reach of them.
+#: Segments of the grids, from coarse to fine. The finest one, of 64, needs no join.
+SEGMENTS = (8, 16)
+#: Cells with more fingerprints than this are searched by the next finer grid, with all in reach of them.
 DENSE_CELL = 64
 REACH = 2
+#: Tasks among which the links of one value are dealt.
+SALTS = 8
+#: Of deduplicate(): units of a key that those which its smallest one is unlike meet.
+HUBS = 8
+#: Most shingles of a part on average, parts that are fingerprinted, and shingles up to which rare ones are looked up instead.
+SHARE, PARTS, FEW = 6, 20, 64
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The signed 64-bit SimHash of a text: a bit is set where over half of the shingles' hashes have it."""
+def shingles(text: str | None, words: int) -> tuple[bytes, bytes]:
+    """The words of a text, joined by a space, and the eight-byte hashes of its shingles, repeats included, one after the other."""
     import numpy as np
     import xxhash
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes, both know ASCII only
-    if not w:
-        return 0
     joined, digest = b" ".join(w), xxhash.xxh64_digest
     if len(w) <= words:
-        digests, n = digest(joined, 42), 1
-    else:
-        starts = np.cumsum([0] + [len(x) + 1 for x in w])
-        n = len(w) - words + 1
-        digests = b"".join([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), (starts[words:] - 1).tolist(), strict=True)])
-    rows = np.frombuffer(digests, np.uint8).reshape(n, 8)
+        return joined, digest(joined, 42) if w else b""
+    starts = np.cumsum([0] + [len(x) + 1 for x in w])
+    n = len(w) - words + 1
+    return joined, b"".join([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), (starts[words:] - 1).tolist(), strict=True)])
+
+
+def _majority(hashes: bytes) -> int:
+    """The signed 64-bit SimHash of some hashes; zero of none."""
+    import numpy as np
+
+    rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 4096):
+    for at in range(0, len(rows), 4096):
         ones += np.unpackbits(rows[at : at + 4096], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
+    return int.from_bytes(np.packbits(ones * 2 > len(rows)).tobytes(), "big", signed=True)
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The signed 64-bit SimHash of a text: a bit is set where over half of the shingles' hashes have it."""
+    return _majority(shingles(text, words)[1])
+
+
+def part_keys(distinct, similarity: float) -> list[int]:
+    """Keys of the parts of a set of shingle hashes (ascending, unsigned 64-bit) that sets as similar as that share some of; none
+    for a set of up to FEW. The number of all parts is a power of two; a set near the next one gives the parts of both.
+    """
+    import numpy as np
+
+    n, out = len(distinct), []
+    mix = lambda x, tag: (x * 0x9E3779B97F4A7C15 + tag * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1) - (1 << 63)
+    if n > FEW:
+        for level in {int(np.ceil(np.log2(n / SHARE))), int(np.ceil(np.log2(n / similarity / SHARE)))}:
+            part = (distinct >> np.uint64(7)) & np.uint64((1 << level) - 1)
+            few = part < PARTS
+            order = np.argsort(part[few], kind="stable")
+            part, rows = part[few][order], distinct[few][order].astype(">u8").view(np.uint8).reshape(-1, 8)
+            starts = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
+            if len(starts):
+                sizes = np.diff([*starts, len(part)])
+                bits = np.add.reduceat(np.unpackbits(rows, axis=1).astype(np.int32), starts, axis=0) * 2 > sizes[:, None]
+                prints = np.packbits(bits, axis=1).view(">u8").ravel()
+                out += [mix(f, level * PARTS + p) for f, p in zip(prints.tolist(), part[starts].tolist(), strict=True)]
+    return out
 
 
 def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", into: str = "fp") -> DataFrame:
@@ -64,37 +110,42 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", into: str
     return docs.withColumn(into, each(F.col(text)))
 
 
-def _cell(fp: Column) -> Column:
-    """The packed vector of bit counts, four bits a segment."""
-    parts = [F.shiftleft(F.bit_count(F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255))).cast("bigint"), 4 * i) for i in range(SEGMENTS)]
+def _cell(fp: Column, segments: int) -> Column:
+    """The packed vector of bit counts, in 64 bits."""
+    width = 64 // segments
+    parts = [F.shiftleft(F.bit_count(F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit((1 << width) - 1))).cast("bigint"), width * i) for i in range(segments)]
     out = parts[0]
     for p in parts[1:]:
         out = out.bitwiseOR(p)
     return out
 
 
-def _ball() -> list[int]:
+def _ball(segments: int) -> list[int]:
     """Packed offsets of all vectors with Manhattan length 1 or 2, those whose first part is positive. A sum that
-    leaves 0..8 in some segment is no cell, so it meets nothing."""
-    unit = [16**i for i in range(SEGMENTS)]
+    leaves the range of counts in some segment is no cell, so it meets nothing."""
+    unit = [1 << 64 // segments * i for i in range(segments)]
     return [*unit, *(2 * u for u in unit), *(b + s * a for a, b in combinations(unit, 2) for s in (1, -1))]
 
 
-def _links(fps: DataFrame) -> DataFrame:
-    """(a, b): pairs of different values of `fp` within two bits, enough of them to connect all that are."""
-    cells = fps.groupBy("cell").agg(F.count("*").alias("n"))
-    offsets = _ball()
+def _links(fps: DataFrame, grids: tuple[int, ...] | None = None) -> DataFrame:
+    """(a, b): pairs of different values of fps(fp) within two bits, enough of them to connect all that are."""
+    grids = SEGMENTS if grids is None else grids
+    if not grids:
+        flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("bigint"), i)) for i in range(64)])
+        shared = fps.select("fp", F.explode(flips).alias("value")).groupBy("value").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1)
+        return shared.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b").distinct()
+    placed = fps.select("fp", _cell(F.col("fp"), grids[0]).alias("cell"))
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"))
+    offsets = _ball(grids[0])
     around = F.explode(F.array(*[F.struct((F.col("cell") + F.lit(o)).alias("cell"), F.lit(o == 0).alias("dense")) for o in [0, *offsets, *(-o for o in offsets)]])).alias("at")
     dense = cells.where(F.col("n") > DENSE_CELL).select(around).groupBy(F.col("at.cell").alias("cell")).agg(F.max("at.dense").alias("dense")).withColumn("near", F.lit(True))
-    marked = stored(fps.join(dense, "cell", "left"))
+    marked = stored(placed.join(dense, "cell", "left"))
     sparse = marked.where(~F.col("dense") | F.col("dense").isNull()).select("cell", "fp")
     # a pair with an end in a dense cell has both ends in `near`; of all others each side of a meeting has at most DENSE_CELL rows
     probes = sparse.select(F.col("fp").alias("a"), F.explode(F.array(*[F.col("cell") + F.lit(o) for o in [0, *offsets]])).alias("cell"), F.col("cell").alias("home"))
     met = probes.join(sparse.withColumnRenamed("fp", "b"), "cell").where((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= REACH) & ((F.col("home") != F.col("cell")) | (F.col("a") < F.col("b")))).select("a", "b")
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("bigint"), i)) for i in range(64)])
-    shared = marked.where("near").select("fp", F.explode(flips).alias("value")).groupBy("value").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    starred = shared.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b").distinct()
-    return met.unionByName(starred)
+    near = marked.where("near").select("fp")
+    return met if near.isEmpty() else met.unionByName(_links(near, grids[1:]))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -104,13 +155,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     grows with the logarithm of the longest chain. It raises if `rounds` don't suffice.
     """
     edges, before = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()), None
+    salts, salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")  # for the centres of large stars
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.select("a", "b", salt).join(least.select("a", "m", salts), ["a", "salt"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = cut(large.where("a <> b"))  # a > b holds
         low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
+        small = large.select("a", "b", salt).join(low.select("a", "m", salts), ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
         edges = cut(small.distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -122,7 +174,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def _classes(fps: DataFrame) -> DataFrame:
     """(fp, root) for each row of fps(fp): equal roots where values are connected over links of REACH bits or less."""
-    linked = components(_links(fps.withColumn("cell", _cell(F.col("fp")))))
+    linked = components(_links(fps.select("fp")))
     return fps.join(linked, fps.fp == linked.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -138,17 +190,107 @@ def near_duplicates(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", tex
     rooted = stored(_classes(fps.select("fp")).join(fps, "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(named, "root").select("fp", "component_id")
-    return base.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(base, classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
 
+def rarest(units: DataFrame, similarity: float) -> DataFrame:
+    """(unit, n, key): of units(unit, n, few), whose `few` are all shingle hashes of a small set, the rarest ones that occur in more than one unit,
+    so many that two sets of the similarity share one of them: any n - ceil(similarity * n) + 1 in an order that is the same for all will do,
+    and by frequency, passages that many texts have come last."""
+    rows = stored(units.select("unit", "n", F.explode("few").alias("key")))
+    often = stored(rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"))
+    counted = spread_join(rows, often, "key", "left").groupBy("unit", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "key"))).alias("all"))
+    first = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1).cast("int"))
+    return counted.select("unit", "n", F.explode(first).alias("one")).where("one.times > 1").select("unit", "n", "one.key")
 
-def deduplicate(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that are the first of their component, by doc_id with nulls last, then by place in the table.
 
-    The same classes as near_duplicates() has; all columns stay. Of repeated rows one stays.
+def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the different pairs of rows(unit, n, hub, hub_n) whose sizes are within the similarity; a > b."""
+    near = F.least("n", "hub_n") >= F.lit(similarity) * F.greatest("n", "hub_n")
+    return rows.where((F.col("unit") != F.col("hub")) & near).select(F.greatest("unit", "hub").alias("a"), F.least("unit", "hub").alias("b")).distinct()
+
+
+def first_candidates(units: DataFrame, spread: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): of units(unit, n, fp) and their keys in spread(unit, n, key), those that share a key with the smallest unit of it,
+    and those whose fingerprints are linked."""
+    hubs = stored(spread.groupBy("key").agg(F.min("unit").alias("hub"), F.min_by("n", "unit").alias("hub_n"), F.count("*").alias("m")).where("m > 1").drop("m"))
+    of_print = stored(units.groupBy("fp").agg(F.min("unit").alias("hub"), F.min_by("n", "unit").alias("hub_n")))
+    ends = _links(of_print.select("fp")).join(of_print.toDF("a", "hub", "hub_n"), "a").join(of_print.toDF("b", "unit", "n"), "b")
+    columns = ["unit", "n", "hub", "hub_n"]
+    rows = spread_join(spread, hubs, "key").select(*columns).unionByName(spread_join(units.select("unit", "n", "fp"), of_print, "fp").select(*columns))
+    return _pairs(rows.unionByName(ends.select(*columns)), similarity)
+
+
+def second_candidates(spread: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): where the units of a key are not all connected yet, by roots(unit, root), those that are not with its smallest one,
+    each with HUBS of the key's units, other ones for each key."""
+    rooted = stored(spread.join(roots, "unit"))
+    mixed = rooted.groupBy("key").agg(F.min_by("root", "unit").alias("hub_root"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "hub_root")
+    members = stored(spread_join(rooted, stored(mixed), "key"))
+    some = Window.partitionBy("key").orderBy(F.xxhash64("unit", "key"), "unit")
+    several = members.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= HUBS)
+    packed = stored(several.groupBy("key").agg(F.collect_list(F.struct(F.col("unit").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("other"))).alias("hubs")))
+    apart = stored(members.where("root <> hub_root").select("key", "unit", "n", "root"))
+    rows = spread_join(apart, packed, "key").select("unit", "n", "root", F.inline("hubs")).where("root <> other")
+    return _pairs(rows, similarity)
+
+
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` that are the first of their class, by doc_id with nulls last, then by place in the table.
+
+    Two texts are linked if the sets of their shingles of `words` words have a Jaccard similarity of `similarity` or more, which is verified
+    exactly; classes are what links connect. Texts with equal words are one text, texts without words too. Links of up to FEW shingles are found
+    by rare shingles, those of longer texts by parts, of which a pair at 0.8 shares none with a probability of 0.002. A key's texts meet the
+    smallest of them, then those not connected with it meet HUBS others; a link is also lost where that misses it in each key that the two share, and no other
+    texts connect them.
+    All columns stay. Of repeated rows one stays. An empty table gives no rows.
     """
+    python_ready(docs.sparkSession)
+
+    @F.pandas_udf("struct<digest: string, fp: bigint, n: bigint, keys: array<bigint>, few: array<bigint>>")
+    def signature(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+        import xxhash
+
+        for s in parts:
+            out = []
+            for t in s:
+                joined, hashes = shingles(t, words)
+                distinct = np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
+                out.append((xxhash.xxh3_128_hexdigest(joined), _majority(hashes), len(distinct), part_keys(distinct, similarity), distinct.view(np.int64).tolist() if len(distinct) <= FEW / similarity else []))
+            yield pd.DataFrame(out, columns=["digest", "fp", "n", "keys", "few"])
+
+    @F.pandas_udf("array<bigint>")
+    def sets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import numpy as np
+
+        for s in parts:
+            yield pd.Series([np.unique(np.frombuffer(shingles(t, words)[1], ">i8").astype(np.int64)) for t in s], dtype=object)
+
     columns = docs.columns
-    base = stored(fingerprints(docs.withColumn("_tessera_row", F.monotonically_increasing_id()), words, text, "_tessera_fp"))
+    base = stored(docs.withColumn("_tessera_row", F.monotonically_increasing_id()).withColumn("_tessera_signature", signature.asNondeterministic()(F.col(text))))
     rank = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_tessera_row").alias("row"))
-    fps = stored(base.groupBy(F.col("_tessera_fp").alias("fp")).agg(F.min(rank).alias("best")))
-    first = _classes(fps.select("fp")).join(fps, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_tessera_row"))
-    return base.join(first, "_tessera_row", "left_semi").select(*columns)
+    firsts = base.groupBy(F.col("_tessera_signature.digest").alias("digest")).agg(F.min(rank).alias("best")).select("best", F.col("best.row").alias("_tessera_row"))
+    units = stored(base.select("_tessera_row", "_tessera_signature").join(firsts, "_tessera_row").select(F.col("_tessera_row").alias("unit"), "best", "_tessera_signature.fp", "_tessera_signature.n", "_tessera_signature.keys", "_tessera_signature.few"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("_tessera_row")).distinct()
+        of = stored(base.select("_tessera_row", F.col(text).alias("_tessera_text")).join(wanted, "_tessera_row", "left_semi").select(F.col("_tessera_row").alias("unit"), sets.asNondeterministic()(F.col("_tessera_text")).alias("set")))
+        both = spread_join(pairs, of.toDF("b", "set_b"), "b").join(of.toDF("a", "set_a"), "a")  # b, the smaller one, may have many
+        shared = F.size(F.array_intersect("set_a", "set_b"))
+        counted = both.select("a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
+        return stored(counted.where(F.col("shared") >= F.lit(similarity) * (F.col("sizes") - F.col("shared")) - F.lit(1e-9)).select("a", "b"))
+
+    small = rarest(units.where(F.size("few") > 0), similarity)
+    spread = stored(units.select("unit", "n", F.explode("keys").alias("key")).unionByName(small))
+    first = components(similar(first_candidates(units, spread, similarity)))
+    roots = stored(units.select("unit").join(first, F.col("unit") == F.col("node"), "left").select("unit", F.coalesce("root", "unit").alias("root")))
+    links = similar(second_candidates(spread, roots, similarity))
+    rooted = units.select("unit", "best").join(roots, "unit")
+    if not links.isEmpty():
+        ends = links.join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b")
+        second = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).toDF("root", "joined")
+        rooted = rooted.join(second, "root", "left").select("best", F.coalesce("joined", "root").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_tessera_row"))
+    return base.join(kept, "_tessera_row", "left_semi").select(*columns)

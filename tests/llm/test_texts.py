@@ -206,12 +206,12 @@ def texts():
 def test_bpe_equals_the_library(spark, library, monkeypatch):
     monkeypatch.setattr(bpe, "LONG", 600)  # so that parts of words are dealt out too
     rows = texts()
-    d = spark.createDataFrame([(i, t, "n", "s") for i, t in enumerate(rows)], "doc_id int, text string, no string, s string")
+    d = spark.createDataFrame([(i, t, "n", "s", "mine") for i, t in enumerate(rows)], "doc_id int, text string, no string, s string, decoded string")
     out = bpe.digests(d, tokenizer_path())
     assert set(out.columns) == {*d.columns, "ids", "n_tokens", "ids_sha256", "decoded_sha256"}
     for row in out.collect():
         want = library.encode(rows[row["doc_id"]] or "", add_special_tokens=False).ids
-        assert row["ids"] == want and row["n_tokens"] == len(want) and row["s"] == "s"
+        assert row["ids"] == want and row["n_tokens"] == len(want) and row["s"] == "s" and row["decoded"] == "mine"
         assert row["ids_sha256"] == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
         assert row["decoded_sha256"] == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
 
@@ -224,6 +224,17 @@ def test_bpe_joins_parts_of_any_size(library, monkeypatch):
         assert bpe._ids(v, [v.word(word)]).to_pylist()[0] == library.encode(word, add_special_tokens=False).ids
 
 
+def test_bpe_refuses_other_kinds_of_files(tmp_path):
+    import json
+
+    spec = json.load(open(tokenizer_path(), encoding="utf-8"))
+    for change in ({"decoder": {"type": "ByteLevel"}}, {"normalizer": None}, {"model": spec["model"] | {"byte_fallback": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="not a word-level BPE file"):
+            bpe.Vocabulary(str(path))
+
+
 def test_bpe_of_an_empty_table(spark):
     assert bpe.digests(spark.createDataFrame([], "doc_id int, text string"), tokenizer_path()).count() == 0
 
@@ -235,6 +246,12 @@ PAGES = {
     '<script>var t="</p>";</script><style>p{}</style><article><p>x<!-- <p>no</p> -->y</p><pre>a  b</pre></article><noscript>Enable</noscript>': "xy\na b",
     '<div class="page with-sidebar"><div class="text"><h1>Title</h1><p>All of the text of this page is in here.</p><p>Indeed.</p></div><div class="sidebar"><p>Links</p></div></div>': "Title\nAll of the text of this page is in here.\nIndeed.",
     '<div class="article-header"><h1>One</h1></div><article><p>Text.</p></article><div class="comments"><p>A very long comment, far longer than the article, by a reader who likes to write, and so on and on.</p></div>': "One\nText.",
+    "<p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> is famous.</p>": "Energy E=m is famous.",
+    "<article><p>Before.</p><svg><text>a label</text><p>After, and to the end.</p></article>": "Before.\na label\nAfter, and to the end.",
+    "<article><p>See</p><object data=x>a fallback</object><p>here.</p></article>": "See\na fallback\nhere.",
+    '<body id="story-form"><div id="story-form"><h1>Title</h1><p>A story that is long enough, indeed.</p></div></body>': "Title\nA story that is long enough, indeed.",
+    '<article><p>Some long text is in here.</p><table class="menu"><tr><td>Soup of the day</td><td>3.50</td></tr></table><div class="reply-from-editor"><p>The editor says that this is right.</p></div></article>': "Some long text is in here.\nSoup of the day\n3.50\nThe editor says that this is right.",
+    "<p>Text here is fine, really good.</p><p><a href=x>Read the whole report of the committee here.</a></p><p>More text, of course.</p>": "Text here is fine, really good.\nRead the whole report of the committee here.\nMore text, of course.",
     "": "",
     "<nav>only a menu</nav>": "",
 }
@@ -254,6 +271,53 @@ def test_main_text_of_a_long_page_and_of_broken_ones():
         assert isinstance(html.main_text(broken), str)
 
 
+def test_main_text_takes_linear_time():
+    """About a megabyte each of unclosed, nested, unended and quoted tags, and of blocks in doubt."""
+    import time
+
+    for page in ("<b><i>" * 170_000, "<div>" * 200_000 + "x", "<a " * 340_000, '<a x="' * 170_000 + ">", "<!--" * 250_000, "<p>a<div>b" * 100_000, "<li><a href=x>y z</a>" * 48_000):
+        start = time.time()
+        html.main_text(page)
+        assert time.time() - start < 30, page[:20]
+
+
+def unmarked(page):
+    """A page of divisions only, without the names and classes that tell content from boilerplate."""
+    return re.sub(r'\s(class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer|aside|main|header|form|p|h1|h2|ul|li)\b[^>]*>", r"<\1div>", page))
+
+
+def test_the_cut_decides_where_signs_are_absent(spark):
+    """On unmarked pages the cut changes labels, and more of them are right than by the odds alone."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    weights = html.fit(sorted(r for p in pages[:100] for r in html.lessons(p)))
+    changed, right = 0, [0, 0]
+    for page in pages[100:]:
+        truth = set(html.main_text(page, weights).split("\n"))
+        found = html.blocks(unmarked(page))
+        costs = [html.odds(b, weights) for b in found]
+        kept = html.cut(costs, html.edges(found))
+        for b, c, k in zip(found, costs, kept, strict=True):
+            changed += (c >= 0) != k
+            right[0] += (c >= 0) == (b.text in truth)
+            right[1] += k == (b.text in truth)
+    assert changed > 0 and right[1] > right[0]
+
+
+def test_a_whole_page_equals_trying_all_labellings():
+    r = random.Random(8)
+    kinds = ["<p>{}</p>", "<div>{}</div>", "<li><a href=x>{}</a></li>", "<div class=menu>{}</div>", "<h2>{}</h2>", "<section><p>{}</p></section>", "<div class=ad>{}</div>"]
+    for _ in range(60):
+        page = "".join(r.choice(kinds).format(" ".join(["word"] * r.randint(1, 12)) + str(i) + r.choice([".", ""])) for i in range(r.randint(1, 9)))
+        page = r.choice(["<article>{}</article>", "<div>{}</div>", "{}"]).format(page)
+        found = html.blocks(page)
+        costs, ties = [html.odds(b) for b in found], html.edges(found)
+        value = lambda side, c=costs, t=ties: sum(max(x, 0) if not k else max(-x, 0) for x, k in zip(c, side, strict=True)) + sum(w for i, j, w in t if side[i] != side[j])
+        text = html.main_text(page)
+        side = [b.text in text.split("\n") for b in found]
+        assert text == "\n".join(b.text for b, k in zip(found, side, strict=True) if k)
+        assert abs(value(side) - plain_cut(costs, ties)) < 1e-6
+
+
 def plain_cut(costs, ties):
     """The least cut's value by trying all labellings."""
     n = len(costs)
