@@ -29,7 +29,7 @@ class Chunking:
     tokens: int = 500
     min_chars: int = 350
     min_embed_chars: int = 5
-    max_chunks: int = 10_000
+    max_chunks: int | None = None
     breaks: str = ".!?;\n"
 
 

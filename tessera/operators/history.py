@@ -109,3 +109,27 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
 def parse_messages(messages: Column) -> Column:
     """array<struct<role, content>> of an array of JSON strings; what doesn't parse has nulls."""
     return F.transform(messages, lambda m: F.from_json(m, "role string, content string"))
+
+
+def cache_size(size: int, compacts: bool, config: Compaction = Compaction()) -> int:
+    """How many turns a cache holds: with compaction at least what that leaves, the turns kept and their summary."""
+    return max(size, config.keep + 1) if compacts else size
+
+
+def compaction_target(requests: DataFrame, models: DataFrame, default: str) -> DataFrame:
+    """`requests` (provider, override_provider, override_model) with target_provider and target_model: the override, else the request's provider, else the
+    default one; the override's model, else the provider's own by models(name, model)."""
+    provider = T.first_nonblank(F.lower("override_provider"), F.lower("provider"), F.lit(default))
+    out = requests.withColumn("target_provider", provider).join(models.select(F.col("name").alias("target_provider"), F.col("model").alias("_model")), "target_provider", "left")
+    return out.withColumn("target_model", T.first_nonblank(F.col("override_model"), F.col("_model"))).drop("_model")
+
+
+#: What a cache holds for a user who is known to have no instructions, so that the next look-up needn't ask the store.
+NO_INSTRUCTIONS = ""
+
+
+def cached_instructions(users: DataFrame, instructions: DataFrame) -> DataFrame:
+    """user_id, cached, instruction_text: the cache's value, the marker for users without instructions, and what a reader gets, null for the marker."""
+    rows = users.select("user_id").distinct().join(instructions.select("user_id", "instruction_text"), "user_id", "left")
+    cached = F.coalesce(T.nonblank(F.col("instruction_text")), F.lit(NO_INSTRUCTIONS))
+    return rows.select("user_id", cached.alias("cached"), F.nullif(cached, F.lit(NO_INSTRUCTIONS)).alias("instruction_text"))

@@ -109,11 +109,11 @@ TOKEN = re.compile(r"\w+|[^\w\s]")
 
 def split_text(text: str | None, config: Chunking = Chunking()) -> list[str]:
     """Chunks of at most `tokens` words and signs. A chunk ends after the last break character beyond `min_chars`, if it
-    has one; the last ends with the text. Chunks of `min_embed_chars` or fewer, and those beyond `max_chunks`, go."""
+    has one; the last ends with the text. Chunks of `min_embed_chars` or fewer, and those beyond `max_chunks`, if that is set, go."""
     out, at, text = [], 0, text or ""
     ends = [m.end() for m in TOKEN.finditer(text)]
     done = 0  # tokens before `at`
-    while at < len(text) and len(out) < config.max_chunks and done < len(ends):
+    while at < len(text) and (config.max_chunks is None or len(out) < config.max_chunks) and done < len(ends):
         last = min(done + config.tokens, len(ends)) - 1
         end = ends[last]
         if last < len(ends) - 1:

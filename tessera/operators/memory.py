@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,6 +36,11 @@ def insert(items: DataFrame, new: DataFrame, default_user: str = "default", conf
     return items.unionByName(rows.where(insert_errors(F.col("user_id"), F.col("text"), config).isNull()).select(*items.columns))
 
 
+def shared_items(rows: DataFrame) -> DataFrame:
+    """Rows of the memory store under the names that clients use: its `memory` is their text; a missing score is 0."""
+    return rows.select("id", "user_id", F.col("memory").alias("text"), F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
+
+
 def delete(items: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return items.join(ids.select(key), key, "left_anti")
 
@@ -66,44 +72,36 @@ def strings(text: str) -> list[str] | None:
     return [x if isinstance(x, str) else json.dumps(x) for x in value if x is not None]
 
 
+#: A pair of a backslash and what it hides, a quoted string (to the end of the text if nothing closes it), or a bracket.
+SIGNS = re.compile(r'\\.|"(?:\\.|[^"\\])*(?:"|\Z)|[\[\]]', re.S)
+
+
 def last_array(text: str) -> str | None:
     """The last bracketed range at the top level. Brackets in strings don't count; a quotation mark in prose opens a
     string too, and a backslash hides what follows wherever it stands."""
-    depth, start, found, quoted, hidden = 0, -1, None, False, False
-    for i, c in enumerate(text):
-        if hidden:
-            hidden = False
-        elif c == "\\":
-            hidden = True
-        elif c == '"':
-            quoted = not quoted
-        elif quoted:
-            continue
-        elif c == "[":
-            if depth == 0:
-                start = i
-            depth += 1
-        elif c == "]" and depth:
-            depth -= 1
-            if depth == 0:
-                found = (start, i + 1)
-    return text[slice(*found)] if found else None
+    opened: list[int] = []
+    whole: list[tuple[int, int]] = []
+    for sign in SIGNS.finditer(text):
+        if sign[0] == "[":
+            opened.append(sign.start())
+        elif sign[0] == "]" and opened:
+            span = opened.pop(), sign.end()
+            if not opened:
+                whole.append(span)
+    return text[slice(*whole[-1])] if whole else None
+
+
+#: A fence with its language before a text, and one after it.
+FENCES = re.compile(r"\A```json\s*|\s*```\Z")
 
 
 def facts(response: str | None) -> list[str]:
     """The facts in a model's response: the whole text as an array of strings, fences taken off, else its last array."""
     if not response or not response.strip():
         return []
-    text = response.strip()
-    if text.startswith("```json"):
-        text = text.replace("```json", "").strip()
-    if text.endswith("```"):
-        text = text[: text.rfind("```")].strip()
-    out = strings(text)
-    if out is None:
-        inner = last_array(text)
-        out = strings(inner) if inner else None
-    return out or []
+    text = FENCES.sub("", response.strip())
+    inner = None if (out := strings(text)) is not None else last_array(text)
+    return (strings(inner) if inner else out) or []
 
 
 def extract_facts(responses: DataFrame, text: str = "response") -> DataFrame:

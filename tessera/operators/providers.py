@@ -65,3 +65,20 @@ def embed(rows: DataFrame, text: str = "text", into: str = "embedding", size: in
         return let(length, lambda d: F.transform(n, lambda x: F.when(d > 0, x / d).otherwise(0.0).cast("float")))
 
     return rows.withColumn(into, let(counts, unit))
+
+
+def collection(size: Column, prefix: str = "vectors", separator: str = "-") -> Column:
+    """The name of the collection for embeddings of a size: providers of one size share it."""
+    return F.concat(F.lit(prefix + separator), size.cast("string"))
+
+
+def missing_collections(providers: DataFrame, existing: DataFrame, prefix: str = "vectors") -> DataFrame:
+    """name, size, metric: the collections that providers(name, size) ask for and existing(name) lacks, each once."""
+    wanted = providers.where(F.col("size") > 0).select(collection(F.col("size"), prefix).alias("name"), "size", F.lit("cosine").alias("metric")).distinct()
+    return wanted.join(existing.select("name"), "name", "left_anti")
+
+
+def collections_by_provider(providers: DataFrame, prefix: str = "vectors") -> DataFrame:
+    """One row with stores: the map of a provider's name to its collection."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col("name").alias("key"), collection(F.col("size"), prefix).alias("value"))))
+    return providers.agg(F.map_from_entries(entries).alias("stores"))

@@ -14,6 +14,7 @@ from tessera.functions.vectors import cosine
 
 #: Query vectors that one pass over the vectors answers; more are asked in as many passes as it takes.
 QUERY_BLOCK = 1024
+# The words around a context.
 OPENING = "<rag_context>\nThe following context may be relevant. Use it only if it helps; otherwise ignore it.\n\n"
 CLOSING = "</rag_context>"
 
@@ -114,7 +115,9 @@ def context_block(snippets: DataFrame, request: str, rank: str) -> DataFrame:
     return snippets.groupBy(request).agg(F.concat(F.lit(OPENING), body, F.lit(CLOSING)).alias("context"))
 
 
-def source_files(found: DataFrame, objects: DataFrame, ttl_seconds: int, config: Retrieval = Retrieval()) -> DataFrame:
-    """Sources whose object exists and is within the size limit, with mime type, size and a link's life of 1 to 60 minutes."""
+def source_files(found: DataFrame, objects: DataFrame, ttl_seconds: int, config: Retrieval = Retrieval(), mimes: list[str] | None = None) -> DataFrame:
+    """Sources whose object exists and is within the size limit, and of one of `mimes` if these are given, with the columns of objects(bucket, key,
+    size, mime, ...) and a link's life of 1 to 60 minutes."""
     life = F.lit(max(60, min(3600, ttl_seconds)))
-    return found.join(objects, ["bucket", "key"]).where(F.col("size") <= config.max_source_bytes).withColumn("ttl_seconds", life)
+    out = found.join(objects, ["bucket", "key"]).where(F.col("size") <= config.max_source_bytes).withColumn("ttl_seconds", life)
+    return out.where(F.lower("mime").isin(*mimes)) if mimes is not None else out

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Languages that text recognition takes.
 OCR_LANGUAGES = ("en", "pl", "de", "fr", "es", "it", "pt", "nl", "ru", "ch", "ja", "ko")
@@ -81,3 +86,49 @@ def with_status(requests: DataFrame, answers: DataFrame, keys: list[str]) -> Dat
     """Every request with its answer's columns and a status: ok, or no_results where no answer has its keys."""
     out = requests.join(answers.withColumn("_found", F.lit(True)), keys, "left")
     return out.withColumn("status", F.when(F.col("_found"), "ok").otherwise("no_results")).drop("_found")
+
+
+def limit_error(limit: Column, least: int = 1, most: int = 10) -> Column:
+    """Why a number of results can't be asked for; null if it can. A null limit is the default."""
+    return F.when(~F.coalesce(limit.between(least, most), F.lit(True)), f"limit must be between {least} and {most}")
+
+
+def limited(candidates: DataFrame, query: str, position: str, limit: Column, default: int = 5) -> DataFrame:
+    """The first results of each query by position, as many as its valid limit says; an invalid one gives none."""
+    ranked = candidates.withColumn("_at", F.row_number().over(Window.partitionBy(query).orderBy(position)))
+    return ranked.where(limit_error(limit).isNull() & (F.col("_at") <= F.coalesce(limit, F.lit(default)))).drop("_at")
+
+
+def first_day(series: DataFrame, arrays: dict[str, str], time: str = "time") -> DataFrame:
+    """The first day of each row of parallel arrays: other columns, date, a column for each array, and the error no_results without days."""
+    others = [c for c in series.columns if c not in (time, *arrays)]
+    first = lambda a: F.get(F.col(a), F.lit(0))
+    return series.select(*others, first(time).alias("date"), *[first(a).alias(c) for a, c in arrays.items()], F.when(first(time).isNull(), "no_results").alias("error"))
+
+
+def measured(value: Column, unit: Column) -> Column:
+    """struct(value, unit), null without a value."""
+    return F.when(value.isNotNull(), F.struct(value.alias("value"), unit.alias("unit")))
+
+
+def current_result(rows: DataFrame, place: list[str], measures: dict[str, tuple[str, str]]) -> DataFrame:
+    """A nested result: location, a struct of the columns of `place`, and for each of `measures` (name to column of value and of unit) a struct of both."""
+    return rows.select(F.struct(*place).alias("location"), *[measured(F.col(v), F.col(u)).alias(name) for name, (v, u) in measures.items()])
+
+
+def polygons(raw: Column) -> Column:
+    """Polygons from JSON arrays of points; one that is no list of pairs of numbers is empty."""
+    points = F.from_json(raw, "array<array<double>>")
+    good = F.forall(points, lambda p: (F.size(p) == 2) & F.forall(p, lambda x: x.isNotNull()))
+    return F.when(F.coalesce(good, F.lit(False)), points).otherwise(F.array().cast("array<array<double>>"))
+
+
+def cache_key(rows: DataFrame, text: str, into: str = "cache_key") -> DataFrame:
+    """`rows` with the text in compatible composed form (NFKC), lower case and without white space at its ends; null for null."""
+
+    @F.pandas_udf("string")
+    def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series([None if x is None else unicodedata.normalize("NFKC", x).strip().lower() for x in s], dtype=object)
+
+    return rows.withColumn(into, each.asNondeterministic()(F.col(text)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tessera.config import PageGate
 from tessera.functions import text as T
 from tessera.functions import urls as U
-from tessera.functions.expr import let
 from tessera.session import ship
 
 #: Elements whose content is noise.
@@ -21,6 +20,8 @@ NOISE = ("script", "style", "nav", "footer", "iframe")
 #: Signs of a blocked page and of a login wall.
 SCRIPT_SIGNATURES = ("arkoselabs.com", "recaptcha/api.js", "hcaptcha.com/1/api.js", "datadome.co/tags.js", "perimeterx.net")
 STRICT_PHRASES = ("Prove your humanity", "Pardon Our Interruption", "Please verify you are a human", "Checking if the site connection is secure", "Just a moment...", "Attention Required!")
+CHALLENGE_MARKS = ("cf-turnstile", "cf_clearance")
+RAY_ID = r"(?i)Ray ID: \w+"
 LOGIN_TITLES = ("sign in", "log in", "login", "sign into", "create account")
 SKIPPED_LINKS = ("#", "mailto:", "tel:", "javascript:")
 
@@ -156,8 +157,8 @@ def page_links(pages: DataFrame, part: str | None = None, url: str = "url", html
 
 def is_blocked(html: Column, status: Column, config: PageGate = PageGate()) -> Column:
     """Whether a page is a challenge: an empty one by its status, a short one by its signs."""
-    signs = html.rlike(r"(?i)Ray ID: \w+")
-    for s in (*SCRIPT_SIGNATURES, *STRICT_PHRASES, "cf-turnstile", "cf_clearance"):
+    signs = html.rlike(RAY_ID)
+    for s in (*SCRIPT_SIGNATURES, *STRICT_PHRASES, *CHALLENGE_MARKS):
         signs = signs | F.contains(html, F.lit(s))
     empty = html.isNull() | (html == "")
     return F.when(empty, F.coalesce(status.isin(403, 429, 503), F.lit(False))).when(F.length(html) > config.challenge_chars, False).otherwise(signs)
@@ -179,18 +180,45 @@ def challenge(html: Column, status: Column) -> Column:
     return F.when(is_blocked(html, status), "blocked").when(is_login_wall(html), "login").otherwise("none")
 
 
-def read(pages: DataFrame, tiers: list[tuple[str, Column]], url: str = "url", html: str = "html", status: Column | None = None) -> DataFrame:
-    """`pages` with content, mode and reason: the first tier's text that passes the quality gate, as coalesce() stops there.
+def read(pages: DataFrame, tiers: list[tuple[str, Column | Callable[[Column], Column]]], url: str = "url", html: str = "html", status: Column | None = None, spent: Column | None = None, seconds: float = 90.0) -> DataFrame:
+    """`pages` with content, mode and reason: the first tier's text that passes the quality gate.
 
-    A login redirect or a challenge needs a person and gives the reason human_intervention; a page that no tier reads
-    all_tiers_failed.
+    A tier is a column, or a function from the page to one, such as a Python reader: it is given null for a page that an earlier tier has read,
+    so it works only on what is left. A login redirect or a challenge needs a person and gives the reason human_intervention; a page that no tier reads
+    all_tiers_failed, or budget_exhausted if it has `spent` more than `seconds`, which leaves it to the first tier alone.
     """
     blocked = U.is_login_redirect(F.col(url)) | (challenge(F.col(html), status if status is not None else F.lit(200)) != "none")
-    tier = lambda name: lambda t: F.when(T.quality_gate(t) == "ok", F.struct(t.alias("content"), F.lit(name).alias("mode")))
-    good = [let(text, tier(name)) for name, text in tiers]  # a tier's text is computed once, and not at all after a good one
-    out = pages.withColumn("_blocked", F.coalesce(blocked, F.lit(False))).withColumn("_read", F.when(~F.col("_blocked"), F.coalesce(*good)))
-    reason = F.when(F.col("_blocked"), "human_intervention").when(F.col("_read").isNull(), "all_tiers_failed")
-    return out.withColumns({"content": F.col("_read.content"), "mode": F.col("_read.mode"), "reason": reason}).drop("_read", "_blocked")
+    late = F.coalesce(spent > seconds, F.lit(False)) if spent is not None else F.lit(False)
+    out = pages.withColumns({"_blocked": F.coalesce(blocked, F.lit(False)), "_late": late, "_read": F.lit(None).cast("struct<content: string, mode: string>")})
+    for i, (name, tier) in enumerate(tiers):
+        open_ = F.col("_read").isNull() & ~F.col("_blocked") & (~F.col("_late") if i else F.lit(True))
+        made = tier(F.when(open_, F.col(html))) if callable(tier) and not isinstance(tier, Column) else F.when(open_, tier)
+        out = out.withColumn("_text", made)
+        good = F.struct(F.col("_text").alias("content"), F.lit(name).alias("mode"))
+        out = out.withColumn("_read", F.coalesce(F.col("_read"), F.when(open_ & (T.quality_gate(F.col("_text")) == "ok"), good))).drop("_text")
+    failed = F.when(F.col("_late"), "budget_exhausted").otherwise("all_tiers_failed")
+    reason = F.when(F.col("_blocked"), "human_intervention").when(F.col("_read").isNull(), failed)
+    return out.withColumns({"content": F.col("_read.content"), "mode": F.col("_read.mode"), "reason": reason}).drop("_read", "_blocked", "_late")
+
+
+def parsed(html: Column) -> Column:
+    """text_of() as a tier; null for null."""
+
+    @F.pandas_udf("string")
+    def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series([None if x is None else text_of(x) for x in s], dtype=object)
+
+    return each.asNondeterministic()(html)
+
+
+def read_links(pages: DataFrame, part: str | None = None, url: str = "url", html: str = "html", status: Column | None = None) -> DataFrame:
+    """`pages` with annotated, links, mode and reason: the cascade of read() on texts with link markers. The first tier marks raw anchors by
+    patterns, without a parser, where the page has none to resolve; the second one parses. What the gate refuses has no links."""
+    kept = page_links(pages, part, url, html)
+    plain = F.when(~F.col(html).rlike(r"(?i)<a\s"), plain_text(F.col(html)))
+    out = read(kept, [("patterns", plain), ("parser", F.col("annotated"))], url, html, status)
+    return out.withColumns({"annotated": F.col("content"), "links": F.when(F.col("content").isNotNull(), F.col("links"))}).drop("content")
 
 
 class _Results(HTMLParser):
@@ -247,8 +275,35 @@ def parse_search(pages: DataFrame, limit: int = 10, html: str = "html") -> DataF
     return rows.select(*others, (F.col("_at") + 1).alias("rank"), "_r.title", "_r.url", "_r.content")
 
 
-def blocked_by(url: Column, rules: list[str]) -> Column:
-    """Whether a URL contains any of a checked, small list of rules."""
-    if len(rules) > 10_000:
-        raise ValueError("a list of rules in a plan has 10,000 at most; join a larger one")
-    return F.exists(F.array(*map(F.lit, rules)), lambda r: F.contains(url, r)) if rules else F.lit(False)
+#: Characters that end a part of a URL; `^` in a rule stands for one, or for the end.
+SEPARATOR = r"(?:[^A-Za-z0-9_.%-]|$)"
+#: What a host anchor stands for.
+HOST_ANCHOR = r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*\.)?"
+
+
+def filter_pattern(rule: Column) -> Column:
+    """A regular expression for an address rule of a filter list, options cut off: `||` is the beginning of a host's label, `|` an end of the URL,
+    `*` anything, `^` a separator."""
+    body = F.regexp_replace(F.regexp_replace(rule, r"^@@", ""), r"\$[~a-z0-9_,=|.-]+$", "")
+    host, start, end = body.startswith("||"), body.startswith("|"), body.endswith("|")
+    core = F.regexp_replace(F.regexp_replace(body, r"^\|{1,2}", ""), r"\|$", "")
+    core = F.regexp_replace(core, r"([.+?(){}\[\]|\\$])", r"\\$1")
+    core = F.replace(F.replace(core, F.lit("*"), F.lit(".*")), F.lit("^"), F.lit(SEPARATOR))
+    return F.concat(F.lit("(?i)"), F.when(host, HOST_ANCHOR).when(start, "^").otherwise(""), core, F.when(end, "$").otherwise(""))
+
+
+def blocked(pages: DataFrame, rules: DataFrame, url: str = "url", into: str = "is_blocked") -> DataFrame:
+    """`pages` with whether a rule of rules(rule) matches its URL and no exception (`@@`) does. Comments, blank lines and element rules are none.
+
+    A rule is looked up by the first three letters or digits in a row that it has, in lower case, among those of the URL: an equi-join, so the list may be of any
+    size. Rules without such a row are few and general; they are looked up in all URLs under an empty key.
+    """
+    text = T.strip(F.col("rule"))
+    good = (text != "") & ~text.startswith("!") & ~text.startswith("[") & ~text.rlike("##|#@#|#[?]#")
+    known = rules.where(good).select(filter_pattern(text).alias("pattern"), text.startswith("@@").alias("excepts"), F.lower(F.regexp_extract(F.regexp_replace(text, r"\$[~a-z0-9_,=|.-]+$", ""), r"[A-Za-z0-9]{3}", 0)).alias("key")).distinct()
+    base = pages.withColumn("_row", F.monotonically_increasing_id())
+    u = F.lower(F.col(url))
+    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(u) - 2, F.lit(1))), lambda i: F.substring(u, i, F.lit(3))))
+    hits = base.select("_row", F.col(url).alias("_url"), F.explode(F.concat(keys, F.array(F.lit("")))).alias("key")).join(known, "key").where(F.regexp_like("_url", F.col("pattern")))
+    marks = hits.groupBy("_row").agg(F.bool_or(~F.col("excepts")).alias("_yes"), F.bool_or("excepts").alias("_no"))
+    return base.join(marks, "_row", "left").withColumn(into, F.coalesce(F.col("_yes") & ~F.col("_no"), F.lit(False))).drop("_row", "_yes", "_no")

@@ -18,7 +18,7 @@ from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.operators import history, ingest, memory, metrics, providers, retrieval, shaping, transcript, web
 from tessera.plans import prompt
-from tessera.session import table
+from tessera.session import ship, table
 from tessera.streaming import ingest as streamed
 from tessera.streaming import windows
 
@@ -255,14 +255,20 @@ def ingest_chunks(spark, sf):
     return ingest.chunks(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+#: Ten words and more, of which next to none are words, and a plain text beside them.
+UNREADABLE = ((-1, "incomprehensibilities * * * * * * * * * *"), (-2, "### internationalization --- --- --- *** %%% &&& === +++ ~~~ unconstitutionality"), (-3, "a * b * c * d * e * f * g"))
+
+
 @query(
-    "WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents) "
+    f"WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f"({i}, '{t}')" for i, t in UNREADABLE)}) v(doc_id, text)), "
+    "w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w, regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}'']+') AS l FROM t) "
     "SELECT doc_id, CASE WHEN len(w) = 0 THEN 'empty' WHEN regexp_matches(text, 'Access Denied|403 Forbidden|Captcha|Security Check|Enable JavaScript|Additional Verification Required|Ray ID') THEN 'error' WHEN len(w) < 10 THEN 'short' "
+    "WHEN len(l) < 10 AND 206.835 - 1.015 * greatest(len(l), 1) / greatest(len(regexp_extract_all(text, '[.!?]+')), 1) - 84.6 * coalesce(list_sum(list_transform(l, lambda x: greatest(len(regexp_extract_all(lower(x), '[aeiouy]+')), 1))), 0) / greatest(len(l), 1) < 20 THEN 'unreadable' "
     "WHEN len(w) > 50 AND len(list_distinct(w)) / len(w) < 0.1 THEN 'repetitive' ELSE 'ok' END AS gate FROM w"
 )
 def text_quality_gate(spark, sf):
-    gate = T.quality_gate(F.col("text"))  # no text with ten words or more has fewer than ten without punctuation here
-    return table(spark, sf, "documents").select("doc_id", F.when(gate == "unreadable", "ok").otherwise(gate).alias("gate"))
+    odd = spark.createDataFrame([*UNREADABLE], "doc_id bigint, text string")
+    return table(spark, sf, "documents").select("doc_id", "text").unionByName(odd).select("doc_id", T.quality_gate(F.col("text")).alias("gate"))
 
 
 ODD_PAGES = (
@@ -326,8 +332,14 @@ def page_links(spark, sf):
 
 @query()
 def read_cascade(spark, sf):
-    pages = web.html_to_text(_pages(spark, sf), into="parsed")
-    return web.read(pages, [("patterns", web.plain_text(F.col("html"))), ("parser", F.col("parsed"))], status=F.col("status")).select("page_id", "content", "mode", "reason")
+    ship(spark)
+    return web.read(_pages(spark, sf), [("patterns", web.plain_text(F.col("html"))), ("parser", web.parsed)], status=F.col("status")).select("page_id", "content", "mode", "reason")
+
+
+@query()
+def read_links(spark, sf):
+    """The cascade on texts with link markers."""
+    return web.read_links(_pages(spark, sf), status=F.col("status")).select("page_id", "annotated", F.to_json("links").alias("links"), "mode", "reason")
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages")
@@ -474,12 +486,14 @@ def archive_cap(spark, sf):
 
 @query(
     "WITH h AS (SELECT page_id, string_split(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '.') AS l FROM pages), d AS (SELECT page_id, array_to_string(list_slice(l, -2, -1), '.') AS domain FROM h), "
-    "a AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id DESC) AS r FROM d WHERE page_id <= 200 AND page_id >= 80) SELECT domain, page_id FROM a WHERE r = 1"
+    "a AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id DESC) AS r FROM d) SELECT domain, page_id FROM a WHERE r = 1 AND page_id >= (SELECT max(page_id) // 2 FROM pages)"
 )
 def cookie_sessions(spark, sf):
-    """The last session of each registrable domain within two hours; a page's id is its minute."""
-    rows = table(spark, sf, "pages").where("page_id <= 200").select("page_id", U.registrable_domain(F.col("url")).alias("domain"), F.timestamp_seconds(F.col("page_id") * 60).alias("saved"))
-    return metrics.latest_alive(rows, "domain", "saved", 7200, F.timestamp_seconds(F.lit(200 * 60)), "page_id").select("domain", "page_id")
+    """The last session of each registrable domain, if it is alive; a page's id is its minute, the last one is now, and a session lives for half of all time."""
+    pages = table(spark, sf, "pages")
+    last = pages.agg(F.max("page_id")).first()[0] or 0
+    rows = pages.select("page_id", U.registrable_domain(F.col("url")).alias("domain"), F.timestamp_seconds(F.col("page_id") * 60).alias("saved"))
+    return metrics.latest_alive(rows, "domain", "saved", (last - last // 2) * 60, F.timestamp_seconds(F.lit(last * 60)), "page_id").select("domain", "page_id")
 
 
 @query("SELECT conv_id, string_agg('- ' || text, chr(10) ORDER BY turn) AS memory FROM conversations WHERE role = 'user' AND regexp_matches(coalesce(text, ''), '\\S') GROUP BY conv_id")
@@ -499,15 +513,15 @@ def tool_names(spark, sf):
     return metrics.first_seen(table(spark, sf, "events"), "user_id", "event_type", "event_id").select("user_id", F.array_join("names", ",").alias("names"))
 
 
-@query("SELECT bucket, key, size, 3600 AS ttl_seconds FROM (SELECT 'b' || CAST(doc_id % 3 AS VARCHAR) AS bucket, source || '/' || CAST(doc_id AS VARCHAR) AS key, n_chars AS size FROM documents WHERE doc_id % 2 = 0) WHERE size <= 3000")
+@query("SELECT bucket, key, size, mime, 3600 AS ttl_seconds FROM (SELECT 'b' || CAST(doc_id % 3 AS VARCHAR) AS bucket, source || '/' || CAST(doc_id AS VARCHAR) AS key, n_chars AS size, CASE WHEN lang = 'en' THEN 'text/plain' WHEN lang = 'de' THEN 'Application/PDF' ELSE 'video/mp4' END AS mime FROM documents) WHERE size <= 3000 AND lower(mime) IN ('text/plain', 'application/pdf')")
 def source_files(spark, sf):
-    objects = table(spark, sf, "documents").select(F.concat(F.lit("b"), (F.col("doc_id") % 3).cast("string")).alias("bucket"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("key"), F.col("n_chars").alias("size"), "doc_id")
-    return retrieval.source_files(objects.where("doc_id % 2 = 0").select("bucket", "key"), objects.drop("doc_id"), 86_400, Retrieval(max_source_bytes=3000))
+    objects = table(spark, sf, "documents").select(F.concat(F.lit("b"), (F.col("doc_id") % 3).cast("string")).alias("bucket"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("key"), F.col("n_chars").alias("size"), F.when(F.col("lang") == "en", "text/plain").when(F.col("lang") == "de", "Application/PDF").otherwise("video/mp4").alias("mime"))
+    return retrieval.source_files(objects.select("bucket", "key"), objects, 86_400, Retrieval(max_source_bytes=3000), ["text/plain", "application/pdf"])
 
 
-@query("SELECT n_nationkey, n, CASE WHEN n IS NULL THEN 'no_results' ELSE 'ok' END AS status FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY s_nationkey) ON s_nationkey = n_nationkey")
+@query("SELECT n_nationkey, n, CASE WHEN n IS NULL THEN 'no_results' ELSE 'ok' END AS status FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey) ON s_nationkey = n_nationkey")
 def forecast_lookup(spark, sf):
-    answers = table(spark, sf, "supplier").where("s_suppkey % 3 = 0").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    answers = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
     return shaping.with_status(table(spark, sf, "nation").select("n_nationkey"), answers, ["n_nationkey"])
 
 
@@ -532,6 +546,8 @@ def _shared(spark: SparkSession) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return tempfile.mkdtemp(prefix="tessera-")
 
 
@@ -568,6 +584,111 @@ def stream_ingest(spark, sf):
     return streamed.latest(spark, f"{folder}/index").select("source", "version", "chunk_no", "chunk")
 
 
+MODELS = (("openai", 1536, "small"), ("gemini", 768, "flash"), ("lmstudio", 768, "local"), ("none", 0, None))
+MODELS_SQL = "(VALUES ('openai', 1536, 'small'), ('gemini', 768, 'flash'), ('lmstudio', 768, 'local'), ('none', 0, NULL)) m(name, size, model)"
+
+
+def _models(spark):
+    return spark.createDataFrame([*MODELS], "name string, size int, model string")
+
+
+@query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS r FROM conversations) WHERE r <= 4")
+def chat_cache(spark, sf):
+    """What a cache of two turns holds when compaction keeps three."""
+    return history.tail(table(spark, sf, "conversations"), history.cache_size(2, True, SMALL)).select("conv_id", "turn", "role", "text")
+
+
+@query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS r FROM conversations) WHERE r <= 2")
+def chat_head_n(spark, sf):
+    return history.tail(table(spark, sf, "conversations"), 2, keep="oldest").select("conv_id", "turn", "role", "text")
+
+
+@query(f"WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'OpenAI' END AS o, CASE WHEN c_custkey % 3 = 0 THEN 'gemini' WHEN c_custkey % 3 = 1 THEN ' ' END AS p, CASE WHEN c_custkey % 8 = 0 THEN 'big' END AS m FROM customer), t AS (SELECT *, coalesce(lower(o), nullif(trim(p), ''), 'lmstudio') AS target_provider FROM r) SELECT c_custkey, target_provider, coalesce(t.m, m.model) AS target_model FROM t LEFT JOIN {MODELS_SQL} ON m.name = target_provider")
+def compaction_target(spark, sf):
+    k = F.col("c_custkey")
+    asked = table(spark, sf, "customer").select("c_custkey", F.when(k % 4 == 0, "OpenAI").alias("override_provider"), F.when(k % 3 == 0, "gemini").when(k % 3 == 1, " ").alias("provider"), F.when(k % 8 == 0, "big").alias("override_model"))
+    return history.compaction_target(asked, _models(spark), "lmstudio").select("c_custkey", "target_provider", "target_model")
+
+
+@query("SELECT 'u' || CAST(c.conv_id AS VARCHAR) AS user_id, coalesce(CASE WHEN regexp_matches(i.text, '\\S') THEN i.text END, '') AS cached, CASE WHEN regexp_matches(i.text, '\\S') THEN i.text END AS instruction_text FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'system' GROUP BY conv_id) i USING (conv_id)")
+def cached_instructions(spark, sf):
+    turns = table(spark, sf, "conversations").withColumn("user_id", F.concat(F.lit("u"), F.col("conv_id").cast("string")))
+    return history.cached_instructions(turns, turns.where("role = 'system'").groupBy("user_id").agg(F.min_by("text", "turn").alias("instruction_text")))
+
+
+@query(f"SELECT DISTINCT 'vectors-' || size AS name, size, 'cosine' AS metric FROM {MODELS_SQL} WHERE size > 0 AND size <> 768")
+def missing_collections(spark, sf):
+    return providers.missing_collections(_models(spark), spark.createDataFrame([("vectors-768",)], "name string"))
+
+
+@query("SELECT '{\"gemini\":\"vectors-768\",\"lmstudio\":\"vectors-768\",\"none\":\"vectors-0\",\"openai\":\"vectors-1536\"}' AS stores")
+def collections_by_provider(spark, sf):
+    return providers.collections_by_provider(_models(spark)).select(F.to_json("stores").alias("stores"))
+
+
+@query("SELECT user_id, arg_min(event_id, event_id) AS date, arg_min(value, event_id) AS value, CAST(NULL AS VARCHAR) AS error FROM events GROUP BY user_id")
+def first_day(spark, sf):
+    pairs = F.array_sort(F.collect_list(F.struct("event_id", "value")))
+    series = table(spark, sf, "events").groupBy("user_id").agg(pairs.alias("p")).select("user_id", F.transform("p", lambda x: x["event_id"]).alias("time"), F.transform("p", lambda x: x["value"]).alias("v"))
+    return shaping.first_day(series, {"v": "value"})
+
+
+@query("SELECT json_object('location', json_object('n_name', n_name, 'n_regionkey', n_regionkey), 'key', json_object('value', n_nationkey, 'unit', 'no')) AS result FROM nation")
+def current_result(spark, sf):
+    rows = table(spark, sf, "nation").select("n_name", "n_regionkey", "n_nationkey", F.lit("no").alias("unit"))
+    out = shaping.current_result(rows, ["n_name", "n_regionkey"], {"key": ("n_nationkey", "unit")})
+    return out.select(F.to_json(F.struct("location", "key")).alias("result"))
+
+
+@query("WITH c AS (SELECT n_name, c_custkey, n_nationkey % 13 AS l, row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) AS r FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT n_name, c_custkey FROM c WHERE CASE WHEN l = 12 THEN r <= 5 WHEN l BETWEEN 1 AND 10 THEN r <= l ELSE false END")
+def geocode_limit(spark, sf):
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select("n_name", "c_custkey", F.nullif(F.col("n_nationkey") % 13, F.lit(12)).alias("asked"))
+    return shaping.limited(rows, "n_name", "c_custkey", F.col("asked")).select("n_name", "c_custkey")
+
+
+@query("SELECT doc_id, key, ends_with(lower(key), '.md') OR contains(key, 'markdown/') OR contains(key, 'documents/') AS eligible FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'documents/' WHEN 1 THEN 'else/' ELSE 'x/' END || source || CASE WHEN doc_id % 4 = 0 THEN '.Md' ELSE '.txt' END AS key FROM documents)")
+def ingest_eligible(spark, sf):
+    key = F.concat(F.when(F.col("doc_id") % 3 == 0, "documents/").when(F.col("doc_id") % 3 == 1, "else/").otherwise("x/"), F.col("source"), F.when(F.col("doc_id") % 4 == 0, ".Md").otherwise(".txt"))
+    return table(spark, sf, "documents").select("doc_id", key.alias("key")).withColumn("eligible", ingest.is_eligible(F.col("key")))
+
+
+HEADS = (("89504E470D0A1A0A", "image/png"), ("FFD8FFE0", "image/jpeg"), ("474946383961", "image/gif"), ("424D0000", "image/bmp"), ("49492A00", "image/tiff"), ("255044462D31", "application/pdf"), ("524946460000000057454250", "image/webp"), ("7465787400", None))
+
+
+@query("SELECT head, mime, CASE WHEN mime IS NULL THEN 'unrecognised file signature' WHEN mime NOT IN ('image/png', 'application/pdf') THEN 'type not allowed' END AS error FROM (VALUES " + ", ".join(f"('{h}', {repr(m) if m else 'NULL'})" for h, m in HEADS) + ") v(head, mime)")
+def accepted_types(spark, sf):
+    rows = spark.createDataFrame([(h,) for h, _ in HEADS], "head string").withColumn("content", F.unhex("head"))
+    return ingest.accept(rows, ["image/png", "application/pdf"]).select("head", "mime", "error")
+
+
+ADDRESSES = (
+    ("http://example.com/a", True), ("http://127.0.0.1/", False), ("https://192.0.2.7/", False), ("https://192.0.3.7/", True), ("http://198.51.100.1/", False), ("http://198.51.7.1/", True), ("http://203.0.113.9/", False),
+    ("http://203.0.1.9/", True), ("http://172.32.0.1/", True), ("http://172.31.0.1/", False), ("http://[::1]/", False), ("http://[fd00::1]/", False), ("http://[2606:4700::1]/", True), ("ftp://example.com/", False), ("http://localhost/", False),
+)
+
+
+@query("SELECT url, public FROM (VALUES " + ", ".join(f"('{u}', {str(p).lower()})" for u, p in ADDRESSES) + ") v(url, public) UNION ALL SELECT DISTINCT url, true FROM pages")
+def public_addresses(spark, sf):
+    urls = spark.createDataFrame([(u,) for u, _ in ADDRESSES], "url string").unionByName(table(spark, sf, "pages").select("url").distinct())
+    return urls.select("url", U.is_public_address(F.col("url")).alias("public"))
+
+
+RULES = ("! a comment", "||ththth.example.net^", "/page=", "@@||m.ththth.example.net/en/2", "|https://thther.", "##.ad", "com/fr/*5|", "#top|$third-party")
+
+
+@query("SELECT page_id, ((regexp_matches(url, '^[a-z]+://([^/?#]*\\.)?ththth\\.example\\.net([^A-Za-z0-9_.%-]|$)') OR contains(url, '/page=') OR starts_with(url, 'https://thther.') OR regexp_matches(url, 'com/fr/.*5$') OR ends_with(url, '#top')) AND NOT regexp_matches(url, '^[a-z]+://([^/?#]*\\.)?m\\.ththth\\.example\\.net/en/2')) AS is_blocked FROM pages")
+def filter_rules(spark, sf):
+    return web.blocked(table(spark, sf, "pages").select("page_id", "url"), spark.createDataFrame([(r,) for r in RULES], "rule string")).select("page_id", "is_blocked")
+
+
+@query("SELECT page_id, array_to_string(list_slice(l, -2, -1), '.') AS domain FROM (SELECT page_id, string_split(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '.') AS l FROM pages) UNION ALL SELECT * FROM (VALUES (-1, 'b.co.uk'), (-2, NULL), (-3, 'x.y.ck'), (-4, 'www.ck'), (-5, '10.0.0.1')) v(page_id, domain)")
+def suffix_domains(spark, sf):
+    odd = spark.createDataFrame([(-1, "http://a.b.co.uk/"), (-2, "http://co.uk"), (-3, "http://w.x.y.ck"), (-4, "http://a.www.ck"), (-5, "http://10.0.0.1/")], "page_id bigint, url string")
+    rules = spark.createDataFrame([(r,) for r in ("com", "net", "org", "uk", "co.uk", "*.ck", "!www.ck")], "rule string")
+    return U.with_registrable_domain(table(spark, sf, "pages").select("page_id", "url").unionByName(odd), rules).select("page_id", "domain")
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: a prompt's context for each source, out of the documents most like a query by their embedding."""
     docs = providers.embed(table(spark, sf, "documents").select("doc_id", "source", "text"))

@@ -88,10 +88,12 @@ def archive_entries(files: DataFrame, cap: int, content: str = "content") -> Dat
 
     import pandas as pd
 
+    def row(*values):
+        return pd.DataFrame([values], columns=["path", "name", "size", "data", "error"]).astype({"size": "Int64"})
+
     def each(frames):
         for f in frames:
             for path, data in zip(f["path"], f["content"], strict=True):
-                rows = []
                 try:
                     with zipfile.ZipFile(io.BytesIO(data)) as z:
                         infos = [i for i in z.infolist() if not i.is_dir()]
@@ -99,9 +101,9 @@ def archive_entries(files: DataFrame, cap: int, content: str = "content") -> Dat
                             raise ValueError("an entry leaves the archive's folder")
                         if sum(i.file_size for i in infos) > cap:
                             raise ValueError("the archive is too large")
-                        rows = [(path, i.filename, i.file_size, z.read(i), None) for i in infos]
+                        for i in infos:  # one entry at a time
+                            yield row(path, i.filename, i.file_size, z.read(i), None)
                 except (ValueError, zipfile.BadZipFile) as e:
-                    rows = [(path, None, None, None, str(e))]
-                yield pd.DataFrame(rows, columns=["path", "name", "size", "data", "error"]).astype({"size": "Int64"})
+                    yield row(path, None, None, None, str(e))
 
     return files.select("path", F.col(content).alias("content")).mapInPandas(each, "path string, name string, size bigint, data binary, error string")
