@@ -21,6 +21,8 @@ BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 SAMPLE_BYTES = 64 << 20
 
 
+#: Spark's setting for the removal of a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables written by stored() that discard() has not removed yet.
 _written: list[str] = []
 
@@ -39,11 +41,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again, which cuts its lineage for good. discard() removes it."""
-    path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """`df` written as Parquet to the shared folder and read again, which cuts its lineage for good; its shuffle files, which nothing reads
+    again, go at once. discard() removes the table."""
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def written() -> set[str]:
@@ -61,13 +69,24 @@ def discard(spark: SparkSession, but: set[str], keep: DataFrame) -> None:
         _written.remove(path)
 
 
-def spread_join(rows: DataFrame, by: DataFrame, key: str, how: str = "inner", hot: int = 10_000, salts: int = 64) -> DataFrame:
-    """`rows` with the columns of `by`, which has each key once; how: inner or left. Keys with more than `hot` rows are dealt to `salts` tasks; what is
-    broadcast for that is a key for each `hot` rows at most. `rows` is read twice."""
-    many = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(key, F.lit(True).alias("_hot")))
+def spread_join(rows: DataFrame, by: DataFrame, key: str, times: str | None = None, hot: int = 10_000, salts: int = 64) -> DataFrame:
+    """`rows` with the columns of `by`, which has each key once, inner. Keys with more than `hot` rows are dealt to `salts` tasks; what is
+    broadcast for that is a key for each `hot` rows at most. times: the column of `by` that counts a key's rows, if it has one; it goes."""
+    counts = by.select(key, F.col(times).alias("_n")) if times else rows.groupBy(key).agg(F.count("*").alias("_n"))
+    many = F.broadcast(counts.where(F.col("_n") > hot).select(key, F.lit(True).alias("_hot")))
     dealt = rows.withColumn("_place", F.xxhash64(*rows.columns)).join(many, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod("_place", F.lit(salts))).otherwise(0).cast("int"))
-    each = by.join(many, key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return dealt.drop("_hot", "_place").join(each.drop("_hot"), [key, "_salt"], how).drop("_salt")
+    each = (by.drop(times) if times else by).join(many, key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.drop("_hot", "_place").join(each.drop("_hot"), [key, "_salt"]).drop("_salt")
+
+
+#: Ids up to which a list of rows is broadcast: 16 MB of them.
+BROADCAST_IDS = 2_000_000
+
+
+def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose `key` is among `ids`: broadcast if these have been counted to be few, so that wide rows needn't be shuffled, else by a shuffle."""
+    ids = stored(ids.select(key).distinct())
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
 
 
 def cut(df: DataFrame) -> DataFrame:

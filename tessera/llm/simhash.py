@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import cut, python_ready, spread_join, stored
+from tessera.llm.common import cut, only, python_ready, spread_join, stored
 
 #: Segments of the grids, from coarse to fine. The finest one, of 64, needs no join.
 SEGMENTS = (8, 16)
@@ -42,7 +42,7 @@ SALTS = 8
 #: Of deduplicate(): units of a key that those which its smallest one is unlike meet.
 HUBS = 8
 #: Most shingles of a part on average, parts that are fingerprinted, and shingles up to which rare ones are looked up instead.
-SHARE, PARTS, FEW = 6, 20, 64
+SHARE, PARTS, FEW = 6, 16, 64
 
 
 def shingles(text: str | None, words: int) -> tuple[bytes, bytes]:
@@ -197,11 +197,12 @@ def rarest(units: DataFrame, similarity: float) -> DataFrame:
     """(unit, n, key): of units(unit, n, few), whose `few` are all shingle hashes of a small set, the rarest ones that occur in more than one unit,
     so many that two sets of the similarity share one of them: any n - ceil(similarity * n) + 1 in an order that is the same for all will do,
     and by frequency, passages that many texts have come last."""
-    rows = stored(units.select("unit", "n", F.explode("few").alias("key")))
-    often = stored(rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"))
-    counted = spread_join(rows, often, "key", "left").groupBy("unit", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "key"))).alias("all"))
-    first = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1).cast("int"))
-    return counted.select("unit", "n", F.explode(first).alias("one")).where("one.times > 1").select("unit", "n", "one.key")
+    rows = units.select("unit", "n", F.explode("few").alias("key"))
+    often = stored(rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").withColumn("often", F.col("times")))
+    seen = spread_join(rows, often, "key", "times").groupBy("unit", "n").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("all"))
+    # those that no other unit has come first
+    wanted = F.size("all") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9)) + 1
+    return seen.where(wanted > 0).select("unit", "n", F.explode(F.slice("all", F.lit(1), wanted.cast("int"))).alias("one")).select("unit", "n", "one.key")
 
 
 def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
@@ -210,23 +211,28 @@ def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.where((F.col("unit") != F.col("hub")) & near).select(F.greatest("unit", "hub").alias("a"), F.least("unit", "hub").alias("b")).distinct()
 
 
-def first_candidates(units: DataFrame, spread: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): of units(unit, n, fp) and their keys in spread(unit, n, key), those that share a key with the smallest unit of it,
-    and those whose fingerprints are linked."""
-    hubs = stored(spread.groupBy("key").agg(F.min("unit").alias("hub"), F.min_by("n", "unit").alias("hub_n"), F.count("*").alias("m")).where("m > 1").drop("m"))
-    of_print = stored(units.groupBy("fp").agg(F.min("unit").alias("hub"), F.min_by("n", "unit").alias("hub_n")))
-    ends = _links(of_print.select("fp")).join(of_print.toDF("a", "hub", "hub_n"), "a").join(of_print.toDF("b", "unit", "n"), "b")
+def meetings(spread: DataFrame) -> DataFrame:
+    """spread(unit, n, key) with the smallest unit of each key, and its size, as hub and hub_n; keys of one unit go."""
+    hubs = stored(spread.groupBy("key").agg(F.min("unit").alias("hub"), F.min_by("n", "unit").alias("hub_n"), F.count("*").alias("m")).where("m > 1"))
+    return spread_join(spread, hubs, "key", "m")
+
+
+def first_candidates(units: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): of units(unit, n, fp), those that meet the smallest one of a key, and those whose fingerprints are linked."""
+    of_print = stored(units.groupBy("fp").agg(F.min("unit").alias("hub"), F.min_by("n", "unit").alias("hub_n"), F.count("*").alias("m")))
+    same = spread_join(units.select("unit", "n", "fp"), of_print.where("m > 1"), "fp", "m")
+    linked = of_print.drop("m")
+    ends = _links(linked.select("fp")).join(linked.toDF("a", "hub", "hub_n"), "a").join(linked.toDF("b", "unit", "n"), "b")
     columns = ["unit", "n", "hub", "hub_n"]
-    rows = spread_join(spread, hubs, "key").select(*columns).unionByName(spread_join(units.select("unit", "n", "fp"), of_print, "fp").select(*columns))
-    return _pairs(rows.unionByName(ends.select(*columns)), similarity)
+    return _pairs(met.select(*columns).unionByName(same.select(*columns)).unionByName(ends.select(*columns)), similarity)
 
 
-def second_candidates(spread: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def second_candidates(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """(a, b): where the units of a key are not all connected yet, by roots(unit, root), those that are not with its smallest one,
     each with HUBS of the key's units, other ones for each key."""
-    rooted = stored(spread.join(roots, "unit"))
-    mixed = rooted.groupBy("key").agg(F.min_by("root", "unit").alias("hub_root"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "hub_root")
-    members = stored(spread_join(rooted, stored(mixed), "key"))
+    rooted = stored(met.select("unit", "n", "key").join(roots, "unit"))
+    mixed = rooted.groupBy("key").agg(F.min_by("root", "unit").alias("hub_root"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low < high")
+    members = stored(spread_join(rooted, stored(mixed.select("key", "hub_root", "m")), "key", "m"))
     some = Window.partitionBy("key").orderBy(F.xxhash64("unit", "key"), "unit")
     several = members.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= HUBS)
     packed = stored(several.groupBy("key").agg(F.collect_list(F.struct(F.col("unit").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("other"))).alias("hubs")))
@@ -240,7 +246,7 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id
 
     Two texts are linked if the sets of their shingles of `words` words have a Jaccard similarity of `similarity` or more, which is verified
     exactly; classes are what links connect. Texts with equal words are one text, texts without words too. Links of up to FEW shingles are found
-    by rare shingles, those of longer texts by parts, of which a pair at 0.8 shares none with a probability of 0.002. A key's texts meet the
+    by rare shingles, those of longer texts by parts, of which a pair at 0.8 shares none with a probability of 0.007 at most, 0.0005 on average over sizes. A key's texts meet the
     smallest of them, then those not connected with it meet HUBS others; a link is also lost where that misses it in each key that the two share, and no other
     texts connect them.
     All columns stay. Of repeated rows one stays. An empty table gives no rows.
@@ -270,27 +276,28 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id
     columns = docs.columns
     base = stored(docs.withColumn("_tessera_row", F.monotonically_increasing_id()).withColumn("_tessera_signature", signature.asNondeterministic()(F.col(text))))
     rank = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_tessera_row").alias("row"))
-    firsts = base.groupBy(F.col("_tessera_signature.digest").alias("digest")).agg(F.min(rank).alias("best")).select("best", F.col("best.row").alias("_tessera_row"))
-    units = stored(base.select("_tessera_row", "_tessera_signature").join(firsts, "_tessera_row").select(F.col("_tessera_row").alias("unit"), "best", "_tessera_signature.fp", "_tessera_signature.n", "_tessera_signature.keys", "_tessera_signature.few"))
+    firsts = base.groupBy(F.col("_tessera_signature.digest").alias("digest")).agg(F.min(rank).alias("best"), F.first("_tessera_signature.fp").alias("fp"), F.first("_tessera_signature.n").alias("n"))
+    units = stored(firsts.select(F.col("best.row").alias("unit"), "best", "fp", F.col("n").cast("int").alias("n")))
+    whole = only(base.select(F.col("_tessera_row").alias("unit"), "_tessera_signature"), units, "unit").select("unit", F.col("_tessera_signature.n").cast("int").alias("n"), "_tessera_signature.keys", "_tessera_signature.few")
 
     def similar(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("_tessera_row")).distinct()
-        of = stored(base.select("_tessera_row", F.col(text).alias("_tessera_text")).join(wanted, "_tessera_row", "left_semi").select(F.col("_tessera_row").alias("unit"), sets.asNondeterministic()(F.col("_tessera_text")).alias("set")))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("_tessera_row"))
+        of = stored(only(base.select("_tessera_row", F.col(text).alias("_tessera_text")), wanted, "_tessera_row").select(F.col("_tessera_row").alias("unit"), sets.asNondeterministic()(F.col("_tessera_text")).alias("set")))
         both = spread_join(pairs, of.toDF("b", "set_b"), "b").join(of.toDF("a", "set_a"), "a")  # b, the smaller one, may have many
         shared = F.size(F.array_intersect("set_a", "set_b"))
         counted = both.select("a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
         return stored(counted.where(F.col("shared") >= F.lit(similarity) * (F.col("sizes") - F.col("shared")) - F.lit(1e-9)).select("a", "b"))
 
-    small = rarest(units.where(F.size("few") > 0), similarity)
-    spread = stored(units.select("unit", "n", F.explode("keys").alias("key")).unionByName(small))
-    first = components(similar(first_candidates(units, spread, similarity)))
+    spread = whole.select("unit", "n", F.explode("keys").alias("key")).unionByName(rarest(whole, similarity))
+    met = stored(meetings(spread))
+    first = components(similar(first_candidates(units, met, similarity)))
     roots = stored(units.select("unit").join(first, F.col("unit") == F.col("node"), "left").select("unit", F.coalesce("root", "unit").alias("root")))
-    links = similar(second_candidates(spread, roots, similarity))
+    links = similar(second_candidates(met, roots, similarity))
     rooted = units.select("unit", "best").join(roots, "unit")
     if not links.isEmpty():
         ends = links.join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b")
         second = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).toDF("root", "joined")
         rooted = rooted.join(second, "root", "left").select("best", F.coalesce("joined", "root").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_tessera_row"))
-    return base.join(kept, "_tessera_row", "left_semi").select(*columns)
+    return only(base, kept, "_tessera_row").select(*columns)

@@ -34,7 +34,7 @@ STEPS, RATE, DECAY = 50, 0.05, 4e-5
 #: Of a window's mean, so that a single word of it can tell.
 SCALE = 16.0
 #: Words that a worker remembers.
-MEMORY = 150_000
+MEMORY = 100_000
 
 words = re.compile(r"\w+").findall
 
@@ -54,7 +54,7 @@ def _subwords(of: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[order], np.bincount(o, minlength=len(of))
 
 
-def subwords(of: list[str], at_once: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+def subwords(of: list[str], at_once: int = 3_000) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, starts): the n-grams of <word> for each of some words, one after the other; no word is without one."""
     parts = [_subwords(of[i : i + at_once]) for i in range(0, len(of), at_once)]
     counts = np.concatenate([n for _, n in parts])
