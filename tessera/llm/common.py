@@ -124,8 +124,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     marked = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marked = marked.distinct().join(docs.select("doc_id").where(F.col("doc_id").isNotNull()), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    # twice as many as are wanted, by a bound on the hash, so that what is ranked doesn't grow with the labels
+    bound = {y: int(-(2**63) + min(1.0, rows / max(counts.get(y, 0), 1)) * (2**64 - 2**12)) for y in (0, 1)}
     first = Window.partitionBy("y").orderBy("h", "doc_id")
-    picked = marked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows // 2)
+    low = marked.where(F.col("h") <= F.when(F.col("y") == 1, bound[1]).otherwise(bound[0]))
+    picked = low.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows // 2)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def of(ids: DataFrame) -> DataFrame:  # ids has at most `rows` rows
