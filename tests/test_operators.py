@@ -247,3 +247,34 @@ def test_prompt(spark):
 def test_metrics(spark):
     e = spark.createDataFrame([("a", 1.0), ("a", 5.0), ("a", None)], "k string, v double")
     assert [(r["le"], r["n"], r["total"], r["count"]) for r in metrics.histogram(e, ["k"], "v", (1.0, 10.0)).orderBy("le").collect()] == [(1.0, 1, 6.0, 2), (10.0, 2, 6.0, 2)]
+
+
+def test_arrays_among_prose_strings_and_escapes():
+    cases = {
+        'intro ["a"] more thinking [["nested"], ["x", "y"]]': [], 'x ] ["a"]': ["a"], '["open", ["b"': [], 'say "[" and ["c]"]': ["c]"], 'a \\" quote ["d"]': ["d"],
+        "```json\n[1, null, true]\n```": ["1", "true"], "": [], "[]": [],
+    }
+    assert {t: memory.facts(t) for t in cases} == cases
+
+
+def test_cache_keys_and_polygons(spark):
+    frame = spark.createDataFrame([(1, " \uff37arsaw\u00a0"), (2, None), (3, "\u2460\ufb01")], "i int, t string")
+    assert [r["cache_key"] for r in shaping.cache_key(frame, "t").orderBy("i").collect()] == ["warsaw", None, "1fi"]
+    raw = ["[[1,2],[3,4.5]]", "[[1,2,3]]", "[[1,null]]", "x", None]
+    assert values(spark, shaping.polygons, raw) == [[[1.0, 2.0], [3.0, 4.5]], [], [], [], []]
+
+
+def test_cascade_reads_only_what_is_left(spark):
+    good = "This is a page of text with more than ten different words in it, all of them plain."
+    rows = [(1, f"<p>{good}</p>", 0.0), (2, "<p>short", 0.0), (3, "<p>short", 100.0), (4, "<title>Log in</title>", 0.0)]
+    pages = spark.createDataFrame(rows, "i int, html string, spent double").withColumn("url", F.lit("https://a.example/x"))
+    second = lambda html: F.when(html.isNotNull(), F.lit(good))
+    got = web.read(pages, [("first", web.plain_text(F.col("html"))), ("second", second)], spent=F.col("spent")).orderBy("i").collect()
+    assert [(r["mode"], r["reason"]) for r in got] == [("first", None), ("second", None), (None, "budget_exhausted"), (None, "human_intervention")]
+
+
+def test_links_cascade(spark):
+    words = "more words of plain text so that the gate lets this page through at last"
+    pages = spark.createDataFrame([(1, f'<p>{words} <a href="/a">here</a></p>'), (2, f"<p>{words}</p>"), (3, '<a href="/b">x</a>')], "i int, html string").withColumn("url", F.lit("https://a.example/x"))
+    got = web.read_links(pages).orderBy("i").collect()
+    assert [r["mode"] for r in got] == ["parser", "patterns", None] and got[0]["annotated"].endswith("here [1]") and got[0]["links"] == {1: "https://a.example/a"} and got[2]["links"] is None
