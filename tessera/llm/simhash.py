@@ -17,7 +17,8 @@ deduplicate() links texts by the Jaccard similarity of their shingles, which fin
 differ in some ten bits, and so do unrelated ones among many. It also takes fingerprints of parts. A text's shingles are dealt by their hashes into
 as many parts as make SHARE shingles each at most, and PARTS of these are fingerprinted; similar texts have some parts that are
 equal, at distance zero. Texts of few shingles have too few parts for that; two of them share one of their rarest shingles, so these are
-looked up. Candidates from any search are verified exactly.
+looked up. Candidates from any search are verified exactly; those whose counts of shingle hashes by range already differ too much are left
+out before, as the Manhattan distance of these counts is no larger than the number of shingles that one text has and the other has not.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ SALTS = 8
 HUBS = 8
 #: Most shingles of a part on average, parts that are fingerprinted, and shingles up to which rare ones are looked up instead.
 SHARE, PARTS, FEW = 6, 16, 64
+#: Ranges by which shingle hashes are counted.
+RANGES = 256
 
 
 def shingles(text: str | None, words: int) -> tuple[bytes, bytes]:
@@ -98,6 +101,23 @@ def part_keys(distinct, similarity: float) -> list[int]:
     return out
 
 
+def range_counts(distinct):
+    """Of a set of unsigned 64-bit hashes, how many are in each of RANGES equal ranges, 127 at most: of two sets, these differ by no more,
+    summed up, than the sets do."""
+    import numpy as np
+
+    return np.bincount((distinct >> np.uint64(56)).astype(np.int64), minlength=RANGES).clip(max=127)
+
+
+def maybe_similar(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """The pairs(a, b) of units(unit, n, counts) that can have the similarity by their counts: sets of it differ in
+    (1 - similarity) / (1 + similarity) of their sizes' sum at most. `b` may have many `a`."""
+    of = units.select("unit", "n", "counts")
+    both = spread_join(pairs, of.toDF("b", "n_b", "counts_b"), "b").join(of.toDF("a", "n_a", "counts_a"), "a")
+    apart = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda total, x: total + x)
+    return both.where(apart <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)).select("a", "b")
+
+
 def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", into: str = "fp") -> DataFrame:
     """`docs` with the fingerprint of `text` as a bigint. Null and empty texts have 0."""
     python_ready(docs.sparkSession)
@@ -253,7 +273,7 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id
     """
     python_ready(docs.sparkSession)
 
-    @F.pandas_udf("struct<digest: string, fp: bigint, n: bigint, keys: array<bigint>, few: array<bigint>>")
+    @F.pandas_udf("struct<digest: string, fp: bigint, n: bigint, counts: array<tinyint>, keys: array<bigint>, few: array<bigint>>")
     def signature(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import numpy as np
         import xxhash
@@ -263,8 +283,8 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id
             for t in s:
                 joined, hashes = shingles(t, words)
                 distinct = np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
-                out.append((xxhash.xxh3_128_hexdigest(joined), _majority(hashes), len(distinct), part_keys(distinct, similarity), distinct.view(np.int64).tolist() if len(distinct) <= FEW / similarity else []))
-            yield pd.DataFrame(out, columns=["digest", "fp", "n", "keys", "few"])
+                out.append((xxhash.xxh3_128_hexdigest(joined), _majority(hashes), len(distinct), range_counts(distinct).tolist(), part_keys(distinct, similarity), distinct.view(np.int64).tolist() if len(distinct) <= FEW / similarity else []))
+            yield pd.DataFrame(out, columns=["digest", "fp", "n", "counts", "keys", "few"])
 
     @F.pandas_udf("array<bigint>")
     def sets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -276,12 +296,12 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id
     columns = docs.columns
     base = stored(docs.withColumn("_tessera_row", F.monotonically_increasing_id()).withColumn("_tessera_signature", signature.asNondeterministic()(F.col(text))))
     rank = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_tessera_row").alias("row"))
-    firsts = base.groupBy(F.col("_tessera_signature.digest").alias("digest")).agg(F.min(rank).alias("best"), F.first("_tessera_signature.fp").alias("fp"), F.first("_tessera_signature.n").alias("n"))
-    units = stored(firsts.select(F.col("best.row").alias("unit"), "best", "fp", F.col("n").cast("int").alias("n")))
+    firsts = base.groupBy(F.col("_tessera_signature.digest").alias("digest")).agg(F.min(rank).alias("best"), F.first("_tessera_signature.fp").alias("fp"), F.first("_tessera_signature.n").alias("n"), F.first("_tessera_signature.counts").alias("counts"))
+    units = stored(firsts.select(F.col("best.row").alias("unit"), "best", "fp", F.col("n").cast("int").alias("n"), "counts"))
     whole = only(base.select(F.col("_tessera_row").alias("unit"), "_tessera_signature"), units, "unit").select("unit", F.col("_tessera_signature.n").cast("int").alias("n"), "_tessera_signature.keys", "_tessera_signature.few")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs)
+        pairs = stored(maybe_similar(stored(pairs), units, similarity))
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("_tessera_row"))
         of = stored(only(base.select("_tessera_row", F.col(text).alias("_tessera_text")), wanted, "_tessera_row").select(F.col("_tessera_row").alias("unit"), sets.asNondeterministic()(F.col("_tessera_text")).alias("set")))
         both = spread_join(pairs, of.toDF("b", "set_b"), "b").join(of.toDF("a", "set_a"), "a")  # b, the smaller one, may have many

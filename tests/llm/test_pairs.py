@@ -164,6 +164,18 @@ def near_copies(seed, sizes, copies):
     return [(i, " ".join(w)) for i, w in enumerate(rows)]
 
 
+def test_range_counts_differ_by_no_more_than_the_sets():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n, other in ((5, 3), (200, 20), (200, 400), (40_000, 9_000)):
+        a = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: len(a) // 2], r.integers(0, 1 << 64, other, dtype=np.uint64)]))
+        apart = int(np.abs(simhash.range_counts(a) - simhash.range_counts(b)).sum())
+        assert apart <= len(np.setxor1d(a, b))
+    assert simhash.range_counts(np.array([], np.uint64)).sum() == 0
+
+
 def test_deduplicate_equals_comparing_all_pairs(spark):
     rows = near_copies(11, [1, 4, 6, 9, 20, 40, 60, 63, 66, 75, 90, 130, 400, 1500], 6)
     rows += [(2000, ""), (2001, None), (2002, " \t\n"), (2003, "One"), (2003, "one"), (None, "zzz"), (None, rows[3][1]), (5, rows[5][1])]
