@@ -83,10 +83,11 @@ def spread_join(rows: DataFrame, by: DataFrame, key: str, times: str | None = No
 BROADCAST_IDS = 2_000_000
 
 
-def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows whose `key` is among `ids`: broadcast if these have been counted to be few, so that wide rows needn't be shuffled, else by a shuffle."""
+def only(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose `key` is among `ids`: broadcast if these have been counted to be few, so that wide rows needn't be shuffled, else by a shuffle.
+    With how="left_anti", the other rows, those without a key among them."""
     ids = stored(ids.select(key).distinct())
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
 def cut(df: DataFrame) -> DataFrame:

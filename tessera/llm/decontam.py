@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, spread_join, stored
+from tessera.llm.common import let, only, spread_join, stored
 
 WORDS = 5
 #: Sketch rows up to which they are broadcast: 16 bytes each. More are joined by shuffling.
@@ -100,7 +100,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> Data
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """`docs` without the documents that hold a benchmark item; rows with a null doc_id stay."""
-    return docs.join(leaks(docs, benchmark, threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return only(docs, leaks(docs, benchmark, threshold), "doc_id", "left_anti").select(*docs.columns)
 
 
 LEAKS_SQL = """
