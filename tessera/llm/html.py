@@ -191,25 +191,43 @@ def blocks(html: str) -> list[Block]:
     return kept
 
 
+#: Share of the page's text, or prose, that a wrapper must hold for its sign to be excused; words of prose that a page must have for that without a heading.
+MOST, PROSE_WORDS = 0.6, 25
+
+
 def _excuse(tree: Tree, page: list[Block]) -> None:
-    """Takes the sign of words from wrappers with the heading and most of the page's text, as `page with-sidebar` may name one."""
+    """Takes the sign from wrappers that hold the page itself: words and doubts from one with the heading and most of the text, as
+    `page with-sidebar` may name one; words and `form` from one with most of the page's prose, if neither a heading nor an article with
+    prose stands outside it."""
     n = len(tree.name)
-    lengths, headed = [0] * n, [x == "h1" for x in tree.name]
-    used = [False] * n
+    lengths, prose, headings, articles = [0] * n, [0] * n, [0] * n, [0] * n
+    words = 0
     for b in page:
-        if b.element >= 0:
-            lengths[b.element] += len(b.text)
-            used[b.element] = True
+        e = b.element
+        long = b.text[-1] in ".!?…" and b.text.count(" ") >= 4 and b.linked * 2 < len(b.text)
+        words += long * (b.text.count(" ") + 1)
+        if e >= 0:
+            lengths[e] += len(b.text)
+            prose[e] += long * len(b.text)
+            headings[e] |= tree.name[e] == "h1"
     for i in range(n - 1, -1, -1):
         p = tree.parent[i]
+        articles[i] += tree.sign[i] == ARTICLE and prose[i] > 0
+        headings[i] = headings[i] or (tree.name[i] == "h1" and lengths[i] > 0)
         if p >= 0:
             lengths[p] += lengths[i]
-            used[p] = used[p] or used[i]
-            headed[p] = headed[p] or (headed[i] and used[i])
-    total = sum(len(b.text) for b in page)
+            prose[p] += prose[i]
+            headings[p] += headings[i]
+            articles[p] += articles[i]
+    total, roots = sum(len(b.text) for b in page), [i for i in range(n) if tree.parent[i] < 0]
+    all_prose = sum(len(b.text) for b in page if b.text[-1] in ".!?…" and b.text.count(" ") >= 4 and b.linked * 2 < len(b.text))
+    all_headings, all_articles = sum(headings[i] for i in roots), sum(articles[i] for i in roots)
     for i in range(n):
-        if tree.sign[i] in (BAD, DOUBT) and tree.name[i] != "header" and headed[i] and lengths[i] > 0.6 * total:
+        if tree.sign[i] in (BAD, DOUBT) and tree.name[i] != "header" and headings[i] and lengths[i] > MOST * total:
             tree.sign[i] = NONE
+        elif (tree.sign[i] == BAD or tree.name[i] == "form") and tree.name[i] != "header" and words >= PROSE_WORDS and prose[i] > MOST * all_prose:
+            if headings[i] == all_headings and articles[i] == all_articles:
+                tree.sign[i] = NONE
 
 
 def _priors(tree: Tree, page: list[Block]) -> None:
@@ -381,21 +399,22 @@ def main_text(html: str | None, weights: tuple[float, ...] = DEFAULT) -> str:
 
 
 def learn(pages: DataFrame, html: str = "html") -> tuple[float, ...]:
-    """fit() on about SAMPLE_PAGES pages, chosen by the hash of their html; at most SAMPLE_BLOCKS shapes of each reach the driver."""
+    """fit() on SAMPLE_PAGES pages, or on all if there are fewer: those with the least 64-bit hashes of html and row, so that equal pages of
+    different rows are drawn one by one and what is drawn never grows with the table. At most SAMPLE_BLOCKS shapes of each reach the driver.
+    DEFAULT where no page drawn has both kinds of blocks, as for null, empty and signless pages.
+    """
     python_ready(pages.sparkSession)
-    n = pages.count()
-    if not n:
-        return DEFAULT
-    share = min(1.0, SAMPLE_PAGES / n)
-    chosen = pages.where(F.pmod(F.xxhash64(html), F.lit(1_000_000)) < int(share * 1_000_000)).select(html)
+    row = [c for c, t in pages.dtypes if not t.startswith(("map", "array", "struct", "variant"))]
+    chosen = pages.where(F.col(html).isNotNull()).select(F.col(html), F.xxhash64(*row).alias("_h")).orderBy("_h", html).limit(SAMPLE_PAGES)
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             found = [r for x in f.iloc[:, 0] for r in lessons(x)]
-            yield pd.DataFrame({"x": [r[0] for r in found], "y": [r[1] for r in found]})
+            if found:
+                yield pd.DataFrame({"x": pd.Series([r[0] for r in found], dtype=object), "y": [r[1] for r in found]})
 
     rows = chosen.mapInPandas(each, "x array<double>, y int").collect()
-    return fit(sorted((r["x"], r["y"]) for r in rows))
+    return fit(sorted((list(r["x"]), r["y"]) for r in rows))
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text", weights: tuple[float, ...] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, html, lm, pii, quality, sharding, simhash, topk, toxicity
+from tessera.llm import audit, bpe, decontam, html, lm, pii, quality, repair, sharding, simhash, topk, toxicity
 from tessera.llm.common import held_out, table
 
 #: The key of the pseudonyms in the queries. A deployment passes its own secret.
@@ -77,6 +77,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters keeps and removes at each step of all 120 orders, by language."""
+    return audit.audit(audit.histograms(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, faults, cost, audit and digest of every conversation, damaged by rule and mended at the least cost."""
+    return repair.digests(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -88,6 +98,8 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_main_text": op9_main_text,
     "op10_toxicity": op10_toxicity,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_structure_repair": op12_structure_repair,
 }
 
-ORACLES = {"op2_decontamination": decontam.LEAKS_SQL, "op8_topk": topk.TOPK_SQL}
+ORACLES = {"op2_decontamination": decontam.LEAKS_SQL, "op8_topk": topk.TOPK_SQL, "op11_filter_audit": audit.AUDIT_SQL}
