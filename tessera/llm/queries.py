@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audit, bpe, decontam, html, lm, pii, quality, repair, sharding, simhash, topk, toxicity
+from tessera.llm import audit, bpe, chat, decontam, html, lm, pii, quality, repair, sharding, simhash, topk, toxicity
 from tessera.llm.common import held_out, table
 
 #: The key of the pseudonyms in the queries. A deployment passes its own secret.
@@ -87,6 +87,13 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, digests and lengths of every conversation, read back from its format; with one, -7, of control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat.digests(rows.unionByName(tricky))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -100,6 +107,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_filter_audit": op11_filter_audit,
     "op12_structure_repair": op12_structure_repair,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLES = {"op2_decontamination": decontam.LEAKS_SQL, "op8_topk": topk.TOPK_SQL, "op11_filter_audit": audit.AUDIT_SQL}

@@ -12,7 +12,7 @@ from functools import cache
 import pandas as pd
 from tests.conftest import duck, normal
 
-from tessera.llm import audit, repair
+from tessera.llm import audit, chat, queries, repair
 
 SF = "/root/testdata/sf0.001"
 SPACE = " \t\n\v\f\r"
@@ -146,3 +146,99 @@ def test_repair_of_a_long_conversation_and_its_rows(spark):
         assert re.fullmatch("(s?(ua)+)?", "".join(role[:1] for role, _ in mended))
         assert hashlib.sha256("\n".join(f"{a}:{b}" for a, b in mended).encode()).hexdigest() == report[c]["repaired_sha256"]
     assert report[2]["audit"] == "KK" and report[1]["cost"] > 0
+
+
+# -- chat formatting -----------------------------------------------------------------------------------------------------------------------
+
+
+def plain_turns(rows):
+    """{conv_id: [(role, text)] in order}, nulls empty, ties by digest."""
+    out = {}
+    for conv, turn, role, text in rows:
+        role, text = role or "", text or ""
+        out.setdefault(conv, []).append((turn is not None, turn or 0, hashlib.md5(f"{len(role)}:{role}{text}".encode()).hexdigest(), role, text))
+    return {c: [x[3:] for x in sorted(m)] for c, m in out.items()}
+
+
+def plain_format(turns):
+    loss = "".join(t for r, t in turns if r == "assistant")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    return len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), sum(len(chat.render(r, t)[0]) for r, t in turns)
+
+
+def hard_conversations(n=300):
+    r = random.Random(13)
+    pieces = ["\\", "<", "[", "/", "s>", *chat.CONTROLS, " ", "\n", "ß", "\U0001f600", "word"]
+    text = lambda: None if r.random() < 0.05 else "".join(r.choice(pieces) for _ in range(r.randint(0, 6)))
+    openings = [("system", "Be brief."), ("user", "Hello"), ("user", "Hello"), ("<t>", "<:> x")]
+    rows = []
+    for c in range(n):
+        turns = [openings[c % 4]] * (c % 3) + [(r.choice(["user", "assistant", "system", "tool", "a<:> b", "", None]), text()) for _ in range(r.choice([0, 1, 1, 2, 5]))]
+        rows += [(c if c else None, None if t == 3 else t, *turn) for t, turn in enumerate(turns)]
+    return rows + [(c, t, r_, "x" * 40) for c in range(1000, 1200) for t, r_ in enumerate(("user", "assistant"))]
+
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def test_escape_leaves_no_control_string_and_can_be_undone():
+    r = random.Random(1)
+    pieces = ["\\", "<", "[", "/", "s>", ">", *chat.CONTROLS, "x"]
+    for _ in range(5000):
+        turns = [(r.choice(["user", "assistant", "system", "".join(r.choices(pieces, k=2))]), "".join(r.choices(pieces, k=r.randint(0, 7)))) for _ in range(r.randint(1, 4))]
+        for role, text in turns:
+            assert chat.unescape(chat.escape(text)) == text and not any(c in chat.escape(text) for c in chat.CONTROLS)
+        assert chat.parse("".join(chat.render(*t)[0] for t in turns)) == turns
+
+
+def test_format_read_back(spark):
+    rows = hard_conversations()
+    df = spark.createDataFrame([(*x, 1, "clash") for x in rows], SCHEMA + ", k int, key string")
+    for pack in (chat.PACK, 300):
+        out = chat.digests(df, pack).collect()
+        assert {r[0]: tuple(r)[1:] for r in out} == {c: plain_format(t) for c, t in plain_turns(rows).items()} and len(out) == len(plain_turns(rows))
+    assert chat.digests(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_nodes_are_a_prefix_tree(spark):
+    """Each shared beginning is written once a pack; what a node attends to is its conversation's text before it, at running positions."""
+    rows = hard_conversations()
+    turns = plain_turns(rows)
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        nodes = chat.formatted(df, 1 << 40).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert nodes["pack"].nunique() == 1 and len(nodes) == len({tuple(t[: i + 1]) for t in turns.values() for i in range(len(t))})
+    whole = "".join(nodes["text"])
+    assert list(nodes["start"]) == [0, *nodes["end"][:-1]] and len(whole) == nodes["end"].iloc[-1]
+    for n in nodes.itertuples():
+        mine = turns[None if n.conv_id is None else int(n.conv_id)]
+        before = "".join(whole[a["start"] : a["end"]] for a in n.attends)
+        assert before == "".join(chat.render(*t)[0] for t in mine[: n.depth]) and n.position == len(before)
+        assert n.text == chat.render(*mine[n.depth])[0]
+        assert chat.unescape(n.text[n.loss_start : n.loss_end]) == (mine[n.depth][1] if mine[n.depth][0] == "assistant" else "")
+    # a beginning that many share is stored once a pack, however many packs there are
+    many = chat.formatted(df, 2000).toPandas()
+    for _, one in many.groupby("pack"):
+        assert not one.duplicated(["depth", "position", "text", "start"]).any()
+    assert many["pack"].nunique() > 3 and len(many) < sum(map(len, turns.values()))
+
+
+def test_nodes_as_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    df = spark.createDataFrame(hard_conversations(40), SCHEMA)
+    tokenizer = Tokenizer.from_file(path)
+    for n in chat.formatted(df, vocabulary=path).collect():
+        assert n["ids"] == tokenizer.encode(n["text"], add_special_tokens=False).ids and n["end"] - n["start"] == len(n["ids"])
+
+
+def test_format_of_the_table(spark):
+    rows = [tuple(x) for x in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = {r[0]: tuple(r)[1:] for r in queries.op13_chat_format(spark, SF).collect()}
+    rows += [(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
+    assert got == {c: plain_format(t) for c, t in plain_turns(rows).items()}
