@@ -26,7 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -122,10 +122,10 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", into: str
     """`docs` with the fingerprint of `text` as a bigint. Null and empty texts have 0."""
     python_ready(docs.sparkSession)
 
-    @F.pandas_udf("bigint")
-    def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("bigint")
+    def each(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in parts:
-            yield pd.Series([fingerprint(t, words) for t in s], dtype="int64")
+            yield pa.array([fingerprint(t, words) for t in s.to_pylist()], pa.int64())
 
     return docs.withColumn(into, each(F.col(text)))
 
@@ -273,25 +273,27 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id
     """
     python_ready(docs.sparkSession)
 
-    @F.pandas_udf("struct<digest: string, fp: bigint, n: bigint, counts: array<tinyint>, keys: array<bigint>, few: array<bigint>>")
-    def signature(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<digest: string, fp: bigint, n: bigint, counts: array<tinyint>, keys: array<bigint>, few: array<bigint>>")
+    def signature(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
         import xxhash
 
+        names, kinds = ["digest", "fp", "n", "counts", "keys", "few"], [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int8()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for s in parts:
             out = []
-            for t in s:
+            for t in s.to_pylist():
                 joined, hashes = shingles(t, words)
                 distinct = np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
                 out.append((xxhash.xxh3_128_hexdigest(joined), _majority(hashes), len(distinct), range_counts(distinct).tolist(), part_keys(distinct, similarity), distinct.view(np.int64).tolist() if len(distinct) <= FEW / similarity else []))
-            yield pd.DataFrame(out, columns=["digest", "fp", "n", "counts", "keys", "few"])
+            columns = zip(*out, strict=True) if out else [()] * len(names)
+            yield pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    @F.pandas_udf("array<bigint>")
-    def sets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<bigint>")
+    def sets(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
 
         for s in parts:
-            yield pd.Series([np.unique(np.frombuffer(shingles(t, words)[1], ">i8").astype(np.int64)) for t in s], dtype=object)
+            yield pa.array([np.unique(np.frombuffer(shingles(t, words)[1], ">i8").astype(np.int64)) for t in s.to_pylist()], pa.list_(pa.int64()))
 
     columns = docs.columns
     base = stored(docs.withColumn("_tessera_row", F.monotonically_increasing_id()).withColumn("_tessera_signature", signature.asNondeterministic()(F.col(text))))

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,11 +188,11 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
     model = docs.sparkSession.sparkContext.broadcast(train(sample, shift))
     python_ready(docs.sparkSession)
 
-    @F.pandas_udf("double")
-    def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def each(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = model.value
         for s in parts:
-            yield pd.Series(sigmoid(m.a * m.margins([t or "" for t in s]) + m.b))
+            yield pa.array(sigmoid(m.a * m.margins([t or "" for t in s.to_pylist()]) + m.b), pa.float64())
 
     return docs.withColumn("score", each.asNondeterministic()(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
