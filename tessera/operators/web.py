@@ -273,37 +273,3 @@ def parse_search(pages: DataFrame, limit: int = 10, html: str = "html") -> DataF
     others = [c for c in pages.columns if c not in (html, "title", "url", "content")]
     rows = pages.select(*others, F.posexplode(each.asNondeterministic()(F.col(html))).alias("_at", "_r"))
     return rows.select(*others, (F.col("_at") + 1).alias("rank"), "_r.title", "_r.url", "_r.content")
-
-
-#: Characters that end a part of a URL; `^` in a rule stands for one, or for the end.
-SEPARATOR = r"(?:[^A-Za-z0-9_.%-]|$)"
-#: What a host anchor stands for.
-HOST_ANCHOR = r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*\.)?"
-
-
-def filter_pattern(rule: Column) -> Column:
-    """A regular expression for an address rule of a filter list, options cut off: `||` is the beginning of a host's label, `|` an end of the URL,
-    `*` anything, `^` a separator."""
-    body = F.regexp_replace(F.regexp_replace(rule, r"^@@", ""), r"\$[~a-z0-9_,=|.-]+$", "")
-    host, start, end = body.startswith("||"), body.startswith("|"), body.endswith("|")
-    core = F.regexp_replace(F.regexp_replace(body, r"^\|{1,2}", ""), r"\|$", "")
-    core = F.regexp_replace(core, r"([.+?(){}\[\]|\\$])", r"\\$1")
-    core = F.replace(F.replace(core, F.lit("*"), F.lit(".*")), F.lit("^"), F.lit(SEPARATOR))
-    return F.concat(F.lit("(?i)"), F.when(host, HOST_ANCHOR).when(start, "^").otherwise(""), core, F.when(end, "$").otherwise(""))
-
-
-def blocked(pages: DataFrame, rules: DataFrame, url: str = "url", into: str = "is_blocked") -> DataFrame:
-    """`pages` with whether a rule of rules(rule) matches its URL and no exception (`@@`) does. Comments, blank lines and element rules are none.
-
-    A rule is looked up by the first three letters or digits in a row that it has, in lower case, among those of the URL: an equi-join, so the list may be of any
-    size. Rules without such a row are few and general; they are looked up in all URLs under an empty key.
-    """
-    text = T.strip(F.col("rule"))
-    good = (text != "") & ~text.startswith("!") & ~text.startswith("[") & ~text.rlike("##|#@#|#[?]#")
-    known = rules.where(good).select(filter_pattern(text).alias("pattern"), text.startswith("@@").alias("excepts"), F.lower(F.regexp_extract(F.regexp_replace(text, r"\$[~a-z0-9_,=|.-]+$", ""), r"[A-Za-z0-9]{3}", 0)).alias("key")).distinct()
-    base = pages.withColumn("_row", F.monotonically_increasing_id())
-    u = F.lower(F.col(url))
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(u) - 2, F.lit(1))), lambda i: F.substring(u, i, F.lit(3))))
-    hits = base.select("_row", F.col(url).alias("_url"), F.explode(F.concat(keys, F.array(F.lit("")))).alias("key")).join(known, "key").where(F.regexp_like("_url", F.col("pattern")))
-    marks = hits.groupBy("_row").agg(F.bool_or(~F.col("excepts")).alias("_yes"), F.bool_or("excepts").alias("_no"))
-    return base.join(marks, "_row", "left").withColumn(into, F.coalesce(F.col("_yes") & ~F.col("_no"), F.lit(False))).drop("_row", "_yes", "_no")

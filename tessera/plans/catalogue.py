@@ -16,7 +16,7 @@ from tessera.config import Compaction, Retrieval
 from tessera.functions import registry
 from tessera.functions import text as T
 from tessera.functions import urls as U
-from tessera.operators import history, ingest, memory, metrics, providers, retrieval, shaping, transcript, web
+from tessera.operators import filters, history, ingest, memory, metrics, providers, retrieval, shaping, transcript, web
 from tessera.plans import prompt
 from tessera.session import ship, table
 from tessera.streaming import ingest as streamed
@@ -674,12 +674,33 @@ def public_addresses(spark, sf):
     return urls.select("url", U.is_public_address(F.col("url")).alias("public"))
 
 
-RULES = ("! a comment", "||ththth.example.net^", "/page=", "@@||m.ththth.example.net/en/2", "|https://thther.", "##.ad", "com/fr/*5|", "#top|$third-party")
+RULES = ("! a comment", "||ththth.example.net^", "/page=", "@@||m.ththth.example.net/en/2", "|https://thther.", "##.ad", "com/fr/*5|", "#top|$third-party", "/org/de/[0-9]+$/")
 
 
-@query("SELECT page_id, ((regexp_matches(url, '^[a-z]+://([^/?#]*\\.)?ththth\\.example\\.net([^A-Za-z0-9_.%-]|$)') OR contains(url, '/page=') OR starts_with(url, 'https://thther.') OR regexp_matches(url, 'com/fr/.*5$') OR ends_with(url, '#top')) AND NOT regexp_matches(url, '^[a-z]+://([^/?#]*\\.)?m\\.ththth\\.example\\.net/en/2')) AS is_blocked FROM pages")
+@query("SELECT page_id, ((regexp_matches(url, '^[a-z]+://([^/?#]*\\.)?ththth\\.example\\.net([^A-Za-z0-9_.%-]|$)') OR contains(url, '/page=') OR starts_with(url, 'https://thther.') OR regexp_matches(url, 'com/fr/.*5$') OR regexp_matches(url, 'org/de/[0-9]+$')) AND NOT regexp_matches(url, '^[a-z]+://([^/?#]*\\.)?m\\.ththth\\.example\\.net/en/2')) AS is_blocked FROM pages")
 def filter_rules(spark, sf):
-    return web.blocked(table(spark, sf, "pages").select("page_id", "url"), spark.createDataFrame([(r,) for r in RULES], "rule string")).select("page_id", "is_blocked")
+    return filters.blocked(table(spark, sf, "pages").select("page_id", "url"), spark.createDataFrame([(r,) for r in RULES], "rule string")).select("page_id", "is_blocked")
+
+
+@query(
+    "WITH r AS (SELECT DISTINCT regexp_extract(url, '://([^/]+)', 1) AS host, page_id % 6 AS k FROM pages), "
+    "p AS (SELECT page_id, url, regexp_extract(url, '://([^/]+)', 1) AS host, ['script', 'image', 'document'][page_id % 3 + 1] AS kind FROM pages), "
+    "q AS (SELECT p.*, lead(host) OVER (ORDER BY page_id) AS page FROM p), "
+    "site AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS own, array_to_string(string_split(page, '.')[-2:], '.') AS other FROM q), "
+    "hits AS (SELECT page_id, bool_or(k <> 5) AS yes, bool_or(k = 5) AS no FROM site s JOIN r ON s.host = r.host OR ends_with(s.host, '.' || r.host) WHERE CASE k WHEN 0 THEN s.host <> s.page AND own <> other AND page IS NOT NULL "
+    "WHEN 1 THEN kind = 'script' WHEN 2 THEN ends_with(url, '#top') WHEN 3 THEN contains(url, '/en/') AND kind <> 'image' WHEN 4 THEN page = 'm.' || r.host OR page = 'blog.tionsh.example.net' ELSE contains(url, 'utm_') END GROUP BY page_id) "
+    "SELECT page_id, coalesce(yes AND NOT no, false) AS is_blocked FROM site LEFT JOIN hits USING (page_id)"
+)
+def filter_requests(spark, sf):
+    """Rules of six forms for every host of the pages, asked with the page that asks and the kind of request."""
+    pages = table(spark, sf, "pages").select("page_id", "url", F.regexp_extract("url", "://([^/]+)", 1).alias("host"))
+    forms = ("||{}^$third-party", "||{}^$script", "||{}^*#top|", "||{}/en/$~image", "||{}^$domain=m.{}|blog.tionsh.example.net", "@@||{}^*utm_")
+    form = F.element_at(F.array(*map(F.lit, forms)), (F.col("page_id") % 6 + 1).cast("int"))
+    rules = pages.select(F.replace(form, F.lit("{}"), F.col("host")).alias("rule")).distinct()
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.concat(F.lit("https://"), "host", F.lit("/")).alias("page"))  # page_id has no gaps
+    kind = F.element_at(F.array(*map(F.lit, ("script", "image", "document"))), (F.col("page_id") % 3 + 1).cast("int")).alias("kind")
+    asked = pages.join(after, "page_id", "left").select("page_id", "url", "page", kind)
+    return filters.blocked(asked, rules, page="page", kind="kind").select("page_id", "is_blocked")
 
 
 @query("SELECT page_id, array_to_string(list_slice(l, -2, -1), '.') AS domain FROM (SELECT page_id, string_split(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '.') AS l FROM pages) UNION ALL SELECT * FROM (VALUES (-1, 'b.co.uk'), (-2, NULL), (-3, 'x.y.ck'), (-4, 'www.ck'), (-5, '10.0.0.1')) v(page_id, domain)")
