@@ -19,6 +19,7 @@ from tessera.functions import urls as U
 from tessera.operators import filters, history, ingest, memory, metrics, providers, retrieval, shaping, transcript, web
 from tessera.plans import prompt
 from tessera.session import ship, table
+from tessera.sources import files, projects
 from tessera.streaming import ingest as streamed
 from tessera.streaming import windows
 
@@ -710,6 +711,65 @@ def suffix_domains(spark, sf):
     return U.with_registrable_domain(table(spark, sf, "pages").select("page_id", "url").unionByName(odd), rules).select("page_id", "domain")
 
 
+def _zipped(projects: DataFrame, folder: str) -> int:
+    """Writes projects(name, xml, files) as ZIP archives into a shared folder; their number."""
+
+    def each(frames):
+        import io
+        import zipfile
+
+        import pandas as pd
+        from pyarrow import fs
+
+        n = 0
+        for f in frames:
+            for name, xml, files in f[["name", "xml", "files"]].itertuples(index=False, name=None):
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w") as z:
+                    z.writestr(f"/{name}/{name}.aup", xml)
+                    for i, file in enumerate(files):
+                        z.writestr(f"{name}/{name}_data/d{i % 3}/{file}", file)
+                store, path = fs.FileSystem.from_uri(folder)
+                store.create_dir(path)
+                with store.open_output_stream(f"{path}/{name}.zip") as out:
+                    out.write(data.getvalue())
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    return projects.mapInPandas(each, "n bigint").agg(F.sum("n")).first()[0]
+
+
+@query(
+    "WITH t AS (SELECT conv_id, role, turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY role) AS track_no, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS clip_no FROM conversations), "
+    "b AS (SELECT t.*, b::INT AS block_no FROM t, range(1, 4) AS r(b) WHERE b <= turn % 3 + 1) "
+    "SELECT 'c' || conv_id || '.zip' AS archive, track_no, CASE WHEN role = 'system' THEN 'Track_' || track_no ELSE role END AS track, clip_no, turn * 1.5 AS offset, block_no, (block_no - 1) * 1000 AS start, "
+    "'b' || turn || '_' || block_no || CASE WHEN turn % 2 = 0 THEN '.au' ELSE '.wav' END AS file, CASE WHEN turn <> 4 THEN length('b' || turn || '_' || block_no) + CASE WHEN turn % 2 = 0 THEN 3 ELSE 4 END END AS size, "
+    "NULL::VARCHAR AS error FROM b UNION ALL SELECT 'x' || conv_id || '.zip', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'File is not a zip file' FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 10 = 3)"
+)
+def audio_project_blocks(spark, sf):
+    """Each conversation as an audio project of a track a role and a clip a turn, zipped, and read again by the data source; some archives are none."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    file = lambda i: F.concat(F.lit("b"), "turn", F.lit("_"), i.cast("string"), F.when(F.col("turn") % 2 == 0, ".au").otherwise(".wav"))
+    numbers = F.sequence(F.lit(1), F.col("turn") % 3 + 1)
+    block = lambda i: F.format_string('<b:waveblock start="%d"><b:%s/></b:waveblock>', (i - 1) * 1000, F.when(F.col("turn") % 2 == 0, F.format_string('simpleblockfile filename="%s"', file(i))).otherwise(F.format_string('pcmaliasblockfile aliasfile="/old/place/%s"', file(i))))
+    clip = F.format_string('<b:waveclip offset="%s">%s</b:waveclip>', F.col("turn") * 1.5, F.array_join(F.transform(F.reverse(numbers), block), ""))
+    clips = turns.select("conv_id", "role", "turn", clip.alias("clip"), F.when(F.col("turn") != 4, F.transform(numbers, file)).alias("files"))
+    tracks = clips.groupBy("conv_id", "role").agg(F.reverse(F.sort_array(F.collect_list(F.struct("turn", "clip")))).alias("c"), F.flatten(F.collect_list("files")).alias("files"))
+    track = F.format_string("<b:wavetrack%s>%s</b:wavetrack>", F.when(F.col("role") == "system", "").otherwise(F.format_string(' name="%s"', "role")), F.array_join("c.clip", ""))
+    whole = tracks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("role", track.alias("track")))).alias("t"), F.flatten(F.collect_list("files")).alias("files"))
+    xml = F.format_string('<?xml version="1.0"?><b:project xmlns:b="http://audio.example/xml/" rate="44100.0">%s</b:project>', F.array_join("t.track", ""))
+    folder = _shared(spark)
+    _zipped(whole.select(F.format_string("c%d", "conv_id").alias("name"), xml.alias("xml"), "files"), f"{folder}/projects")
+    turns.where("conv_id % 10 = 3").select("conv_id").distinct().repartition("conv_id").select(F.lit("no archive").alias("value"), F.format_string("x%d", "conv_id").alias("name")).write.partitionBy("name").text(f"{folder}/none")
+    projects.register(spark)
+    good = spark.read.format("audio_project").load(f"{folder}/projects")
+    # what is no archive: text files, taken as archives by their names
+    bad = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/none")
+    failed = files.archive_entries(bad.select(F.concat(F.regexp_extract("path", "name=([^/]+)", 1), F.lit(".zip")).alias("path"), "content"), 1 << 20).select(F.col("path").alias("archive"), "error")
+    columns = ["archive", "track_no", "track", "clip_no", "offset", "block_no", "start", "file", "size", "error"]
+    return good.select(*columns).unionByName(failed, allowMissingColumns=True).select(*columns)
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: a prompt's context for each source, out of the documents most like a query by their embedding."""
     docs = providers.embed(table(spark, sf, "documents").select("doc_id", "source", "text"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources.projects import entries
 
 DOCUMENT_PARTS = ("md_content", "text_content", "html_content")
 OCR_SCHEMA = "struct<schema_version: string, filename: string, language: string, pages: array<struct<page_number: int, lines: array<struct<text: string, confidence: double, bounding_box: array<array<double>>>>>>, processing_time_seconds: double>"
@@ -80,10 +81,9 @@ def audio_projects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_entries(files: DataFrame, cap: int, content: str = "content") -> DataFrame:
-    """path, name, size, data, error: the entries of ZIP archives. An archive whose entries leave its folder, or exceed the
-    cap together, gives one row with an error."""
+    """path, name, size, data, error: the entries of ZIP archives, without leading separators. An archive whose entries leave its folder, or
+    exceed the cap together, gives one row with an error."""
     import io
-    import posixpath
     import zipfile
 
     import pandas as pd
@@ -96,13 +96,8 @@ def archive_entries(files: DataFrame, cap: int, content: str = "content") -> Dat
             for path, data in zip(f["path"], f["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        infos = [i for i in z.infolist() if not i.is_dir()]
-                        if any(posixpath.isabs(i.filename) or ".." in i.filename.replace("\\", "/").split("/") for i in infos):
-                            raise ValueError("an entry leaves the archive's folder")
-                        if sum(i.file_size for i in infos) > cap:
-                            raise ValueError("the archive is too large")
-                        for i in infos:  # one entry at a time
-                            yield row(path, i.filename, i.file_size, z.read(i), None)
+                        for name, i in entries(z, cap):  # one entry at a time
+                            yield row(path, name, i.file_size, z.read(i), None)
                 except (ValueError, zipfile.BadZipFile) as e:
                     yield row(path, None, None, None, str(e))
 
