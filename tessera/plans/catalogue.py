@@ -20,8 +20,8 @@ from tessera.operators import filters, history, ingest, memory, metrics, provide
 from tessera.plans import prompt
 from tessera.session import ship, table
 from tessera.sources import files, projects
+from tessera.streaming import cache, windows
 from tessera.streaming import ingest as streamed
-from tessera.streaming import windows
 
 QUERIES = {}
 ORACLES = {}
@@ -770,6 +770,25 @@ def audio_project_blocks(spark, sf):
     return good.select(*columns).unionByName(failed, allowMissingColumns=True).select(*columns)
 
 
+@query()
+def bounded_cache_hits(spark, sf):
+    """Events as look-ups of users in a cache of 50 for each type of event, which live for a day."""
+    return cache.hits(table(spark, sf, "events"), "event_type", "user_id", "ts", 86_400, 50).select("cache", "key", "tie", "hit")
+
+
+@query()
+def stream_bounded_cache(spark, sf):
+    """The same of the events as a stream, as far as the watermark has come."""
+    folder = _shared(spark)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        answered = cache.stream_hits(windows.watermarked(_event_stream(spark, sf)), "event_type", "user_id", "ts", 86_400, 50)
+        answered.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(cache.RESULT).parquet(f"{folder}/out").select("cache", "key", "tie", "hit")
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: a prompt's context for each source, out of the documents most like a query by their embedding."""
     docs = providers.embed(table(spark, sf, "documents").select("doc_id", "source", "text"))
