@@ -20,7 +20,8 @@ from tessera.operators import filters, history, ingest, memory, metrics, provide
 from tessera.plans import prompt
 from tessera.session import ship, table
 from tessera.sources import files, projects
-from tessera.streaming import cache, windows
+from tessera.sources.vectors import VectorStore
+from tessera.streaming import cache, polling, windows
 from tessera.streaming import ingest as streamed
 
 QUERIES = {}
@@ -789,6 +790,81 @@ def stream_bounded_cache(spark, sf):
     return spark.read.schema(cache.RESULT).parquet(f"{folder}/out").select("cache", "key", "tie", "hit")
 
 
+def _written_files(rows: DataFrame, folder: str) -> int:
+    """Writes rows(name, text) as files into a shared folder; their number."""
+
+    def each(frames):
+        import pandas as pd
+        from pyarrow import fs
+
+        n = 0
+        for f in frames:
+            for name, text in f[["name", "text"]].itertuples(index=False, name=None):
+                store, path = fs.FileSystem.from_uri(folder)
+                store.create_dir(f"{path}/{name.rpartition('/')[0]}")
+                with store.open_output_stream(f"{path}/{name}") as out:
+                    out.write((text or "").encode())
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    return rows.mapInPandas(each, "n bigint").agg(F.sum("n")).first()[0]
+
+
+@query(
+    "SELECT source || '/' || doc_id || '.md' AS key, (CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END)::BIGINT AS versions, md5(coalesce(text, '') || CASE WHEN doc_id % 7 = 0 THEN ' again' ELSE '' END) AS last_md5, "
+    "strlen(coalesce(text, '') || CASE WHEN doc_id % 7 = 0 THEN ' again' ELSE '' END)::BIGINT AS last_length FROM documents"
+)
+def poll_versions(spark, sf):
+    """Documents as files, polled three times: all, then every seventh changed, then none."""
+    folder = _shared(spark)
+    docs = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        for changed in (docs, docs.where("doc_id % 7 = 0").withColumn("text", F.concat("text", F.lit(" again"))), docs.limit(0)):
+            _written_files(changed.select("name", "text").repartition(8), f"{folder}/in")
+            files = polling.accepted(spark, f"{folder}/in")
+            each = lambda rows, batch: polling.with_content(rows).select("key", "modified", "length", F.md5("content").alias("md5"), "error").write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+            files.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = spark.read.schema("key string, modified bigint, length bigint, md5 string, error string").parquet(f"{folder}/out")
+    return got.groupBy("key").agg(F.count("*").alias("versions"), F.max_by("md5", "modified").alias("last_md5"), F.max_by("length", "modified").alias("last_length"))
+
+
+def _vector_store(spark, sf) -> VectorStore:
+    """The embeddings, whole and their first 32 components, in a fresh store, by label; label 3 was replaced afterwards by its opposite vectors, label 5 removed."""
+    store = VectorStore(spark, f"{_shared(spark)}/vectors", "label", id="vec_id")
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    store.replace(rows.unionByName(rows.withColumn("embedding", F.slice("embedding", 1, 32))))
+    store.replace(rows.where("label = 3").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    store.remove([5])
+    return store
+
+
+@query(
+    "SELECT vec_id, label, round(CAST(e[1] AS DOUBLE), 6) AS first, len(e)::INT AS size FROM (SELECT vec_id, label, CASE WHEN label = 3 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS e FROM embeddings WHERE label <> 5 UNION ALL "
+    "SELECT vec_id, label, embedding[1:32] FROM embeddings WHERE label <> 5)"
+)
+def vector_store_rows(spark, sf):
+    return _vector_store(spark, sf).all().select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.size("embedding").alias("size"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings WHERE label IN (3, 7)")
+def vector_store_read(spark, sf):
+    """One collection's vectors of two sources: one partition of the dimension's is read for each."""
+    found = _vector_store(spark, sf).read(32, [3, 7])
+    return found.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query(f"SELECT DISTINCT 'vectors-' || size AS name, size, 'cosine' AS metric FROM {MODELS_SQL} WHERE size > 0 AND size NOT IN (SELECT DISTINCT len(embedding) FROM embeddings)")
+def vector_collections_missing(spark, sf):
+    """Collections that the models need and the store of the embeddings doesn't have."""
+    store = VectorStore(spark, f"{_shared(spark)}/vectors", "label", id="vec_id")
+    store.replace(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"))
+    wanted = _models(spark).where("size > 0").select(F.concat(F.lit("vectors-"), F.col("size").cast("string")).alias("name"), "size", F.lit("cosine").alias("metric")).distinct()
+    return store.missing(wanted)
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: a prompt's context for each source, out of the documents most like a query by their embedding."""
     docs = providers.embed(table(spark, sf, "documents").select("doc_id", "source", "text"))
