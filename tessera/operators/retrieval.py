@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tessera.config import Retrieval
 from tessera.functions import text as T
 from tessera.functions.vectors import cosine
+from tessera.operators import running
 
 #: Query vectors that one pass over the vectors answers; more are asked in as many passes as it takes.
 QUERY_BLOCK = 1024
@@ -102,9 +103,8 @@ def sources(candidates: DataFrame, config: Retrieval = Retrieval(), request: lis
 
 def budget(candidates: DataFrame, request: str, rank: list[Column], config: Retrieval = Retrieval()) -> DataFrame:
     """`candidates` with snippet: by rank, as much of each text as the request's budget of characters has left. Blank texts are
-    skipped before they are charged, rows beyond the budget go."""
-    used = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy(request).orderBy(*rank).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = candidates.where(~T.is_blank(F.col("text"))).withColumn("_used", used).where(F.col("_used") < config.context_chars)
+    skipped before they are charged, rows beyond the budget go. A request may have any number of candidates."""
+    rows = running.spent(candidates.where(~T.is_blank(F.col("text"))), request, rank, F.length("text"), config.context_chars, "_used")
     return rows.withColumn("snippet", F.substring("text", F.lit(1), (F.lit(config.context_chars) - F.col("_used")).cast("int"))).drop("_used")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as T
+from tessera.operators import running
 
 
 def shifted(segments: DataFrame, chunk_seconds: float, chunk: str = "chunk") -> DataFrame:
@@ -47,9 +48,8 @@ def gaps(clips: DataFrame, track: str = "track", offset: str = "offset", duratio
 
 
 def within_cap(files: DataFrame, archive: str, size: str, order: str, cap: int) -> DataFrame:
-    """Files of an archive up to a total size: those whose running sum is within the cap."""
-    total = F.sum(size).over(Window.partitionBy(archive).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return files.withColumn("_total", total).where(F.col("_total") <= cap).drop("_total")
+    """Files of an archive up to a total size: those whose running sum is within the cap. An archive may have any number of files."""
+    return running.totals(files, archive, [order], size, "_total", cap).drop("_total")
 
 
 def find_files(blocks: DataFrame, files: DataFrame) -> DataFrame:

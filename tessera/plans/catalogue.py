@@ -5,7 +5,6 @@ Parameters are scaled to the tables: conversations have up to eight turns, vecto
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.operators import filters, history, ingest, memory, metrics, providers, retrieval, shaping, transcript, web
 from tessera.plans import prompt
-from tessera.session import ship, table
+from tessera.session import shared_dir, ship, table
 from tessera.sources import files, projects
 from tessera.sources.vectors import VectorStore
 from tessera.streaming import cache, polling, windows
@@ -545,12 +544,7 @@ def sql_tools(spark, sf):
 
 def _shared(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="tessera-")
+    return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
 
 
 def _event_stream(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -23,6 +24,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a fresh local one if they are one process, else an error."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="tessera-")
+        context.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Gives executors this package, once a session, so that what runs there in Python can import it."""
     context = spark.sparkContext
