@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.config import PageGate
 from tessera.functions import text as T
 from tessera.functions import urls as U
+from tessera.operators.cascade import Tier, cascade
 from tessera.session import ship
 
 #: Elements whose content is noise.
@@ -212,13 +213,31 @@ def parsed(html: Column) -> Column:
     return each.asNondeterministic()(html)
 
 
+def annotated_read(html: Column, url: Column, part: str | None = None) -> Column:
+    """A struct of text (with link markers) and links of a page; null for null, which isn't parsed."""
+
+    @F.pandas_udf("struct<text: string, links: array<string>>")
+    def each(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for h, u in parts:
+            rows = [(None, None) if x is None else annotated(x, y or "", part) for x, y in zip(h, u, strict=True)]
+            yield pd.DataFrame({"text": pd.Series([r[0] for r in rows], dtype=object), "links": pd.Series([r[1] for r in rows], dtype=object)})
+
+    return each.asNondeterministic()(html, url)
+
+
 def read_links(pages: DataFrame, part: str | None = None, url: str = "url", html: str = "html", status: Column | None = None) -> DataFrame:
-    """`pages` with annotated, links, mode and reason: the cascade of read() on texts with link markers. The first tier marks raw anchors by
-    patterns, without a parser, where the page has none to resolve; the second one parses. What the gate refuses has no links."""
-    kept = page_links(pages, part, url, html)
-    plain = F.when(~F.col(html).rlike(r"(?i)<a\s"), plain_text(F.col(html)))
-    out = read(kept, [("patterns", plain), ("parser", F.col("annotated"))], url, html, status)
-    return out.withColumns({"annotated": F.col("content"), "links": F.when(F.col("content").isNotNull(), F.col("links"))}).drop("content")
+    """`pages` with annotated, links, mode and reason: the cascade of read() on texts with link markers. The first tier takes pages without
+    anchors by patterns; only what it leaves open is parsed. What the gate refuses has no links."""
+    ship(pages.sparkSession)
+    none = F.array().cast("array<string>")
+    plain = lambda page: F.when(~page.rlike(r"(?i)<a\s"), F.struct(plain_text(page).alias("text"), none.alias("links")))
+    wall = challenge(F.col(html), status if status is not None else F.lit(200)) != "none"
+    tiers = [Tier("patterns", plain, person=wall), Tier("parser", lambda page: annotated_read(page, F.col(url), part))]
+    # a login redirect goes to a person at once: the last tier here is none, so it isn't asked of these
+    login = F.coalesce(U.is_login_redirect(F.col(url)), F.lit(False))
+    out = cascade(pages.withColumn("_page", F.when(~login, F.col(html))), [*tiers, Tier("person", lambda page: F.when(page.isNull(), F.lit(None).cast("struct<text: string, links: array<string>>")), person=login)], url, "_page", struct=True)
+    numbers = F.transform(F.col("made.links"), lambda x, i: F.struct((i + 1).alias("key"), x.alias("value")))
+    return out.withColumns({"annotated": F.col("made.text"), "links": F.map_from_entries(numbers)}).drop("made", "trace", "_page")
 
 
 class _Results(HTMLParser):

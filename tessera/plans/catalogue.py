@@ -16,6 +16,7 @@ from tessera.functions import registry
 from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.operators import filters, history, ingest, memory, metrics, providers, retrieval, shaping, transcript, web
+from tessera.operators.cascade import Tier, cascade
 from tessera.plans import prompt
 from tessera.session import shared_dir, ship, table
 from tessera.sources import files, projects
@@ -859,6 +860,28 @@ def vector_collections_missing(spark, sf):
     return store.missing(wanted)
 
 
+def cascade_tiers() -> list[Tier]:
+    """Six tiers that differ in what they can read, meet challenges and take time, by page_id."""
+    i = F.col("page_id")
+    if_ = lambda ok, text: (lambda page: F.when(page.isNotNull() & ok, text(page)))
+    return [
+        Tier("1-patterns", if_(i % 4 == 0, web.plain_text), challenged=i % 7 == 2, seconds=(i % 4) * 20.0),
+        Tier("2-parser", lambda page: web.parsed(F.when(i % 4 == 1, page)), seconds=25.0),
+        Tier("3-title", if_(F.lit(True), web.title), seconds=30.0),
+        Tier("4-stealth", if_(i % 3 == 0, web.plain_text), challenged=i % 11 == 5, person=i % 13 == 4, seconds=10.0),
+        Tier("5-adaptive", lambda page: web.parsed(F.when(i % 5 == 1, page)), seconds=5.0),
+        Tier("6-person", if_(i % 2 == 0, web.plain_text), challenged=i % 17 == 3, person=i % 5 == 0),
+    ]
+
+
+@query()
+def cascade_trace(spark, sf):
+    """What each tier of a cascade made of each page, heavy ones from the fourth on."""
+    ship(spark)
+    out = cascade(_pages(spark, sf), cascade_tiers(), heavy=F.col("page_id") % 9 == 1, seconds=60.0)
+    return out.select("page_id", "mode", "reason", F.array_join("trace", " ").alias("trace"), F.length("made").alias("n_chars"))
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: a prompt's context for each source, out of the documents most like a query by their embedding."""
     docs = providers.embed(table(spark, sf, "documents").select("doc_id", "source", "text"))
