@@ -882,6 +882,21 @@ def cascade_trace(spark, sf):
     return out.select("page_id", "mode", "reason", F.array_join("trace", " ").alias("trace"), F.length("made").alias("n_chars"))
 
 
+@query(
+    "SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN 'whole ' || conv_id ELSE 'top' || chr(10) || string_agg(role || chr(10) || 'a \"text\": in a string' || chr(10) || coalesce(text, ''), chr(10) ORDER BY turn) END AS text "
+    "FROM conversations GROUP BY conv_id"
+)
+def document_walk(spark, sf):
+    """Conversations as parsed documents: nested, `text` after what is below it, and in strings that look like members."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    below = F.struct(F.struct(F.lit("x").alias("label"), F.lit('a "text": in a string').alias("text")).alias("zone"), F.struct(F.array(F.struct(F.col("text"))).alias("deeper"), F.lit(7).alias("text")).alias("area"))
+    node = F.struct(below.alias("children"), F.lit('{"text": "no"}').alias("label"), F.col("role").alias("text"))
+    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", node.alias("node")))).alias("n"))
+    part = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("whole "), F.col("conv_id").cast("string"))).otherwise(" ")
+    payload = F.to_json(F.struct(F.col("n.node").alias("pages"), F.struct(part.alias("md_content")).alias("document"), F.lit("top").alias("text")))
+    return whole.select("conv_id", files.document_text(payload).alias("text"))
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: a prompt's context for each source, out of the documents most like a query by their embedding."""
     docs = providers.embed(table(spark, sf, "documents").select("doc_id", "source", "text"))

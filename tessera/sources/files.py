@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,11 +58,39 @@ def elements(payload: Column) -> Column:
     return F.struct(F.get(titles, F.lit(0))["text"].alias("title"), F.array_join(F.transform(rows, lambda e: F.concat(F.coalesce(e["text"], F.lit("")), F.lit("\n"))), "").alias("text"))
 
 
+def walked_texts(payload: str | None) -> str:
+    """Each `text` of a JSON payload that is a string, joined by line feeds, in pre-order: an object's own one before those below it, members and
+    elements in the order of the payload; of a repeated member the last value counts, at the place of the first. Nothing of what is no JSON."""
+    import json
+
+    try:
+        open_ = [json.loads(payload or "")]
+    except (ValueError, RecursionError):
+        return ""
+    out = []
+    while open_:
+        node = open_.pop()
+        if isinstance(node, dict):
+            if isinstance(node.get("text"), str):
+                out.append(node["text"])
+            open_ += reversed(node.values())
+        elif isinstance(node, list):
+            open_ += reversed(node)
+    return "\n".join(out)
+
+
 def document_text(payload: Column) -> Column:
-    """The first part of a document's payload that isn't blank, else every `text` in it, in the order of the payload."""
-    parts = [F.get_json_object(payload, f"$.document.{p}") for p in DOCUMENT_PARTS]
-    every = F.transform(F.regexp_extract_all(payload, F.lit(r'"text"\s*:\s*("(?:[^"\\]|\\.)*")'), F.lit(1)), lambda s: F.get_json_object(F.concat(F.lit('{"t":'), s, F.lit("}")), "$.t"))
-    return F.coalesce(*[T.nonblank(p) for p in parts], F.array_join(F.filter(every, lambda t: ~T.is_blank(t)), "\n"))
+    """The first part of a document's payload that is text and isn't blank, else walked_texts(). Only payloads without such a part are walked, in Python: VARIANT
+    keeps the members of an object sorted by name, so it has lost the order of the payload."""
+    whole = F.try_parse_json(payload)
+    text = lambda p: F.when(F.schema_of_variant(F.try_variant_get(whole, f"$.document.{p}", "variant")) == "STRING", F.try_variant_get(whole, f"$.document.{p}", "string"))
+    part = F.coalesce(*[T.nonblank(text(p)) for p in DOCUMENT_PARTS])
+
+    @F.pandas_udf("string")
+    def each(s: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else walked_texts(x) for x in s], dtype=object)
+
+    return F.coalesce(part, each.asNondeterministic()(F.when(part.isNull(), payload)))
 
 
 def ocr_payload(payload: Column) -> Column:
@@ -86,8 +115,6 @@ def archive_entries(files: DataFrame, cap: int, content: str = "content") -> Dat
     import io
     import zipfile
 
-    import pandas as pd
-
     def row(*values):
         return pd.DataFrame([values], columns=["path", "name", "size", "data", "error"]).astype({"size": "Int64"})
 

@@ -278,3 +278,11 @@ def test_links_cascade(spark):
     pages = spark.createDataFrame([(1, f'<p>{words} <a href="/a">here</a></p>'), (2, f"<p>{words}</p>"), (3, '<a href="/b">x</a>')], "i int, html string").withColumn("url", F.lit("https://a.example/x"))
     got = web.read_links(pages).orderBy("i").collect()
     assert [r["mode"] for r in got] == ["parser", "patterns", None] and got[0]["annotated"].endswith("here [1]") and got[0]["links"] == {1: "https://a.example/a"} and got[2]["links"] is None
+
+
+def test_document_walk(spark):
+    docs = [
+        '{"b": {"text": "2"}, "text": "1", "a": [{"text": "3"}, [{"x": {"text": "4"}}]]}', '{"document": {"md_content": 5, "text_content": " ", "html_content": "<p>"}, "text": "no"}', '{"text": {"text": "in"}, "t": "{\\"text\\": \\"no\\"}"}',
+        '{"text": "a", "x": {"text": "b"}, "text": "c"}', "no json", "", None, "[" * 100_000, '{"text": ""}', '"text"',
+    ]
+    assert values(spark, files.document_text, docs) == ["1\n2\n3\n4", "<p>", "in", "c\nb", "", "", None, "", "", ""]
