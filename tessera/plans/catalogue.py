@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.config import Compaction, Retrieval
-from tessera.functions import registry
+from tessera.functions import registry, tools
 from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.operators import filters, history, ingest, memory, metrics, providers, retrieval, shaping, transcript, web
@@ -897,6 +897,69 @@ def document_walk(spark, sf):
     return whole.select("conv_id", files.document_text(payload).alias("text"))
 
 
+def _tool(spark, sf, sql: str, *names: str) -> DataFrame:
+    """A query over some tables that calls the tools."""
+    tools.register(spark)
+    for name in names:
+        table(spark, sf, name).createOrReplaceTempView(f"tessera_{name}")
+    return spark.sql(sql)
+
+
+@query(
+    "SELECT city, event_id, round(temperature * 9 / 5 + 32, 6) AS temperature, 'fahrenheit' AS unit FROM (SELECT user_id AS city, event_id, value AS temperature, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"
+)
+def tool_weather_current(spark, sf):
+    return _tool(spark, sf, "SELECT city, event_id, round(temperature, 6) AS temperature, unit FROM weather_current(TABLE(SELECT user_id AS city, event_id, ts AS time, value AS temperature FROM tessera_events), place => 'city', unit => 'Fahrenheit')", "events")
+
+
+@query(
+    "SELECT city, CAST(day AS VARCHAR) AS day, temperature_max, 'celsius' AS unit FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY day) AS r FROM (SELECT user_id AS city, CAST(ts AS DATE) AS day, max(value) AS temperature_max FROM events GROUP BY ALL)) WHERE r <= 3"
+)
+def tool_weather_forecast(spark, sf):
+    daily = "SELECT user_id AS city, CAST(ts AS DATE) AS day, max(value) AS temperature_max FROM tessera_events GROUP BY user_id, CAST(ts AS DATE)"
+    return _tool(spark, sf, f"SELECT city, CAST(day AS STRING) AS day, temperature_max, unit FROM weather_forecast(observations => TABLE({daily}), place => 'city', time => 'day', days => 3)", "events")
+
+
+@query("SELECT user_id AS city, event_id, value AS reading FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-03'")
+def tool_weather_historical(spark, sf):
+    return _tool(spark, sf, "SELECT city, event_id, reading FROM weather_historical(TABLE(SELECT user_id AS city, event_id, ts, value AS reading FROM tessera_events), '2024-01-03', place => 'city', time => 'ts')", "events")
+
+
+@query(
+    "SELECT query, name, CAST(rank AS INT) AS rank FROM (SELECT n_name AS query, c_name AS name, row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) AS rank FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE rank <= 4"
+)
+def tool_geocode(spark, sf):
+    places = "SELECT n_name AS query, c_custkey AS pos, c_name AS name FROM tessera_customer JOIN tessera_nation ON c_nationkey = n_nationkey"
+    return _tool(spark, sf, f"SELECT query, name, rank FROM weather_geocode(TABLE({places}), limit => 4)", "customer", "nation")
+
+
+@query(f"WITH q AS (SELECT * FROM embeddings WHERE vec_id = 0) SELECT e.vec_id, e.label, {COSINE_SQL} AS score FROM embeddings e, q WHERE e.label = 3 ORDER BY score DESC, lpad(CAST(e.vec_id AS VARCHAR), 12, '0') LIMIT 7")
+def tool_memory_search(spark, sf):
+    vector = ", ".join(f"{float(x)!r}D" for x in _vector(spark, sf))
+    items = "SELECT vec_id, lpad(vec_id, 12, '0') AS id, label, embedding FROM tessera_embeddings"
+    return _tool(spark, sf, f"SELECT vec_id, label, score FROM memory_search(TABLE({items}), vector => array({vector}), user_id => 3, user => 'label', limit => 7)", "embeddings")
+
+
+@query(
+    "SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'default' ELSE role END AS user_id, CASE WHEN NOT regexp_matches(coalesce(text, ''), '\\S') THEN 'text must not be blank' WHEN length(text) > 32768 THEN 'text must be at most 32768 characters' END AS error "
+    "FROM conversations WHERE role <> 'assistant' AND conv_id <> 5"
+)
+def tool_memory_edits(spark, sf):
+    """Items inserted, one removed, one user's wiped."""
+    items = "SELECT conv_id, turn, nullif(role, 'system') AS user_id, text FROM tessera_conversations"
+    return _tool(spark, sf, f"SELECT conv_id, turn, user_id, error FROM memory_insert(TABLE(SELECT * FROM memory_delete(TABLE(SELECT * FROM memory_wipe(TABLE({items}), user_id => 'assistant')), 5L, id => 'conv_id')))", "conversations")
+
+
+@query(
+    "SELECT conv_id, 'pl' AS language, CAST(CASE WHEN conv_id % 9 <> 0 THEN turn + 1 END AS INT) AS page_number, CAST(CASE WHEN conv_id % 9 <> 0 THEN l END AS INT) AS line_no, CASE WHEN conv_id % 9 <> 0 THEN CASE l WHEN 1 THEN role ELSE text END END AS text, "
+    "CASE WHEN conv_id % 9 <> 0 AND l = 1 THEN 0.5 END AS confidence, CASE WHEN conv_id % 9 = 0 THEN 'unreadable payload: JSONDecodeError' END AS error FROM conversations, range(1, 3) AS r(l) WHERE conv_id % 9 <> 0 OR l = 1"
+)
+def tool_ocr_lines(spark, sf):
+    line = "array(named_struct('text', role, 'confidence', 0.5D), named_struct('text', text, 'confidence', CAST(NULL AS DOUBLE)))"
+    payloads = f"SELECT conv_id, CASE WHEN conv_id % 9 = 0 THEN '{{broken' ELSE to_json(named_struct('pages', array(named_struct('page_number', turn + 1, 'lines', {line})))) END AS scan FROM tessera_conversations"
+    return _tool(spark, sf, f"SELECT conv_id, language, page_number, line_no, text, confidence, error FROM ocr_lines(TABLE({payloads}), payload => 'scan', lang => 'pl')", "conversations")
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: a prompt's context for each source, out of the documents most like a query by their embedding."""
     docs = providers.embed(table(spark, sf, "documents").select("doc_id", "source", "text"))
