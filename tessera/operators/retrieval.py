@@ -11,9 +11,9 @@ from pyspark.sql.window import Window
 from tessera.config import Retrieval
 from tessera.functions import text as T
 from tessera.functions.vectors import cosine
-from tessera.operators import running
+from tessera.operators import nearest, running
 
-#: Query vectors that one pass over the vectors answers; more are asked in as many passes as it takes.
+#: Query vectors that one pass over the vectors answers; more of them meet the vectors in blocks.
 QUERY_BLOCK = 1024
 # The words around a context.
 OPENING = "<rag_context>\nThe following context may be relevant. Use it only if it helps; otherwise ignore it.\n\n"
@@ -36,24 +36,16 @@ def vector_threshold(vectors: DataFrame, query: list[float], threshold: float =
 def vector_topk_many(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, vec_id, score, rank: the k best of all vectors for each query but itself.
 
-    Queries are taken QUERY_BLOCK at a time, each block a matrix that goes over the vectors once; every batch of
-    vectors gives its k best a query, so that what is shuffled doesn't grow with the number of pairs.
+    Up to QUERY_BLOCK queries are one matrix for each length of vectors, which goes over the vectors once; every batch of vectors gives its k best a query. More than that
+    meet the vectors in blocks around pivots (nearest.topk), so neither the driver nor the plan grows with them. Both are exact.
     """
-    rows = queries.select(F.col(vec_id).cast("bigint").alias("i"), F.col(embedding).alias("v")).where("v is not null").toLocalIterator(prefetchPartitions=True)
-    best, block, dims = [], [], {}
-
-    def flush() -> None:
-        for n in sorted(dims):
-            best.append(_block_topk(vectors, [i for i, _ in dims[n]], np.array([v for _, v in dims[n]], float), k, vec_id, embedding))
-        dims.clear()
-
-    for r in rows:
-        block.append(r)
+    rows = queries.select(F.col(vec_id).cast("bigint").alias("i"), F.col(embedding).alias("v")).where("v is not null").limit(QUERY_BLOCK + 1).collect()
+    if len(rows) > QUERY_BLOCK:
+        return nearest.topk(vectors, queries, k, vec_id, embedding)
+    dims: dict[int, list] = {}
+    for r in (r for r in rows if None not in r["v"] and any(r["v"])):  # as in blocks, a query without a direction has none that are like it
         dims.setdefault(len(r["v"]), []).append((r["i"], r["v"]))
-        if len(block) >= QUERY_BLOCK:
-            flush()
-            block.clear()
-    flush()
+    best = [_block_topk(vectors, [i for i, _ in dims[n]], np.array([v for _, v in dims[n]], float), k, vec_id, embedding) for n in sorted(dims)]
     if not best:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score double, rank int")
     found = best[0]

@@ -15,7 +15,7 @@ from tessera.config import Compaction, Retrieval
 from tessera.functions import registry, tools
 from tessera.functions import text as T
 from tessera.functions import urls as U
-from tessera.operators import filters, history, ingest, memory, metrics, providers, retrieval, shaping, transcript, web
+from tessera.operators import filters, history, ingest, memory, metrics, nearest, providers, retrieval, shaping, transcript, web
 from tessera.operators.cascade import Tier, cascade
 from tessera.plans import prompt
 from tessera.session import shared_dir, ship, table
@@ -960,6 +960,16 @@ def tool_ocr_lines(spark, sf):
     return _tool(spark, sf, f"SELECT conv_id, language, page_number, line_no, text, confidence, error FROM ocr_lines(TABLE({payloads}), payload => 'scan', lang => 'pl')", "conversations")
 
 
+@query(
+    f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {COSINE_SQL} AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 10 = 1 AND e.vec_id <> q.vec_id), "
+    "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) SELECT * FROM r WHERE rank <= 4"
+)
+def vector_topk_pivots(spark, sf):
+    """The best of all vectors for every tenth one, by blocks around pivots."""
+    vectors = table(spark, sf, "embeddings")
+    return nearest.topk(vectors, vectors.where("vec_id % 10 = 1"), 4)
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: a prompt's context for each source, out of the documents most like a query by their embedding."""
     docs = providers.embed(table(spark, sf, "documents").select("doc_id", "source", "text"))
