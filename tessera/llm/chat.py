@@ -250,3 +250,21 @@ def digests(conversations: DataFrame, pack: int = PACK) -> DataFrame:
     found = _arranged(conversations, pack).mapInPandas(each, "key string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
     conv_id = F.when(F.col("key") != "", F.expr("substring(key, 2)").cast(dict(conversations.dtypes)["conv_id"])).alias("conv_id")
     return found.select(conv_id, *columns[1:])
+
+
+def _sql_marks() -> str:
+    """Characters of a turn's marks by role, in SQL."""
+    known = " ".join(f"WHEN '{role}' THEN {len(begin + end)}" for role, (begin, end) in MARKS.items())
+    return f"CASE role {known} ELSE {len(''.join(OTHER))} + length(role) + len(regexp_extract_all(role, '{_ESCAPED.pattern}')) END"
+
+
+#: digests() in DuckDB, over the table conversations and the conversation -7; turns of a conversation have different numbers there.
+DIGESTS_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(text) + len(regexp_extract_all(text, '{_ESCAPED.pattern}')) + {_sql_marks()})::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""

@@ -110,4 +110,4 @@ QUERIES = {
     "op13_chat_format": op13_chat_format,
 }
 
-ORACLES = {"op2_decontamination": decontam.LEAKS_SQL, "op8_topk": topk.TOPK_SQL, "op11_filter_audit": audit.AUDIT_SQL}
+ORACLES = {"op2_decontamination": decontam.LEAKS_SQL, "op8_topk": topk.TOPK_SQL, "op11_filter_audit": audit.AUDIT_SQL, "op12_structure_repair": repair.DIGESTS_SQL, "op13_chat_format": chat.DIGESTS_SQL}

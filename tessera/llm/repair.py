@@ -278,3 +278,44 @@ def digests(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["key", *REPORT, "repaired_sha256"])
 
     return _named(_arranged(rows, audits(rows)).mapInPandas(each, f"key string, {_REPORT}, repaired_sha256 string"), rows)
+
+
+#: digests() of damaged() rows in DuckDB, over the table conversations, whose turns have different numbers: a machine of four states goes forward over the rows
+#: and keeps the best (cost, audit) of each state, which is enough as no two equal costs of a state have audits of which one begins the other.
+DIGESTS_SQL = r"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+faults AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT) % 20 AS fault FROM named),
+damaged AS (
+  SELECT conv_id, turn, copy, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM faults, range(2) AS r(copy) WHERE fault <> 0 AND (copy = 0 OR fault = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, copy) AS t, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM damaged),
+flagged AS (
+  SELECT *, again AND NOT blank AS duplicate, NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS truncated, left(role, 1) AS initial,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY t) || left(role, 1) AS pair FROM placed),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM flagged GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS t, CASE i WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 3 END AS state, {'cost': 2 * i, 'audit': repeat('I', i::BIGINT), 'said': CASE i WHEN 0 THEN '' WHEN 1 THEN 'user:' ELSE 'user:' || chr(10) || 'assistant:' END} AS best
+  FROM counted, (VALUES (0), (1), (2)) v(i)
+  UNION ALL
+  SELECT conv_id, t, state, min({'cost': cost, 'audit': audit, 'said': said}) AS best FROM (
+    SELECT conv_id, t, CASE i WHEN 0 THEN after WHEN 1 THEN CASE WHEN after = 2 THEN 3 ELSE 2 END ELSE CASE WHEN after = 2 THEN 2 ELSE 3 END END AS state, cost + 2 * i AS cost, audit || repeat('I', i::BIGINT) AS audit,
+      array_to_string(list_filter([said, CASE WHEN i > 0 THEN CASE WHEN after = 2 THEN 'assistant:' ELSE 'user:' END END, CASE WHEN i > 1 THEN CASE WHEN after = 2 THEN 'user:' ELSE 'assistant:' END END], lambda x: x <> ''), chr(10)) AS said
+    FROM (
+      SELECT w.conv_id, f.t, edit, w.best.audit || edit AS audit,
+        CASE edit WHEN 'D' THEN state WHEN 'R' THEN CASE WHEN state = 2 THEN 3 ELSE 2 END ELSE CASE WHEN initial = 's' AND state = 0 THEN 1 WHEN initial = 'u' AND state <> 2 THEN 2 WHEN initial = 'a' AND state = 2 THEN 3 END END AS after,
+        w.best.cost + CASE edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN edit <> 'D' AND truncated THEN 1 ELSE 0 END AS cost,
+        CASE WHEN edit = 'D' THEN w.best.said ELSE array_to_string(list_filter([w.best.said, CASE WHEN edit = 'K' THEN role WHEN state = 2 THEN 'assistant' ELSE 'user' END || ':' || text], lambda x: x <> ''), chr(10)) END AS said
+      FROM walk w JOIN flagged f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.t = w.t + 1, (VALUES ('D'), ('K'), ('R')) e(edit) WHERE edit = 'D' OR NOT (blank OR duplicate)) s, (VALUES (0), (1), (2)) v(i)
+    WHERE after IS NOT NULL) x GROUP BY conv_id, t, state),
+ended AS (SELECT w.conv_id, min(w.best) AS best FROM walk w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND w.t = c.n WHERE state IN (0, 3) GROUP BY w.conv_id)
+SELECT a.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank, coalesce(c.duplicate, 0)::BIGINT AS duplicate, coalesce(c.truncated, 0)::BIGINT AS truncated, coalesce(c.illegal, 0)::BIGINT AS illegal,
+  coalesce(e.best.cost, 0)::BIGINT AS cost, coalesce(e.best.audit, '') AS audit, sha256(coalesce(e.best.said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
+"""

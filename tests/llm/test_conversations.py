@@ -242,3 +242,8 @@ def test_format_of_the_table(spark):
     got = {r[0]: tuple(r)[1:] for r in queries.op13_chat_format(spark, SF).collect()}
     rows += [(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
     assert got == {c: plain_format(t) for c, t in plain_turns(rows).items()}
+
+
+def test_twins_in_sql(spark):
+    for query, sql in ((queries.op11_filter_audit, audit.AUDIT_SQL), (queries.op12_structure_repair, repair.DIGESTS_SQL), (queries.op13_chat_format, chat.DIGESTS_SQL)):
+        assert normal(query(spark, SF).toPandas()) == normal(duck(sql, SF))
