@@ -12,8 +12,9 @@ ones. Values are equal whatever their spelling: telephone numbers by their digit
 their letters without case, dates by their day.
 
 Strings go through an alternating Feistel network on their two halves: a round shifts each letter or digit of one
-half, within its class, by bytes of a SHA-512 of the key and the other half. Letters of Latin-1 with accents are a class of
-their own; other letters beyond ASCII stay. Addresses, dates and social security
+half, within its class, by bytes of a SHA-512 of the key and the other half. Letters of Latin-1 with accents, of Cyrillic and of Greek are classes of
+their own. A local part with letters or digits of any other script becomes a keyed digest of 16 letters and digits, as linked and as secret, but
+without its format. A date may be followed by a time; IBANs may be in small letters. Addresses, dates and social security
 numbers go through the same network on a pair of residues; days that are read day first are walked on until the day is over twelve
 again. All of it is DataFrame functions.
 """
@@ -38,17 +39,20 @@ SHORT_CODES = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])
 #: In the order in which they are tried at a place of a text.
 FORMS = {
     "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(f"(?:{lands.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, lands in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=[A-Za-z]{2}[0-9]{2})(?i:" + "|".join(f"(?:{lands.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, lands in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])",
     "ip": rf"(?<![A-Za-z0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![A-Za-z0-9]|\.[0-9])",
-    "date": r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![A-Za-z0-9]|[-/.][0-9])",
+    "date": r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![A-SU-Za-z0-9]|T(?![0-9]{2}:)|[-/.][0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])",
     "phone": r"(?<![A-Za-z0-9+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,5})){2,5})(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}|[0-9]{13,19})(?![A-Za-z0-9])",
 }
 # A look at one character rules most places of a text out.
 _NUMBERS = "(?=[0-9+(])(?:" + "|".join(f"(?:{p})" for n, p in FORMS.items() if n not in ("email", "iban")) + ")"
-NO_MAIL = f"(?=[A-Z0-9+(])(?:(?:{FORMS['iban']})|{_NUMBERS})"
+NO_MAIL = f"(?=[0-9+(]|[A-Za-z]{{2}}[0-9]{{2}})(?:(?:{FORMS['iban']})|{_NUMBERS})"
 ANY = f"(?:{FORMS['email']})|{NO_MAIL}"
+#: Classes of small letters beyond ASCII, by their first and last; capitals of theirs are those of the pseudonym's. What has other letters or digits has no format to keep.
+SCRIPTS = (("à", "ö"), ("ø", "þ"), ("а", "я"), ("ѐ", "џ"), ("α", "ω"))
+OTHERS = r"[\p{L}\p{M}\p{N}&&[^\x00-\xFFа-яѐ-џα-ω]]"
 #: Set around matches, so that a text is searched once.
 MARK = "\x00"
 
@@ -78,7 +82,10 @@ def permuted(text: Column, key: Column) -> Column:
             by = F.conv(F.substring(code, 2 * j + 1, F.lit(2)), 16, 10).cast("int")
             move = lambda low, n: F.char(F.lit(ord(low)) + F.pmod(F.ascii(c) - F.lit(ord(low)) + by, F.lit(n)))
             plain = F.when(c.between("0", "9"), move("0", 10)).when(c.between("a", "z"), move("a", 26)).when(c.between("A", "Z"), move("A", 26))
-            return plain.when(c.between("à", "ö"), move("à", 23)).when(c.between("ø", "þ"), move("ø", 7)).otherwise(c)
+            for low, high in SCRIPTS:
+                letters = F.lit("".join(map(chr, range(ord(low), ord(high) + 1))))
+                plain = plain.when(c.between(low, high), F.substring(letters, F.pmod(F.instr(letters, c) - 1 + by, F.length(letters)) + 1, F.lit(1)))
+            return plain.otherwise(c)
 
         return F.array_join(F.transform(F.split(half, ""), one), "")
 
@@ -123,7 +130,8 @@ def _email(m: Column, key: Column) -> Column:
     # each letter in the case of the one that it stands for
     cased = F.zip_with(F.split(out, ""), F.zip_with(F.split(local, ""), F.split(small, ""), lambda x, y: x == y), lambda c, same: F.when(same, c).otherwise(F.upper(c)))
     whole = F.when(F.length(small) == F.length(local), F.array_join(cased, "")).otherwise(out)
-    return F.concat(whole, F.lit("@"), F.substring_index(m, "@", -1))
+    opaque = F.substring(F.sha2(F.concat_ws("|", key, F.lit("email"), small), 256), 1, 16)
+    return F.concat(F.when(small.rlike(OTHERS), opaque).otherwise(whole), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _card(m: Column, key: Column) -> Column:
@@ -135,12 +143,13 @@ def _card(m: Column, key: Column) -> Column:
 
 
 def _iban(m: Column, key: Column) -> Column:
-    plain = F.replace(m, F.lit(" "), F.lit(""))
+    plain = F.upper(F.replace(m, F.lit(" "), F.lit("")))
     land, rest = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
     out = permuted(rest, F.concat(key, F.lit("|iban"), land))
     check = F.lpad((F.lit(98) - _mod97(F.concat(out, land, F.lit("00")))).cast("string"), 2, "0")
     good = (_mod97(F.concat(rest, F.substring(plain, 1, 4))) == 1) & F.substring(plain, 3, 2).between("02", "98")
-    return F.when(good, _laid(m, F.concat(land, check, out)))
+    laid = _laid(m, F.concat(land, check, out))
+    return F.when(good, F.when(m == F.lower(m), F.lower(laid)).otherwise(laid))
 
 
 def _ip(m: Column, key: Column) -> Column:

@@ -338,3 +338,41 @@ def test_cut_is_least():
         side = html.cut(costs, ties)
         value = sum(max(c, 0) for c, s in zip(costs, side, strict=True) if not s) + sum(max(-c, 0) for c, s in zip(costs, side, strict=True) if s) + sum(w for i, j, w in ties if side[i] != side[j])
         assert abs(value - plain_cut(costs, ties)) < 1e-6
+
+
+def test_local_parts_of_other_scripts_do_not_stay(spark):
+    """Cyrillic and Greek keep their format, all others become a digest; equal ones are linked, whatever their case, different ones aren't."""
+    texts = ["иван@x.ru", "Иван@x.ru", "ivan иванов@x.ru", "μαρία@x.gr", "אבי@x.il", "张伟@x.cn", "张偉@x.cn", "अमित@x.in", "strаße@x.de"]
+    got = [t for t, _ in replaced(spark, texts)]
+    assert re.fullmatch(r"[а-я]{4}@x\.ru", got[0]) and got[1].lower() == got[0] and got[1][0].isupper() and got[0] != "иван@x.ru"
+    assert all(not {*g.split("@")[0]} & {*t.split("@")[0]} - {*"abcdefghijklmnopqrstuvwxyz0123456789 ", *"ß"} or re.fullmatch(r"[α-ωа-я ivan]+@.*", g) for g, t in zip(got, texts, strict=True))
+    assert len({*got}) == len(got) and all(re.fullmatch(r"[0-9a-f]{16}@x\.\w\w", g) for g in got[4:8])
+    names = ["".join(p) for p in __import__("itertools").product("абв", repeat=4)]
+    assert len({t for t, _ in replaced(spark, [f"{n}@x.ru" for n in names])}) == len(names)
+
+
+def test_timestamps_and_small_ibans(spark):
+    got = [t for t, _ in replaced(spark, ["born 2024-01-05T10:00:00Z", "2024-01-05", "code 2024-01-05Tx", "iban de89 3704 0044 0532 0130 00.", "DE89370400440532013000"])]
+    assert re.fullmatch(r"born \d{4}-\d\d-\d\dT10:00:00Z", got[0]) and got[0][5:15] == got[1] and got[1] != "2024-01-05" and got[2] == "code 2024-01-05Tx"
+    assert got[3].startswith("iban de") and got[3][5:-1].replace(" ", "").upper() == got[4] and got[4] != "DE89370400440532013000"
+
+
+NONE_OF_IT = {"nulls": [None, "", "   "], "signless": ["<div>one two three</div>", "<p>x", "plain"], "repeated": ["<article><h1>T</h1><p>Some text here, indeed.</p></article><nav>menu</nav>"] * 300}
+
+
+@pytest.mark.parametrize("kind", sorted(NONE_OF_IT))
+def test_main_text_of_tables_without_lessons(spark, kind):
+    """Tables of which no batch has a plain sign, and a page that is all of its table: what is fitted is bounded, and the text is whole."""
+    rows = [(i, h) for i, h in enumerate(NONE_OF_IT[kind])]
+    df = spark.createDataFrame(rows, "page_id int, html string").repartition(8)
+    out = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert out == {i: html.main_text(h, html.learn(df)) for i, h in rows}
+    assert kind != "nulls" or set(out.values()) == {""}
+
+
+def test_wrappers_with_the_page_in_them_are_excused():
+    prose = "".join(f"<p>Sentence number {i} of this page is long enough to be prose, as it has many words.</p>" for i in range(4))
+    for page in (f'<div class="content category-social-media">{prose}</div>', f"<form action=x>{prose}<input></form>", f'<div class="social share">{prose}</div>'):
+        assert html.main_text(page).count("\n") == 3, page[:40]
+    apart = f'<article><h1>T</h1><p>Short but here, the article itself.</p></article><div class="comments">{prose}</div>'
+    assert html.main_text(apart) == "T\nShort but here, the article itself."
