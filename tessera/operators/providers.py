@@ -31,12 +31,19 @@ def context_window(provider: Column) -> Column:
     return out
 
 
+#: Patterns that are broadcast row by row; more of them are so many to a row, so that rows aren't paired with each.
+PATTERNS = 1_000
+
+
 def matches_glob(rows: DataFrame, patterns: DataFrame, value: Column, pattern: str = "pattern") -> DataFrame:
-    """`rows` times each pattern that `value` matches, as a condition of a join. patterns: a table of configuration; it
-    is broadcast once its size has been checked."""
-    if patterns.limit(1001).count() > 1000:
-        raise ValueError("more than 1,000 patterns: match them by their literal prefix with an equi-join")
-    return rows.join(F.broadcast(patterns), F.regexp_like(value, T.glob(F.col(pattern))))
+    """`rows` times each pattern that `value` matches. patterns: a table of configuration, which is counted and broadcast."""
+    n = patterns.count()
+    if n <= PATTERNS:
+        return rows.join(F.broadcast(patterns), F.regexp_like(value, T.glob(F.col(pattern))))
+    block = patterns.select(F.pmod(F.xxhash64(pattern), F.lit(-(-n // PATTERNS))).alias("_block"), F.struct(*patterns.columns).alias("_p")).groupBy("_block").agg(F.collect_list("_p").alias("_all"))
+    asked = rows.withColumn("_value", value).join(F.broadcast(block.drop("_block")))
+    hits = asked.withColumn("_hit", F.explode(F.filter("_all", lambda p: F.regexp_like(F.col("_value"), T.glob(p[pattern])))))
+    return hits.select(*[F.col(c) for c in rows.columns], *[F.col("_hit")[c].alias(c) for c in patterns.columns])
 
 
 def sees_images(provider: Column, model: Column) -> Column:

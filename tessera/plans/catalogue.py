@@ -970,6 +970,27 @@ def vector_topk_pivots(spark, sf):
     return nearest.topk(vectors, vectors.where("vec_id % 10 = 1"), 4)
 
 
+@query(
+    "SELECT doc_id, mime, CASE WHEN mime IS NULL THEN 'unrecognised file signature' WHEN mime NOT IN ('image/png', 'application/pdf') THEN 'type not allowed' END AS error FROM (SELECT doc_id, list_extract(["
+    + ", ".join(repr(m) if m else "NULL" for _, m in HEADS) + "], (doc_id % 8 + 1)::INT) AS mime FROM documents)"
+)
+def accepted_documents(spark, sf):
+    """Documents behind the signature of a type of file each."""
+    head = F.unhex(F.element_at(F.array(*[F.lit(h) for h, _ in HEADS]), (F.col("doc_id") % 8 + 1).cast("int")))
+    rows = table(spark, sf, "documents").select("doc_id", F.concat(head, F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("content"))
+    return ingest.accept(rows, ["image/png", "application/pdf"]).select("doc_id", "mime", "error")
+
+
+@query(
+    "SELECT conv_id * 1000 + turn AS id, CASE turn % 3 WHEN 0 THEN '[\"' || role || '\",\"turn ' || turn || '\"]' WHEN 1 THEN '[\"likes [brackets] ' || conv_id || '\"]' ELSE '[]' END AS facts FROM conversations"
+)
+def conversation_facts(spark, sf):
+    """Facts in what a model might say of each turn: prose around an array, brackets in strings, an array of arrays."""
+    n = F.col("turn").cast("string")
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('Notes "x [": ["'), "role", F.lit('", "turn '), n, F.lit('"] done'))).when(F.col("turn") % 3 == 1, F.concat(F.lit('```json\n["likes [brackets] '), F.col("conv_id").cast("string"), F.lit('"]\n```'))).otherwise(F.lit('so ["a"] and then [["nested"], ["x"]]'))
+    return memory.extract_facts(table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), said.alias("response"))).select("id", F.to_json("facts").alias("facts"))
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: a prompt's context for each source, out of the documents most like a query by their embedding."""
     docs = providers.embed(table(spark, sf, "documents").select("doc_id", "source", "text"))

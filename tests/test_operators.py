@@ -286,3 +286,10 @@ def test_document_walk(spark):
         '{"text": "a", "x": {"text": "b"}, "text": "c"}', "no json", "", None, "[" * 100_000, '{"text": ""}', '"text"',
     ]
     assert values(spark, files.document_text, docs) == ["1\n2\n3\n4", "<p>", "in", "c\nb", "", "", None, "", "", ""]
+
+
+def test_many_patterns(spark, monkeypatch):
+    rows = spark.createDataFrame([("abc",), ("x1",), (None,)], "v string")
+    patterns = spark.createDataFrame([(f"{c}*",) for c in "abxyz"] + [(f"no{i}",) for i in range(2000)], "pattern string")
+    many = sorted(tuple(r) for r in providers.matches_glob(rows, patterns, F.col("v")).collect())
+    assert many == [("abc", "a*"), ("x1", "x*")] == sorted(tuple(r) for r in providers.matches_glob(rows, patterns.limit(5), F.col("v")).collect())
