@@ -366,7 +366,8 @@ def test_main_text_of_tables_without_lessons(spark, kind):
     rows = [(i, h) for i, h in enumerate(NONE_OF_IT[kind])]
     df = spark.createDataFrame(rows, "page_id int, html string").repartition(8)
     out = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
-    assert out == {i: html.main_text(h, html.learn(df)) for i, h in rows}
+    weights = html.learn(df)
+    assert out == {i: html.main_text(h, weights) for i, h in rows}
     assert kind != "nulls" or set(out.values()) == {""}
 
 
