@@ -29,7 +29,7 @@ LONG = 1 << 16
 #: Symbols of a part of a long word, and tokens on each side of the first window.
 PART, WINDOW = 128, 4
 #: Words that a worker remembers.
-MEMORY = 200_000
+MEMORY = 50_000
 
 
 def _byte_chars() -> list[str]:

@@ -34,7 +34,7 @@ STEPS, RATE, DECAY = 50, 0.05, 4e-5
 #: Of a window's mean, so that a single word of it can tell.
 SCALE = 16.0
 #: Words that a worker remembers.
-MEMORY = 100_000
+MEMORY = 20_000
 
 words = re.compile(r"\w+").findall
 
