@@ -12,9 +12,10 @@ their parts become rows, encoded in parallel by other tasks, and one task a text
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from operator import add
 
@@ -183,30 +184,54 @@ def _ids(v: Vocabulary, encodings: list[str]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(v.ids[codes]))
 
 
+def _decoded(v: Vocabulary, ids: pa.ListArray) -> Iterator[str]:
+    """The text of each array of ids; of a null one, an empty text."""
+    flat, at = ids.flatten().to_numpy(), 0
+    for n in ids.value_lengths().to_pylist():
+        yield " ".join(v.tokens[flat[at : at + (n or 0)]])
+        at += n or 0
+
+
+def _encoded(v: Vocabulary, encodings: list[str]) -> pa.StructArray:
+    """The ids of each text and the digest of what they decode to, so that one worker does both and no decoded text leaves it."""
+    ids = _ids(v, encodings)
+    digests = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in _decoded(v, ids)], pa.string())
+    return pa.StructArray.from_arrays([ids, digests], ["ids", "decoded_sha256"])
+
+
+#: What _encoded() returns.
+ENCODED = "struct<ids: array<int>, decoded_sha256: string>"
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
     """`docs` with the column `into`: the token ids of `text` by the vocabulary file `path`, which every worker can read.
 
     No special tokens are added; their strings in a text are special tokens, as the library's default has it. Null and empty texts have
     an empty array. Rows with extra columns keep them; repeated rows get equal ids.
     """
+    return _with_codes(docs, path, text, into, "array<int>", _ids)
+
+
+def _with_codes(docs: DataFrame, path: str, text: str, into: str, kind: str, result: Callable[[Vocabulary, list[str]], pa.Array]) -> DataFrame:
+    """`docs` with the column `into` of type `kind`: `result` of the encodings of its texts."""
     python_ready(docs.sparkSession)
     t = F.coalesce(F.col(text), F.lit(""))
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(kind)
     def whole(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(path)
         for column in parts:
-            yield _ids(v, [v.encode(x) for x in column.to_pylist()])
+            yield result(v, [v.encode(x) for x in column.to_pylist()])
 
     whole = whole.asNondeterministic()  # so that Spark computes it once, however often it is used
     is_long = (F.length(t) >= LONG) & t.rlike(rf"\S{{{LONG}}}")
     long = docs.where(is_long)
     near = docs.where(~is_long).withColumn(into, whole(t))
-    return near.unionByName(_dealt(long, path, t, into))
+    return near.unionByName(_dealt(long, path, t, into, kind, result))
 
 
-def _dealt(docs: DataFrame, path: str, t: Column, into: str) -> DataFrame:
-    """encode() of few texts with long words, whose parts are encoded in parallel."""
+def _dealt(docs: DataFrame, path: str, t: Column, into: str, kind: str, result: Callable[[Vocabulary, list[str]], pa.Array]) -> DataFrame:
+    """_with_codes() of few texts with long words, whose parts are encoded in parallel."""
     base = stored(docs.withColumn("_tessera_no", F.monotonically_increasing_id()).withColumn("_tessera_text", t))
 
     def cut(frames):
@@ -232,24 +257,22 @@ def _dealt(docs: DataFrame, path: str, t: Column, into: str) -> DataFrame:
             frame["s"] = [s if k == 0 else v.merge(s) for k, s in zip(frame["kind"], frame["s"], strict=True)]
             yield frame
 
-    def join(frame):
-        import pandas as pd
-
+    def join(rows: pa.Table) -> pa.Table:
         v, out, parts = vocabulary(path), [], []
-        frame = frame.sort_values("at")
-        for kind, s in [*zip(frame["kind"], frame["s"], strict=True), (0, "")]:
-            if kind < 2 and parts:
+        no, rows = rows["no"][0].as_py(), rows.sort_by("at")
+        for part, s in [*zip(rows["kind"].to_pylist(), rows["s"].to_pylist(), strict=True), (0, "")]:
+            if part < 2 and parts:
                 out.append(v.joined(parts))
                 parts = []
-            (parts if kind else out).append(s)
-        return pd.DataFrame({"no": frame["no"].iloc[:1], "s": _ids(v, ["".join(out)]).to_pylist()})
+            (parts if part else out).append(s)
+        return pa.table({"no": pa.array([no], pa.int64()), "s": result(v, ["".join(out)])})
 
     schema = "no bigint, at int, kind int, s string"  # kind: 0 encoded, 1 the first part of a word, 2 a later one
     parts = base.select("_tessera_no", "_tessera_text").mapInPandas(cut, schema)
-    encoded = parts.repartition(F.xxhash64("no", "at")).mapInPandas(leaf, schema).groupBy("no").applyInPandas(join, "no bigint, s array<int>")
-    encoded = encoded.toDF("_tessera_no", "_tessera_ids")
-    out = base.drop("_tessera_text").join(encoded, "_tessera_no", "left")
-    return out.withColumn(into, F.coalesce("_tessera_ids", F.array().cast("array<int>"))).drop("_tessera_no", "_tessera_ids")
+    encoded = parts.repartition(F.xxhash64("no", "at")).mapInPandas(leaf, schema).groupBy("no").applyInArrow(join, f"no bigint, s {kind}")
+    encoded = encoded.toDF("_tessera_no", "_tessera_whole")
+    out = base.drop("_tessera_text").join(encoded, "_tessera_no")  # every text has rows, if only an empty run
+    return out.withColumn(into, F.col("_tessera_whole")).drop("_tessera_no", "_tessera_whole")
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -259,21 +282,18 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
 
     @F.arrow_udf("string")
     def text(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import numpy as np
-
         v = vocabulary(path)
         for column in parts:
-            flat, ends = column.flatten().to_numpy(), np.cumsum([0, *(n or 0 for n in column.value_lengths().to_pylist())])
-            yield pa.array([" ".join(v.tokens[flat[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+            yield pa.array(list(_decoded(v, column)), pa.string())
 
     return docs.withColumn(into, text.asNondeterministic()(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
 
 def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """`docs` with ids, n_tokens, ids_sha256 (of the decimal ids joined by a space) and decoded_sha256, in place of columns of these names."""
-    out = decode(encode(docs, path, text), path, into="_tessera_decoded")
+    out = _with_codes(docs, path, text, "_tessera_codes", ENCODED, _encoded)
+    out = out.withColumns({"ids": F.col("_tessera_codes.ids"), "decoded_sha256": F.col("_tessera_codes.decoded_sha256")})
     return out.withColumns({
         "n_tokens": F.size("ids").cast("bigint"),
         "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256),
-        "decoded_sha256": F.sha2("_tessera_decoded", 256),
-    }).drop("_tessera_decoded")
+    }).drop("_tessera_codes")
