@@ -30,7 +30,7 @@ LONG = 1 << 16
 #: Symbols of a part of a long word, and tokens on each side of the first window.
 PART, WINDOW = 128, 4
 #: Words that a worker remembers.
-MEMORY = 50_000
+MEMORY = 200_000
 
 
 def _byte_chars() -> list[str]:
@@ -98,6 +98,7 @@ class Vocabulary:
         self.split_ascii = re.compile(plain, re.ASCII).findall  # the same for lower-case ASCII, and faster
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")").split
         self.known: dict[str, str] = {}
+        self.before: dict[str, str] = {}
 
     def symbols(self, word: str) -> str:
         data = word.encode("utf-8", "replace")
@@ -162,10 +163,11 @@ class Vocabulary:
         for w in self.words(text):
             e = known.get(w)
             if e is None:
-                e = self.word(w)
+                e = self.before.get(w) or self.word(w)
                 if len(w) < 64:
-                    if len(known) >= MEMORY:
-                        known.clear()
+                    if len(known) >= MEMORY // 2:  # what was used lately stays, as it is taken over from `before`
+                        self.before, self.known = known, {}
+                        known = self.known
                     known[w] = e
             out.append(e)
         return "".join(out)
