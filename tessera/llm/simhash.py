@@ -42,6 +42,8 @@ REACH = 2
 SALTS = 8
 #: Of deduplicate(): units of a key that those which its smallest one is unlike meet.
 HUBS = 8
+#: Units of a key's block; all pairs of two blocks meet in a task.
+BLOCK = 512
 #: Most shingles of a part on average, parts that are fingerprinted, and shingles up to which rare ones are looked up instead.
 SHARE, PARTS, FEW = 6, 16, 64
 #: Ranges by which shingle hashes are counted.
@@ -247,12 +249,17 @@ def first_candidates(units: DataFrame, met: DataFrame, similarity: float) -> Dat
     return _pairs(met.select(*columns).unionByName(same.select(*columns)).unionByName(ends.select(*columns)), similarity)
 
 
-def second_candidates(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): where the units of a key are not all connected yet, by roots(unit, root), those that are not with its smallest one,
-    each with HUBS of the key's units, other ones for each key."""
+def mixed(met: DataFrame, roots: DataFrame, least: int = 1) -> DataFrame:
+    """(key, unit, n, root, hub_root, m): of met(unit, n, key), the units of keys of over `least` units, m, that are not all connected yet by
+    roots(unit, root); hub_root is the root of the key's smallest one."""
     rooted = stored(met.select("unit", "n", "key").join(roots, "unit"))
-    mixed = rooted.groupBy("key").agg(F.min_by("root", "unit").alias("hub_root"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low < high")
-    members = stored(spread_join(rooted, stored(mixed.select("key", "hub_root", "m")), "key", "m"))
+    keys = rooted.groupBy("key").agg(F.min_by("root", "unit").alias("hub_root"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where((F.col("low") < F.col("high")) & (F.col("m") > least))
+    return stored(spread_join(rooted, stored(keys.select("key", "hub_root", "m", F.col("m").alias("_times"))), "key", "_times"))
+
+
+def second_candidates(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): of mixed() units, those that are not connected with their key's smallest one, each with HUBS of the key's units, other ones for each
+    key. So all that are not connected meet if they are up to HUBS; last_candidates() has the rest."""
     some = Window.partitionBy("key").orderBy(F.xxhash64("unit", "key"), "unit")
     several = members.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= HUBS)
     packed = stored(several.groupBy("key").agg(F.collect_list(F.struct(F.col("unit").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("other"))).alias("hubs")))
@@ -261,14 +268,58 @@ def second_candidates(met: DataFrame, roots: DataFrame, similarity: float) -> Da
     return _pairs(rows, similarity)
 
 
+def last_candidates(members: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all different pairs of mixed() units of a key that are not connected and can have the similarity by their sizes and by the counts of
+    units(unit, counts); a > b. A key's units are dealt to blocks, and each two blocks meet in a task, which holds these only and compares them at once."""
+    at, blocks = F.pmod(F.xxhash64("unit", "key"), F.col("blocks")).cast("int"), F.ceil(F.col("m") / BLOCK).cast("bigint")
+    dealt = members.withColumn("blocks", blocks).withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    dealt = dealt.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "unit", "n", "root", (F.col("at") <= F.col("other")).alias("left"), (F.col("at") >= F.col("other")).alias("right"))
+    ordered = dealt.join(units.select("unit", "counts"), "unit").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "unit")
+    share = (1 - similarity) / (1 + similarity)
+
+    def meet(group: list[pa.Table]) -> pa.RecordBatch | None:
+        import numpy as np
+
+        t = pa.concat_tables(group).combine_chunks()
+        unit, n, root, left, right = (t[c].to_numpy() for c in ("unit", "n", "root", "left", "right"))
+        counts = t["counts"].combine_chunks().flatten().to_numpy().reshape(-1, RANGES).astype(np.int16)
+        a, b, of = [], [], np.flatnonzero(right)
+        for x in np.flatnonzero(left).tolist():
+            near = of[(root[of] != root[x]) & (np.minimum(n[of], n[x]) >= similarity * np.maximum(n[of], n[x]))]
+            near = near[np.abs(counts[near] - counts[x]).sum(axis=1, dtype=np.int32) <= share * (n[near] + n[x]) + 1e-6]
+            a.append(np.maximum(unit[near], unit[x]))
+            b.append(np.minimum(unit[near], unit[x]))
+        a, b = np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        group, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "i", "j")], axis=1)
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for x, y in zip(starts[:-1], starts[1:], strict=True):
+                now = tuple(keys[x])
+                if group and now != last:
+                    yield meet(group)
+                    group = []
+                group, last = [*group, pa.Table.from_batches([batch.slice(x, y - x)])], now
+        if group:
+            yield meet(group)
+
+    return ordered.mapInArrow(each, "a bigint, b bigint").distinct()
+
+
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that are the first of their class, by doc_id with nulls last, then by place in the table.
 
     Two texts are linked if the sets of their shingles of `words` words have a Jaccard similarity of `similarity` or more, which is verified
     exactly; classes are what links connect. Texts with equal words are one text, texts without words too. Links of up to FEW shingles are found
     by rare shingles, those of longer texts by parts, of which a pair at 0.8 shares none with a probability of 0.007 at most, 0.0005 on average over sizes. A key's texts meet the
-    smallest of them, then those not connected with it meet HUBS others; a link is also lost where that misses it in each key that the two share, and no other
-    texts connect them.
+    smallest of them, then those not connected with it meet HUBS others; all that are not connected by then meet each other, in blocks, so a key loses no link.
     All columns stay. Of repeated rows one stays. An empty table gives no rows.
     """
     python_ready(docs.sparkSession)
@@ -315,11 +366,19 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id
     met = stored(meetings(spread))
     first = components(similar(first_candidates(units, met, similarity)))
     roots = stored(units.select("unit").join(first, F.col("unit") == F.col("node"), "left").select("unit", F.coalesce("root", "unit").alias("root")))
-    links = similar(second_candidates(met, roots, similarity))
-    rooted = units.select("unit", "best").join(roots, "unit")
-    if not links.isEmpty():
+
+    def connected(links: DataFrame) -> DataFrame:
+        """`roots` after these links, too."""
+        if links.isEmpty():
+            return roots
         ends = links.join(roots.toDF("a", "root_a"), "a").join(roots.toDF("b", "root_b"), "b")
-        second = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).toDF("root", "joined")
-        rooted = rooted.join(second, "root", "left").select("best", F.coalesce("joined", "root").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_tessera_row"))
+        more = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).toDF("root", "joined")
+        return stored(roots.join(more, "root", "left").select("unit", F.coalesce("joined", "root").alias("root")))
+
+    members = mixed(met, roots)
+    roots = connected(similar(second_candidates(members, similarity)))
+    members = mixed(members, roots, HUBS)
+    if not members.isEmpty():
+        roots = connected(similar(last_candidates(members, units, similarity)))
+    kept = units.select("unit", "best").join(roots, "unit").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_tessera_row"))
     return only(base, kept, "_tessera_row").select(*columns)

@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontam, simhash
 from tests.conftest import duck, normal
@@ -189,6 +190,17 @@ def test_deduplicate_equals_comparing_all_pairs(spark):
     assert got == sorted(want.values()) and len(got) < 0.6 * len(rows)
 
 
+def test_a_key_loses_no_pair(spark, monkeypatch):
+    """One key is all that the texts share, so neither its smallest one nor HUBS others find all pairs at 0.8."""
+    monkeypatch.setattr(simhash, "rarest", lambda units, similarity: units.select("unit", "n", F.lit(1).cast("bigint").alias("key")))
+    monkeypatch.setattr(simhash, "BLOCK", 7, raising=False)
+    rows = near_copies(12, [20, 30, 40, 55], 12)
+    want = {}
+    for (d, _), c in zip(rows, plain_classes(rows), strict=True):
+        want[c] = min(want.get(c, d), d)
+    assert sorted(x["doc_id"] for x in simhash.deduplicate(frame(spark, rows)).collect()) == sorted(want.values()) and len(want) < 0.7 * len(rows)
+
+
 def test_parts_of_large_sets_lose_few_pairs():
     import numpy as np
 
