@@ -7,6 +7,8 @@ look-ups; `stripes` splits a large one by key into caches of an equal share of t
 
 from __future__ import annotations
 
+import bisect
+import pickle
 from collections import OrderedDict
 from collections.abc import Iterator
 from typing import Any
@@ -50,6 +52,9 @@ def _placed(events: DataFrame, cache: str, key: str, time: str, tie: str, stripe
 
 
 RESULT = "cache string, stripe int, key string, at bigint, tie bigint, hit boolean"
+COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
+#: Microseconds of a span of look-ups that wait together, look-ups that a task holds before they wait, and answers that it gives at a time.
+SPAN, HELD, ANSWERS = 3_600_000_000, 100_000, 10_000
 
 
 def hits(events: DataFrame, cache: str, key: str, time: str, seconds: int, size: int, tie: str = "event_id", stripes: int = 1) -> DataFrame:
@@ -74,14 +79,16 @@ def hits(events: DataFrame, cache: str, key: str, time: str, seconds: int, size:
 
 class BoundedCache(StatefulProcessor):
     """Look-ups wait in the state, by time, until the watermark has passed them, so that micro-batches may bring them in any order; a timer
-    then runs those that are due through the cache. State: what waits, and `size` entries at most."""
+    then runs those that are due through the cache. State: what waits, in chunks by span of time, and `size` entries at most. A task holds HELD
+    look-ups that come, and those of one span that are due."""
 
     def __init__(self, size: int, micros: int) -> None:
         self.size, self.micros = size, micros
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint, tie bigint, key string")
+        self.spans = handle.getValueState("spans", "spans binary")
+        self.chunks = handle.getMapState("chunks", "span bigint, no int", "rows binary")
         self.entries = handle.getListState("entries", "key string, until bigint")
         self.timer = handle.getValueState("timer", "ms bigint")
 
@@ -95,32 +102,65 @@ class BoundedCache(StatefulProcessor):
             self.handle.registerTimer(ms)
             self.timer.update((ms,))
 
+    def _spans(self) -> dict[int, tuple[int, int]]:
+        """The spans in which look-ups wait: the number of chunks, and the first look-up."""
+        return pickle.loads(bytes(self.spans.get()[0])) if self.spans.exists() else {}
+
+    def _wait(self, f: pd.DataFrame, spans: dict[int, tuple[int, int]]) -> None:
+        """Adds a chunk to each span of f(at, tie, key)."""
+        for span, rows in f.groupby(f["at"] // SPAN, sort=False):
+            span, first = int(span), int(rows["at"].min())
+            chunks, before = spans.get(span, (0, first))
+            self.chunks.updateValue((span, chunks), (pickle.dumps([rows[c].tolist() for c in ("at", "tie", "key")]),))
+            spans[span] = (chunks + 1, min(before, first))
+
+    def _taken(self, span: int, chunks: int) -> list[tuple]:
+        """The look-ups (at, tie, key) of a span, in order, which leave the state."""
+        rows = []
+        for no in range(chunks):
+            rows += zip(*pickle.loads(bytes(self.chunks.getValue((span, no))[0])), strict=True)
+            self.chunks.removeKey((span, no))
+        return sorted(rows)
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        first = None
+        spans, held, n = self._spans(), [], 0
         for f in rows:
             if len(f):
-                self.waiting.appendList(list(zip(f["at"].tolist(), f["tie"].tolist(), f["key"].tolist(), strict=True)))
-                first = int(f["at"].min()) if first is None else min(first, int(f["at"].min()))
-        if first is not None:
-            self._wake(first)
+                held.append(f[["at", "tie", "key"]])
+                n += len(f)
+            if n >= HELD:
+                self._wait(pd.concat(held), spans)
+                held, n = [], 0
+        if held:
+            self._wait(pd.concat(held), spans)
+        if spans:
+            self.spans.update((pickle.dumps(spans),))
+            self._wake(min(first for _, first in spans.values()))
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        places = sorted(tuple(p) for p in self.waiting.get())
-        due = [p for p in places if p[0] < now]
+        spans, out = self._spans(), []
         cache = Entries(self.size, self.micros, [tuple(e) for e in self.entries.get()] if self.entries.exists() else [])
-        out = [(key[0], key[1], k, at, tie, cache.look_up(k, at)) for at, tie, k in due]
+        for span in sorted(s for s, (_, first) in spans.items() if first < now):
+            places = self._taken(span, spans.pop(span)[0])
+            due = bisect.bisect_left(places, now, key=lambda p: p[0])
+            out += [(key[0], key[1], k, at, tie, cache.look_up(k, at)) for at, tie, k in places[:due]]
+            if due < len(places):
+                self._wait(pd.DataFrame(places[due:], columns=["at", "tie", "key"]), spans)
+            if len(out) >= ANSWERS:
+                yield pd.DataFrame(out, columns=COLUMNS)
+                out = []
         if cache.until:
             self.entries.put([*cache.until.items()])
         self.timer.clear()
-        if len(due) < len(places):
-            self.waiting.put(places[len(due) :])
-            self._wake(places[len(due)][0])
+        if spans:
+            self.spans.update((pickle.dumps(spans),))
+            self._wake(min(first for _, first in spans.values()))
         else:
-            self.waiting.clear()
+            self.spans.clear()
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+            yield pd.DataFrame(out, columns=COLUMNS)
 
     def close(self) -> None:
         pass

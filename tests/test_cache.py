@@ -69,6 +69,59 @@ def test_stream_over_shuffled_batches_equals_a_plain_cache(spark, tmp_path):
     assert got == plain(rows, 60, 3)
 
 
+def test_a_timer_holds_a_span_at_a_time():
+    """What waits is read and answered a span at a time, in order, and what isn't due waits on."""
+    import pandas as pd
+
+    class State(dict):
+        def __init__(self):
+            self.value, self.most = None, 0
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        put = update
+
+        def exists(self):
+            return self.value is not None
+
+        def clear(self):
+            self.value = None
+
+        def appendList(self, rows):
+            self.value = [*(self.value or []), *rows]
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+        getValue, removeKey = dict.get, dict.__delitem__
+
+    class Handle:
+        getMapState = getValueState = getListState = lambda self, *_: State()
+        registerTimer = deleteTimer = lambda self, _: None
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 99 * 3_600_000 + 1_800_000
+
+    p = cache.BoundedCache(5, 7_200_000_000)
+    p.init(Handle())
+    r = random.Random(4)
+    rows = [("a", r.choice("pqrstuvw"), r.randint(0, 100 * 3600 - 1), i) for i in range(60_000)]
+    frame = pd.DataFrame([(at * 1_000_000, tie, key) for _, key, at, tie in rows], columns=["at", "tie", "key"])
+    for part in (frame[:30_000], frame[30_000:]):
+        assert not list(p.handleInputRows(("a", 0), iter([part]), None))
+    got = list(p.handleExpiredTimer(("a", 0), Times(), None))
+    due = [x for x in rows if x[2] < 99 * 3600 + 1800]
+    assert len(got) > 4 and max(map(len, got)) < 12_000
+    assert {t: h for f in got for t, h in zip(f["tie"], f["hit"], strict=True)} == plain(due, 7200, 5)
+    Times.getCurrentWatermarkInMs = lambda self: 200 * 3_600_000
+    rest = list(p.handleExpiredTimer(("a", 0), Times(), None))
+    assert sum(map(len, rest)) == len(rows) - len(due) > 0 and not p.chunks and not p.spans.exists()
+
+
 def test_queries_over_the_events(spark):
     events = catalogue.table(spark, SF, "events").select("event_type", F.col("user_id").cast("string"), F.unix_micros(F.col("ts").cast("timestamp")), "event_id").collect()
     want = plain([tuple(x) for x in events], 86_400 * 1_000_000, 50)
