@@ -792,11 +792,13 @@ def _written_files(rows: DataFrame, folder: str) -> int:
         import pandas as pd
         from pyarrow import fs
 
-        n = 0
+        n, made = 0, set()
+        store, path = fs.FileSystem.from_uri(folder)
         for f in frames:
             for name, text in f[["name", "text"]].itertuples(index=False, name=None):
-                store, path = fs.FileSystem.from_uri(folder)
-                store.create_dir(f"{path}/{name.rpartition('/')[0]}")
+                if (inner := name.rpartition("/")[0]) not in made:
+                    store.create_dir(f"{path}/{inner}")
+                    made.add(inner)
                 with store.open_output_stream(f"{path}/{name}") as out:
                     out.write((text or "").encode())
                 n += 1
@@ -816,7 +818,7 @@ def poll_versions(spark, sf):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     try:
         for changed in (docs, docs.where("doc_id % 7 = 0").withColumn("text", F.concat("text", F.lit(" again"))), docs.limit(0)):
-            _written_files(changed.select("name", "text").repartition(8), f"{folder}/in")
+            _written_files(changed.select("name", "text").repartition(max(8, spark.sparkContext.defaultParallelism)), f"{folder}/in")
             files = polling.accepted(spark, f"{folder}/in")
             each = lambda rows, batch: polling.with_content(rows).select("key", "modified", "length", F.md5("content").alias("md5"), "error").write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
             files.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()

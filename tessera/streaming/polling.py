@@ -10,6 +10,7 @@ A restarted query, or a batch that is run again, may list files again; the filte
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
@@ -27,6 +28,10 @@ FILE = "path string, key string, modified bigint, length bigint"
 REMEMBER_DAYS = 30
 #: Bytes of a file up to which it is read.
 MOST_BYTES = 256 << 20
+#: Buckets of keys, whose versions are looked up together. A checkpoint holds for one number of them.
+BUCKETS = 1024
+#: Bytes and number of small files whose contents are given together.
+TOGETHER_BYTES, TOGETHER = 4 << 20, 500
 
 
 def _store(folder: str):
@@ -93,24 +98,28 @@ class PolledFolder(DataSource):
 
 
 class _AcceptOnce(StatefulProcessor):
+    """The last accepted version of each key of a bucket. Keys come many at a time, as a call for each would cost more than its look-up."""
+
     def __init__(self, ttl_ms: int) -> None:
         self.ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "modified bigint, length bigint", ttlDurationMs=self.ttl)
+        self.last = handle.getMapState("last", "key string", "modified bigint, length bigint", ttlDurationMs=self.ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last = tuple(self.last.get()) if self.last.exists() else None
-        out, before = [], last
         for f in rows:
-            for path, modified, length in sorted(f[["path", "modified", "length"]].itertuples(index=False, name=None), key=lambda r: r[1:]):
-                if last is None or (modified, length) > last:
-                    last = (modified, length)
-                    out.append((path, key[0], modified, length))
-        if last != before:
-            self.last.update(last)
-        if out:
-            yield pd.DataFrame(out, columns=["path", "key", "modified", "length"])
+            out = []
+            files = sorted(f[["key", "modified", "length", "path"]].itertuples(index=False, name=None))
+            for name, versions in groupby(files, key=lambda r: r[0]):
+                before = last = self.last.getValue((name,))
+                for _, modified, length, path in versions:
+                    if last is None or (modified, length) > tuple(last):
+                        last = (modified, length)
+                        out.append((path, name, modified, length))
+                if last is not before:
+                    self.last.updateValue((name,), last)
+            if out:
+                yield pd.DataFrame(out, columns=["path", "key", "modified", "length"])
 
     def close(self) -> None:
         pass
@@ -125,17 +134,25 @@ def accepted(spark: SparkSession, folder: str, remember_days: int = REMEMBER_DAY
     for k, v in options.items():
         reader = reader.option(k, v)
     listed = reader.load(folder)
-    return listed.groupBy("key").transformWithStateInPandas(statefulProcessor=_AcceptOnce(remember_days * 86_400_000), outputStructType=FILE, outputMode="Append", timeMode="ProcessingTime")
+    dealt = listed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+    return dealt.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_AcceptOnce(remember_days * 86_400_000), outputStructType=FILE, outputMode="Append", timeMode="ProcessingTime")
 
 
 def with_content(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """FILE rows with content and error. What is gone, unreadable or over `most` bytes has an error and no content."""
     ship(files.sparkSession)
 
+    columns = ["path", "key", "modified", "length", "content", "error"]
+
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            out, size = [], 0
             for path, key, modified, length in f[["path", "key", "modified", "length"]].itertuples(index=False, name=None):
                 content, error = None, None
+                # large files are not in memory together
+                if out and (size + min(length, most) > TOGETHER_BYTES or len(out) >= TOGETHER):
+                    yield pd.DataFrame(out, columns=columns)
+                    out, size = [], 0
                 try:
                     store, inner = _store(path)
                     if length > most:
@@ -145,8 +162,10 @@ def with_content(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
                             content = stream.read()
                 except OSError as e:
                     error = str(e)
-                # one file at a time, so that large ones are not in memory together
-                yield pd.DataFrame([(path, key, modified, length, content, error)], columns=["path", "key", "modified", "length", "content", "error"])
+                out.append((path, key, modified, length, content, error))
+                size += len(content or b"")
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
     return files.mapInPandas(each, FILE + ", content binary, error string")
 

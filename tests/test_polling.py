@@ -47,6 +47,30 @@ def test_each_version_once_over_restarts(spark, tmp_path, store):
     assert sorted(seen[2:]) == [("b.md", now + 9), ("late.md", now - 20)]
 
 
+def test_small_files_come_together(spark, tmp_path, store):
+    """Many keys are looked up in one call, and many contents given in one frame; a large file comes by itself."""
+    import pandas as pd
+
+    class State(dict):
+        getValue, updateValue = dict.get, dict.__setitem__
+
+    class Handle:
+        getMapState = getValueState = lambda self, *_, **__: State()
+
+    p = polling._AcceptOnce(1000)
+    p.init(Handle())
+    f = pd.DataFrame([(f"/in/{i % 300}", str(i % 300), i // 300, 5) for i in range(600)], columns=["path", "key", "modified", "length"])
+    got = list(p.handleInputRows((3,), iter([f]), None))
+    assert len(got) == 1 and sorted(zip(got[0]["key"], got[0]["modified"], strict=True)) == sorted((str(i % 300), i // 300) for i in range(600))
+    assert not list(p.handleInputRows((3,), iter([f]), None))
+
+    for i in range(40):
+        write(tmp_path, f"{i}.md", "x" * (3 << 20 if i > 37 else i), 100)
+    files = spark.createDataFrame([(f"{tmp_path}/{i}.md", f"{i}.md", 100, 3 << 20 if i > 37 else i) for i in range(41)], polling.FILE).coalesce(1)
+    rows = {r["key"]: r for r in polling.with_content(files).collect()}
+    assert len(rows) == 41 and rows["40.md"]["error"] and all(len(rows[f"{i}.md"]["content"]) == (3 << 20 if i > 37 else i) for i in range(40))
+
+
 def test_the_reader_goes_on_oldest_first(tmp_path):
     for i, at in enumerate((50, 10, 30, 20, 20, 40)):
         write(tmp_path, f"{i}.txt", "x" * i, at)
