@@ -718,6 +718,8 @@ def _zipped(projects: DataFrame, folder: str) -> int:
         from pyarrow import fs
 
         n = 0
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path)
         for f in frames:
             for name, xml, files in f[["name", "xml", "files"]].itertuples(index=False, name=None):
                 data = io.BytesIO()
@@ -725,8 +727,6 @@ def _zipped(projects: DataFrame, folder: str) -> int:
                     z.writestr(f"/{name}/{name}.aup", xml)
                     for i, file in enumerate(files):
                         z.writestr(f"{name}/{name}_data/d{i % 3}/{file}", file)
-                store, path = fs.FileSystem.from_uri(folder)
-                store.create_dir(path)
                 with store.open_output_stream(f"{path}/{name}.zip") as out:
                     out.write(data.getvalue())
                 n += 1
@@ -756,7 +756,8 @@ def audio_project_blocks(spark, sf):
     xml = F.format_string('<?xml version="1.0"?><b:project xmlns:b="http://audio.example/xml/" rate="44100.0">%s</b:project>', F.array_join("t.track", ""))
     folder = _shared(spark)
     _zipped(whole.select(F.format_string("c%d", "conv_id").alias("name"), xml.alias("xml"), "files"), f"{folder}/projects")
-    turns.where("conv_id % 10 = 3").select("conv_id").distinct().repartition("conv_id").select(F.lit("no archive").alias("value"), F.format_string("x%d", "conv_id").alias("name")).write.partitionBy("name").text(f"{folder}/none")
+    # files of one folder, as a folder for each would be listed one after the other
+    _written_files(turns.where("conv_id % 10 = 3").select("conv_id").distinct().select(F.format_string("none/name=x%d", "conv_id").alias("name"), F.lit("no archive").alias("text")), folder)
     projects.register(spark)
     good = spark.read.format("audio_project").load(f"{folder}/projects")
     # what is no archive: text files, taken as archives by their names

@@ -115,17 +115,20 @@ def archive_entries(files: DataFrame, cap: int, content: str = "content") -> Dat
     import io
     import zipfile
 
-    def row(*values):
-        return pd.DataFrame([values], columns=["path", "name", "size", "data", "error"]).astype({"size": "Int64"})
+    def frame(rows):
+        return pd.DataFrame(rows, columns=["path", "name", "size", "data", "error"]).astype({"size": "Int64"})
 
     def each(frames):
         for f in frames:
+            out = []
             for path, data in zip(f["path"], f["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(data)) as z:
                         for name, i in entries(z, cap):  # one entry at a time
-                            yield row(path, name, i.file_size, z.read(i), None)
+                            yield frame([(path, name, i.file_size, z.read(i), None)])
                 except (ValueError, zipfile.BadZipFile) as e:
-                    yield row(path, None, None, None, str(e))
+                    out.append((path, None, None, None, str(e)))
+            if out:
+                yield frame(out)
 
     return files.select("path", F.col(content).alias("content")).mapInPandas(each, "path string, name string, size bigint, data binary, error string")

@@ -43,3 +43,11 @@ def test_archives(spark, tmp_path):
     empty = tmp_path / "none"
     empty.mkdir()
     assert spark.read.format("audio_project").load(str(empty)).count() == 0
+
+
+def test_partitions_of_many_archives(tmp_path):
+    """A partition has over a hundred archives by default, as a task costs more than a small archive; each archive is in one."""
+    for i in range(300):
+        (tmp_path / f"{i:03}.zip").write_bytes(b"")
+    parts = projects._Reader({"path": str(tmp_path)}).partitions()
+    assert len(parts) <= 3 and [p.rpartition("/")[2] for x in parts for p in x.paths] == [f"{i:03}.zip" for i in range(300)]
