@@ -40,14 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again, which cuts its lineage for good; its shuffle files, which nothing reads
-    again, go at once. discard() removes the table."""
+    again, go at once. discard() removes the table. codec: of the files, if not the session's; zstd takes less disk for texts."""
     spark = df.sparkSession
     path, before = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(CLEANUP, before)
     _written.append(path)

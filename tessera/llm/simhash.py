@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import cut, only, python_ready, spread_join, stored
+from tessera.llm import common
+from tessera.llm.common import cut, discard, only, python_ready, spread_join, stored, written
 
 #: Segments of the grids, from coarse to fine. The finest one, of 64, needs no join.
 SEGMENTS = (8, 16)
@@ -113,8 +114,8 @@ def range_counts(distinct):
 
 def maybe_similar(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
     """The pairs(a, b) of units(unit, n, counts) that can have the similarity by their counts: sets of it differ in
-    (1 - similarity) / (1 + similarity) of their sizes' sum at most. `b` may have many `a`."""
-    of = units.select("unit", "n", "counts")
+    (1 - similarity) / (1 + similarity) of their sizes' sum at most. `b` may have many `a`. Counts of units without a pair are not shuffled."""
+    of = only(units.select("unit", "n", "counts"), pairs.select(F.explode(F.array("a", "b")).alias("unit")), "unit")
     both = spread_join(pairs, of.toDF("b", "n_b", "counts_b"), "b").join(of.toDF("a", "n_a", "counts_a"), "a")
     apart = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda total, x: total + x)
     return both.where(apart <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)).select("a", "b")
@@ -164,8 +165,9 @@ def _links(fps: DataFrame, grids: tuple[int, ...] | None = None) -> DataFrame:
     marked = stored(placed.join(dense, "cell", "left"))
     sparse = marked.where(~F.col("dense") | F.col("dense").isNull()).select("cell", "fp")
     # a pair with an end in a dense cell has both ends in `near`; of all others each side of a meeting has at most DENSE_CELL rows
-    probes = sparse.select(F.col("fp").alias("a"), F.explode(F.array(*[F.col("cell") + F.lit(o) for o in [0, *offsets]])).alias("cell"), F.col("cell").alias("home"))
-    met = probes.join(sparse.withColumnRenamed("fp", "b"), "cell").where((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= REACH) & ((F.col("home") != F.col("cell")) | (F.col("a") < F.col("b")))).select("a", "b")
+    probes = sparse.select(F.col("fp").alias("a"), F.explode(F.array(*[F.col("cell") + F.lit(o) for o in [0, *offsets]])).alias("cell"))
+    probes = only(probes, sparse, "cell")  # most meet no cell
+    met = probes.join(sparse.withColumnRenamed("fp", "b"), "cell").where((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= REACH) & ((_cell(F.col("a"), grids[0]) != F.col("cell")) | (F.col("a") < F.col("b")))).select("a", "b")
     near = marked.where("near").select("fp")
     return met if near.isEmpty() else met.unionByName(_links(near, grids[1:]))
 
@@ -234,9 +236,12 @@ def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def meetings(spread: DataFrame) -> DataFrame:
-    """spread(unit, n, key) with the smallest unit of each key, and its size, as hub and hub_n; keys of one unit go."""
-    hubs = stored(spread.groupBy("key").agg(F.min("unit").alias("hub"), F.min_by("n", "unit").alias("hub_n"), F.count("*").alias("m")).where("m > 1"))
-    return spread_join(spread, hubs, "key", "m")
+    """spread(unit, n, key) with the smallest unit of each key, and its size, as hub and hub_n; keys of one unit go, before anything is joined by a
+    shuffle if the others have been counted to be few."""
+    often = stored(spread.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+    several = stored(spread.join(F.broadcast(often.select("key")), "key") if often.count() <= common.BROADCAST_IDS else spread_join(spread, often, "key", "m"))
+    hubs = stored(several.groupBy("key").agg(F.min("unit").alias("hub"), F.min_by("n", "unit").alias("hub_n"), F.count("*").alias("m")))
+    return spread_join(several, hubs, "key", "m")
 
 
 def first_candidates(units: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
@@ -347,20 +352,23 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id
             yield pa.array([np.unique(np.frombuffer(shingles(t, words)[1], ">i8").astype(np.int64)) for t in s.to_pylist()], pa.list_(pa.int64()))
 
     columns = docs.columns
-    base = stored(docs.withColumn("_tessera_row", F.monotonically_increasing_id()).withColumn("_tessera_signature", signature.asNondeterministic()(F.col(text))))
+    base = stored(docs.withColumn("_tessera_row", F.monotonically_increasing_id()).withColumn("_tessera_signature", signature.asNondeterministic()(F.col(text))), "zstd")
     rank = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_tessera_row").alias("row"))
     firsts = base.groupBy(F.col("_tessera_signature.digest").alias("digest")).agg(F.min(rank).alias("best"), F.first("_tessera_signature.fp").alias("fp"), F.first("_tessera_signature.n").alias("n"), F.first("_tessera_signature.counts").alias("counts"))
     units = stored(firsts.select(F.col("best.row").alias("unit"), "best", "fp", F.col("n").cast("int").alias("n"), "counts"))
     whole = only(base.select(F.col("_tessera_row").alias("unit"), "_tessera_signature"), units, "unit").select("unit", F.col("_tessera_signature.n").cast("int").alias("n"), "_tessera_signature.keys", "_tessera_signature.few")
 
     def similar(pairs: DataFrame) -> DataFrame:
+        before = written()
         pairs = stored(maybe_similar(stored(pairs), units, similarity))
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("_tessera_row"))
         of = stored(only(base.select("_tessera_row", F.col(text).alias("_tessera_text")), wanted, "_tessera_row").select(F.col("_tessera_row").alias("unit"), sets.asNondeterministic()(F.col("_tessera_text")).alias("set")))
         both = spread_join(pairs, of.toDF("b", "set_b"), "b").join(of.toDF("a", "set_a"), "a")  # b, the smaller one, may have many
         shared = F.size(F.array_intersect("set_a", "set_b"))
         counted = both.select("a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
-        return stored(counted.where(F.col("shared") >= F.lit(similarity) * (F.col("sizes") - F.col("shared")) - F.lit(1e-9)).select("a", "b"))
+        links = stored(counted.where(F.col("shared") >= F.lit(similarity) * (F.col("sizes") - F.col("shared")) - F.lit(1e-9)).select("a", "b"))
+        discard(docs.sparkSession, before, links)  # the sets, which are as large as the texts
+        return links
 
     spread = whole.select("unit", "n", F.explode("keys").alias("key")).unionByName(rarest(whole, similarity))
     met = stored(meetings(spread))

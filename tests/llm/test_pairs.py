@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, simhash
+from tessera.llm import common, decontam, simhash
 from tests.conftest import duck, normal
 
 DOCS = "doc_id bigint, text string, cell string, fp int, item_id int, h int"
@@ -201,6 +201,35 @@ def test_a_key_loses_no_pair(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in simhash.deduplicate(frame(spark, rows)).collect()) == sorted(want.values()) and len(want) < 0.7 * len(rows)
 
 
+def test_deduplicate_removes_its_sets_and_compresses_its_texts(spark):
+    import os
+
+    import pyarrow.parquet as pq
+
+    rows, before = near_copies(13, [20, 60, 90, 400], 6), common.written()
+    kept = simhash.deduplicate(frame(spark, rows)).count()
+    assert kept == len(set(plain_classes(rows)))
+    left = {}
+    for path in common.written() - before:
+        folder = path.removeprefix("file://")
+        left[path] = [pq.ParquetFile(f"{folder}/{x}") for x in os.listdir(folder) if x.endswith(".parquet")]
+    assert not [p for p, files in left.items() if any("set" in f.schema_arrow.names for f in files)]
+    groups = [f.metadata.row_group(0) for files in left.values() for f in files if "text" in f.schema_arrow.names and f.num_row_groups]
+    assert groups and all(g.column(i).compression == "ZSTD" for g in groups for i in range(g.num_columns))
+
+
+@pytest.mark.parametrize("ids", [0, 1000])
+def test_probes_and_keys_that_meet_nothing_are_not_shuffled_with_the_others(spark, monkeypatch, ids):
+    """With lists of ids that are broadcast and with lists that are too long for it."""
+    monkeypatch.setattr(common, "BROADCAST_IDS", ids)
+    seen, plain = [], common.only
+    monkeypatch.setattr(simhash, "only", lambda rows, keys, key, how="left_semi": seen.append(key) or plain(rows, keys, key, how))
+    got = {tuple(sorted((x["a"], x["b"]))) for x in simhash._links(spark.createDataFrame([(v,) for v in (0, 1, 3, 7, 1 << 40, 255 << 8)], "fp bigint")).collect()}
+    assert got == {(0, 1), (0, 3), (1, 3), (1, 7), (3, 7), (0, 1 << 40), (1, 1 << 40)} and "cell" in seen
+    spread = spark.createDataFrame([(1, 9, 5), (2, 8, 5), (3, 7, 6), (2, 8, 7), (4, 6, 7), (5, 5, 7)], "unit bigint, n int, key bigint")
+    assert sorted(map(tuple, simhash.meetings(spread).select("key", "unit", "n", "hub", "hub_n").collect())) == [(5, 1, 9, 1, 9), (5, 2, 8, 1, 9), (7, 2, 8, 2, 8), (7, 4, 6, 2, 8), (7, 5, 5, 2, 8)]
+
+
 def test_parts_of_large_sets_lose_few_pairs():
     import numpy as np
 
