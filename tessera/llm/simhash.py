@@ -1,16 +1,16 @@
 """SimHash near-duplicates by segment popcounts.
 
-A fingerprint is mapped to the bit counts of its segments, eight of a byte each. Two fingerprints at Hamming distance k have count
-vectors at Manhattan distance k at most, so a range join on the grid of count vectors finds every pair within
-reach; an exact test of the Hamming distance follows. Each pair of neighbouring cells meets once, as only half of
-the ball of offsets is probed.
-
-Cells that hold many fingerprints would meet quadratically, so the join leaves them out, and the fingerprints in or next to
-them go through a finer grid, of sixteen segments of four bits, where the same holds. What is dense there too goes through the finest
-grid, of 64 segments of one bit, whose cells are the fingerprints themselves: two of them within two bits share a cell that is within one bit
+A fingerprint is cut into segments, four of 16 bits. Two fingerprints within two bits differ in two segments at most, in whose bit counts they are at
+Manhattan distance two at most, and are equal in all others. So for each two segments there is a grid of cells that count the bits of these and keep
+the others as they are, and a range join on these grids, of 22 cells that a fingerprint looks up with the six that it is under, finds every
+pair within reach; an exact test of the Hamming distance follows. A cell that kept counts only would be met by more fingerprints the more there are, linked or
+not; of these cells hardly any is met by one that isn't linked, so the work grows with the fingerprints and their links.
+
+Cells that hold many fingerprints would meet quadratically, so the join leaves them out, and the fingerprints that are under them or look them up go
+through the finest grid, of 64 segments of one bit, whose cells are the fingerprints themselves: two of them within two bits share a cell that is within one bit
 of both, so each is put under its 65 cells at distance one or less, and all under one cell are linked to the
 smallest. A cell has at most 65 fingerprints, so no group is large, and the work is linear in the number of
-fingerprints however dense the grid gets. Those next to dense cells take part in the coarser join, too, as they may be within
+fingerprints however dense the grid gets. Those that look dense cells up take part in the coarser join, too, as they may be within
 reach of some that are not.
 
 deduplicate() links texts by the Jaccard similarity of their shingles, which fingerprints of whole texts are too coarse to search for: texts at 0.8
@@ -34,9 +34,9 @@ from pyspark.sql.window import Window
 from tessera.llm import common
 from tessera.llm.common import cut, discard, only, python_ready, spread_join, stored, written
 
-#: Segments of the grids, from coarse to fine. The finest one, of 64, needs no join.
-SEGMENTS = (8, 16)
-#: Cells with more fingerprints than this are searched by the next finer grid, with all in reach of them.
+#: Segments of the grids, from coarse to fine, even numbers. The finest one, of 64, needs no join.
+SEGMENTS = (4,)
+#: Cells with more fingerprints than this are searched by the next finer grid, with all that look them up.
 DENSE_CELL = 64
 REACH = 2
 #: Tasks among which the links of one value are dealt.
@@ -133,21 +133,28 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", into: str
     return docs.withColumn(into, each(F.col(text)))
 
 
-def _cell(fp: Column, segments: int) -> Column:
-    """The packed vector of bit counts, in 64 bits."""
-    width = 64 // segments
-    parts = [F.shiftleft(F.bit_count(F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit((1 << width) - 1))).cast("bigint"), width * i) for i in range(segments)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.bitwiseOR(p)
+def _steps(segments: int, probes: bool) -> list[tuple[int, int, int, int, int]]:
+    """The cells of a grid that a fingerprint is put under or, as a probe, looks up: the bits that a cell keeps, the places of the two segments whose
+    bits it counts, and what is added to these counts.
+
+    Two fingerprints within two bits differ in two segments at most. If in two, each count differs by one; if in one, by two, by one or, where
+    bits change places, by none, and a cell that counts the segment and its neighbour will do. Of two fingerprints one looks the other up, the one
+    with less in the first segment that differs by count.
+    """
+    width, out = 64 // segments, []
+    for i, j in combinations(range(segments), 2):
+        kept = (1 << 64) - 1 ^ ((1 << width) - 1 << width * i | (1 << width) - 1 << width * j)
+        alone = [(0, 0), (1, 0), (2, 0), (0, 1), (0, 2)] if i % 2 == 0 and j == i + 1 else []
+        out += [(kept - (kept >> 63 << 64), width * i, width * j, x, y) for x, y in ([(1, 1), (1, -1), *alone] if probes else [(0, 0)])]
     return out
 
 
-def _ball(segments: int) -> list[int]:
-    """Packed offsets of all vectors with Manhattan length 1 or 2, those whose first part is positive. A sum that
-    leaves the range of counts in some segment is no cell, so it meets nothing."""
-    unit = [1 << 64 // segments * i for i in range(segments)]
-    return [*unit, *(2 * u for u in unit), *(b + s * a for a, b in combinations(unit, 2) for s in (1, -1))]
+def _placed(fps: DataFrame, segments: int, probes: bool = False) -> DataFrame:
+    """(fp, cell): fps(fp) at all their cells. A cell's name is a hash of the bits that it keeps and of its counts."""
+    steps = F.array(*[F.struct(*[F.lit(v).cast("bigint" if n == "keep" else "int").alias(n) for n, v in zip(("keep", "i", "j", "x", "y"), s, strict=True)]) for s in _steps(segments, probes)])
+    count = lambda at: F.expr(f"bit_count(shiftrightunsigned(fp, at.{at}) & {(1 << 64 // segments) - 1}L)")
+    kept, counts = F.col("fp").bitwiseAND(F.col("at.keep")), (count("i") + F.col("at.x"), count("j") + F.col("at.y"))
+    return fps.select("fp", F.explode(steps).alias("at")).select("fp", F.xxhash64("at.keep", kept, *counts).alias("cell"))
 
 
 def _links(fps: DataFrame, grids: tuple[int, ...] | None = None) -> DataFrame:
@@ -157,19 +164,15 @@ def _links(fps: DataFrame, grids: tuple[int, ...] | None = None) -> DataFrame:
         flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("bigint"), i)) for i in range(64)])
         shared = fps.select("fp", F.explode(flips).alias("value")).groupBy("value").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1)
         return shared.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b").distinct()
-    placed = fps.select("fp", _cell(F.col("fp"), grids[0]).alias("cell"))
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"))
-    offsets = _ball(grids[0])
-    around = F.explode(F.array(*[F.struct((F.col("cell") + F.lit(o)).alias("cell"), F.lit(o == 0).alias("dense")) for o in [0, *offsets, *(-o for o in offsets)]])).alias("at")
-    dense = cells.where(F.col("n") > DENSE_CELL).select(around).groupBy(F.col("at.cell").alias("cell")).agg(F.max("at.dense").alias("dense")).withColumn("near", F.lit(True))
-    marked = stored(placed.join(dense, "cell", "left"))
-    sparse = marked.where(~F.col("dense") | F.col("dense").isNull()).select("cell", "fp")
-    # a pair with an end in a dense cell has both ends in `near`; of all others each side of a meeting has at most DENSE_CELL rows
-    probes = sparse.select(F.col("fp").alias("a"), F.explode(F.array(*[F.col("cell") + F.lit(o) for o in [0, *offsets]])).alias("cell"))
-    probes = only(probes, sparse, "cell")  # most meet no cell
-    met = probes.join(sparse.withColumnRenamed("fp", "b"), "cell").where((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= REACH) & ((_cell(F.col("a"), grids[0]) != F.col("cell")) | (F.col("a") < F.col("b")))).select("a", "b")
-    near = marked.where("near").select("fp")
-    return met if near.isEmpty() else met.unionByName(_links(near, grids[1:]))
+    cells, probes = _placed(fps, grids[0]), _placed(fps, grids[0], probes=True)
+    dense = stored(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > DENSE_CELL).select("cell"))
+    rest = not dense.isEmpty()
+    if rest:  # the two of a pair that would meet in a dense cell are both in `near`
+        near = stored(only(cells.unionByName(probes), dense, "cell").select("fp").distinct())
+        cells = only(cells, dense, "cell", "left_anti")
+    # merged, as sizes are estimated before the rows are copied to their cells, and a broadcast of six times that would be large
+    met = probes.withColumnRenamed("fp", "a").join(cells.withColumnRenamed("fp", "b").hint("merge"), "cell").where((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= REACH) & (F.col("a") != F.col("b"))).select("a", "b")
+    return met.unionByName(_links(near, grids[1:])) if rest else met
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

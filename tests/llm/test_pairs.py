@@ -125,6 +125,35 @@ def test_links_across_the_border_of_a_dense_cell(spark):
     assert got[border[0]] == got[border[1]] == got[border[2]]
 
 
+def test_unlike_fingerprints_hardly_meet(spark, monkeypatch):
+    """Joins make rows for links, not for fingerprints whose counts are near by chance, which grow with the square."""
+    made, kind = [], type(spark.range(1))
+    join = kind.join
+
+    def counted(self, *args, **more):
+        made.append(join(self, *args, **more))
+        return made[-1]
+
+    fps = common.stored(spark.range(20_000).select(F.xxhash64("id").alias("fp")))
+    monkeypatch.setattr(kind, "join", counted)
+    links = simhash._links(fps)
+    monkeypatch.undo()
+    assert links.where("a <> b").count() == 0
+    assert max(df.count() for df in made) <= 2 * 20_000  # each meets itself
+
+
+@pytest.mark.parametrize("segments", [4, 8])
+def test_each_pair_within_two_bits_shares_a_cell(spark, segments):
+    r = random.Random(9)
+    signed = lambda x: x - (x >> 63 << 64)
+    pairs = [(x, x ^ 1 << a) for x in (0, r.getrandbits(64)) for a in range(64)] + [(x, x ^ 1 << a ^ 1 << b) for x in (r.getrandbits(64), (1 << 64) - 1) for a in range(64) for b in range(a)]
+    ends = spark.createDataFrame([(signed(a), signed(b)) for a, b in pairs], "a bigint, b bigint").distinct()
+    fps = ends.selectExpr("a as fp").union(ends.selectExpr("b as fp")).distinct()
+    cells, probes = simhash._placed(fps, segments), simhash._placed(fps, segments, probes=True)
+    met = probes.withColumnRenamed("fp", "a").join(cells.withColumnRenamed("fp", "b"), "cell").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    assert ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(met, ["a", "b"], "left_anti").count() == 0
+
+
 def plain_sets(text, words=5):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if x]
     return frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
