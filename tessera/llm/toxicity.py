@@ -11,13 +11,14 @@ in a long text, the long one many that are far apart. These windows overlap by h
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import labelled_sample, python_ready
@@ -177,6 +178,20 @@ def train(sample: list[tuple[str, int]], shift: float = 0.0) -> Model:
     return model
 
 
+def fitted(spark: SparkSession, sample: list[tuple[str, int]], shift: float = 0.0) -> Model:
+    """train() in a task, as it takes hundreds of MB, which the driver would keep."""
+    python_ready(spark)
+    given = spark.sparkContext.broadcast(sample)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(given.value, shift))], pa.binary())], ["model"])
+
+    model = pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(each, "model binary").first()["model"])
+    given.destroy()
+    return model
+
+
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
     """`docs` with score (0 to 1, higher: label 1 likelier) and predicted (1 from `threshold` on), in place of columns of these names.
 
@@ -185,8 +200,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
     With no or one label, all scores are that label's smoothed share. Repeated rows get equal scores.
     """
     sample, shift = labelled_sample(docs.select("doc_id", F.col(text).alias("text")), labels, label, rows)
-    model = docs.sparkSession.sparkContext.broadcast(train(sample, shift))
-    python_ready(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs.sparkSession, sample, shift))
 
     @F.arrow_udf("double")
     def each(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -37,6 +37,21 @@ def made(n, toxic, r):
     return rows
 
 
+def test_the_driver_trains_no_toxicity_model_itself(spark):
+    """What training takes stays with the process that trains; the model is that of train()."""
+    import tracemalloc
+
+    r = random.Random(4)
+    sample = [(" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(150)), i % 2) for i in range(200)]
+    tracemalloc.start()
+    got = toxicity.score(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(sample)], "doc_id bigint, text string"), spark.createDataFrame([(i, y) for i, (_, y) in enumerate(sample)], "doc_id bigint, toxic int"), "toxic")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.columns == ["doc_id", "text", "score", "predicted"] and most < 30 << 20
+    here, there = toxicity.train(sample, 0.5), toxicity.fitted(spark, sample, 0.5)
+    assert np.array_equal(here.gains, there.gains) and (here.a, here.b, here.bias, here.spreads) == (there.a, there.b, there.bias, there.spreads)
+
+
 @pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
 def test_classifiers_on_held_out_rows(spark, module, label):
     rows = made(900, label == "toxic", random.Random(1))
