@@ -29,7 +29,6 @@ from itertools import combinations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm import common
 from tessera.llm.common import cut, discard, only, python_ready, spread_join, stored, written
@@ -41,10 +40,8 @@ DENSE_CELL = 64
 REACH = 2
 #: Tasks among which the links of one value are dealt.
 SALTS = 8
-#: Of deduplicate(): units of a key that those which its smallest one is unlike meet.
-HUBS = 8
-#: Units of a key's block; all pairs of two blocks meet in a task.
-BLOCK = 512
+#: Of deduplicate(): units of a key's block; all pairs of two blocks meet in a task.
+BLOCK = 256
 #: Most shingles of a part on average, parts that are fingerprinted, and shingles up to which rare ones are looked up instead.
 SHARE, PARTS, FEW = 6, 16, 64
 #: Ranges by which shingle hashes are counted.
@@ -238,17 +235,22 @@ def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.where((F.col("unit") != F.col("hub")) & near).select(F.greatest("unit", "hub").alias("a"), F.least("unit", "hub").alias("b")).distinct()
 
 
-def meetings(spread: DataFrame) -> DataFrame:
+def meetings(spread: DataFrame, central: bool = False) -> DataFrame:
     """spread(unit, n, key) with the smallest unit of each key, and its size, as hub and hub_n; keys of one unit go, before anything is joined by a
-    shuffle if the others have been counted to be few."""
+    shuffle if the others have been counted to be few. central: instead of the smallest unit of a key, the one whose keys have most units. What
+    others were copied from shares more keys with them than they do with each other, so it is the hub of most of them, and the same one for each."""
     often = stored(spread.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
-    several = stored(spread.join(F.broadcast(often.select("key")), "key") if often.count() <= common.BROADCAST_IDS else spread_join(spread, often, "key", "m"))
-    hubs = stored(several.groupBy("key").agg(F.min("unit").alias("hub"), F.min_by("n", "unit").alias("hub_n"), F.count("*").alias("m")))
-    return spread_join(several, hubs, "key", "m")
+    several = stored(spread.join(F.broadcast(often), "key") if often.count() <= common.BROADCAST_IDS else spread_join(spread, often.withColumn("_times", F.col("m")), "key", "_times"))
+    if central:
+        ranked = several.join(several.groupBy("unit").agg((-F.sum("m")).alias("rank")), "unit")
+    else:
+        ranked = several.withColumn("rank", F.lit(0).cast("bigint"))
+    hubs = stored(ranked.groupBy("key").agg(F.min(F.struct("rank", "unit", "n")).alias("best"), F.count("*").alias("m")).select("key", F.col("best.unit").alias("hub"), F.col("best.n").alias("hub_n"), "m"))
+    return spread_join(several.drop("m"), hubs, "key", "m")
 
 
 def first_candidates(units: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): of units(unit, n, fp), those that meet the smallest one of a key, and those whose fingerprints are linked."""
+    """(a, b): of units(unit, n, fp), those that meet the hub of a key, and those whose fingerprints are linked."""
     of_print = stored(units.groupBy("fp").agg(F.min("unit").alias("hub"), F.min_by("n", "unit").alias("hub_n"), F.count("*").alias("m")))
     same = spread_join(units.select("unit", "n", "fp"), of_print.where("m > 1"), "fp", "m")
     linked = of_print.drop("m")
@@ -257,30 +259,24 @@ def first_candidates(units: DataFrame, met: DataFrame, similarity: float) -> Dat
     return _pairs(met.select(*columns).unionByName(same.select(*columns)).unionByName(ends.select(*columns)), similarity)
 
 
-def mixed(met: DataFrame, roots: DataFrame, least: int = 1) -> DataFrame:
-    """(key, unit, n, root, hub_root, m): of met(unit, n, key), the units of keys of over `least` units, m, that are not all connected yet by
-    roots(unit, root); hub_root is the root of the key's smallest one."""
-    rooted = stored(met.select("unit", "n", "key").join(roots, "unit"))
-    keys = rooted.groupBy("key").agg(F.min_by("root", "unit").alias("hub_root"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where((F.col("low") < F.col("high")) & (F.col("m") > least))
-    return stored(spread_join(rooted, stored(keys.select("key", "hub_root", "m", F.col("m").alias("_times"))), "key", "_times"))
+def mixed(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, unit, n, root, hub_root, m, with_hub): of met(unit, n, key, hub), the units of keys whose m units are not all connected yet by
+    roots(unit, root); hub_root is the root of the key's hub, which with_hub of them have."""
+    rooted = stored(met.select("unit", "n", "key", "hub").join(roots, "unit"))
+    classes = rooted.groupBy("key", "root").agg(F.count("*").alias("size"), F.max(F.col("unit") == F.col("hub")).alias("of_hub"))
+    keys = classes.groupBy("key").agg(F.max_by("root", "of_hub").alias("hub_root"), F.max_by("size", "of_hub").alias("with_hub"), F.sum("size").alias("m"), F.count("*").alias("classes")).where("classes > 1")
+    return stored(spread_join(rooted.drop("hub"), stored(keys.select("key", "hub_root", "with_hub", "m", F.col("m").alias("_times"))), "key", "_times"))
 
 
-def second_candidates(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): of mixed() units, those that are not connected with their key's smallest one, each with HUBS of the key's units, other ones for each
-    key. So all that are not connected meet if they are up to HUBS; last_candidates() has the rest."""
-    some = Window.partitionBy("key").orderBy(F.xxhash64("unit", "key"), "unit")
-    several = members.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= HUBS)
-    packed = stored(several.groupBy("key").agg(F.collect_list(F.struct(F.col("unit").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("other"))).alias("hubs")))
-    apart = stored(members.where("root <> hub_root").select("key", "unit", "n", "root"))
-    rows = spread_join(apart, packed, "key").select("unit", "n", "root", F.inline("hubs")).where("root <> other")
-    return _pairs(rows, similarity)
-
-
-def last_candidates(members: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+def other_candidates(members: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all different pairs of mixed() units of a key that are not connected and can have the similarity by their sizes and by the counts of
-    units(unit, counts); a > b. A key's units are dealt to blocks, and each two blocks meet in a task, which holds these only and compares them at once."""
-    at, blocks = F.pmod(F.xxhash64("unit", "key"), F.col("blocks")).cast("int"), F.ceil(F.col("m") / BLOCK).cast("bigint")
-    dealt = members.withColumn("blocks", blocks).withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    units(unit, counts); a > b. A key's units are dealt to blocks, first those that are not connected with its hub, then the others, which needn't
+    meet each other. Each two blocks that have such pairs meet in a task, which holds these only and compares them at once."""
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    apart, apart_blocks, hash_ = F.col("root") != F.col("hub_root"), blocks(F.col("m") - F.col("with_hub")), F.xxhash64("unit", "key")
+    at = F.when(apart, F.pmod(hash_, F.col("apart_blocks"))).otherwise(F.col("apart_blocks") + F.pmod(hash_, F.col("hub_blocks"))).cast("int")
+    meets = F.when(apart, F.col("apart_blocks") + F.col("hub_blocks")).otherwise(F.col("apart_blocks"))
+    dealt = members.withColumns({"apart_blocks": apart_blocks, "hub_blocks": blocks(F.col("with_hub"))}).withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
     dealt = dealt.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "unit", "n", "root", (F.col("at") <= F.col("other")).alias("left"), (F.col("at") >= F.col("other")).alias("right"))
     ordered = dealt.join(units.select("unit", "counts"), "unit").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "unit")
     share = (1 - similarity) / (1 + similarity)
@@ -326,8 +322,8 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id
 
     Two texts are linked if the sets of their shingles of `words` words have a Jaccard similarity of `similarity` or more, which is verified
     exactly; classes are what links connect. Texts with equal words are one text, texts without words too. Links of up to FEW shingles are found
-    by rare shingles, those of longer texts by parts, of which a pair at 0.8 shares none with a probability of 0.007 at most, 0.0005 on average over sizes. A key's texts meet the
-    smallest of them, then those not connected with it meet HUBS others; all that are not connected by then meet each other, in blocks, so a key loses no link.
+    by rare shingles, those of longer texts by parts, of which a pair at 0.8 shares none with a probability of 0.007 at most, 0.0005 on average over sizes. A key's texts meet
+    one of them, the same for all their keys if it can be; all that are not connected by then meet each other, in blocks that yield those which can be linked, so a key loses no link.
     All columns stay. Of repeated rows one stays. An empty table gives no rows.
     """
     python_ready(docs.sparkSession)
@@ -363,7 +359,7 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id
 
     def similar(pairs: DataFrame) -> DataFrame:
         before = written()
-        pairs = stored(maybe_similar(stored(pairs), units, similarity))
+        pairs = stored(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("_tessera_row"))
         of = stored(only(base.select("_tessera_row", F.col(text).alias("_tessera_text")), wanted, "_tessera_row").select(F.col("_tessera_row").alias("unit"), sets.asNondeterministic()(F.col("_tessera_text")).alias("set")))
         both = spread_join(pairs, of.toDF("b", "set_b"), "b").join(of.toDF("a", "set_a"), "a")  # b, the smaller one, may have many
@@ -374,8 +370,8 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id
         return links
 
     spread = whole.select("unit", "n", F.explode("keys").alias("key")).unionByName(rarest(whole, similarity))
-    met = stored(meetings(spread))
-    first = components(similar(first_candidates(units, met, similarity)))
+    met = stored(meetings(spread, central=True))
+    first = components(similar(maybe_similar(stored(first_candidates(units, met, similarity)), units, similarity)))
     roots = stored(units.select("unit").join(first, F.col("unit") == F.col("node"), "left").select("unit", F.coalesce("root", "unit").alias("root")))
 
     def connected(links: DataFrame) -> DataFrame:
@@ -387,9 +383,7 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id
         return stored(roots.join(more, "root", "left").select("unit", F.coalesce("joined", "root").alias("root")))
 
     members = mixed(met, roots)
-    roots = connected(similar(second_candidates(members, similarity)))
-    members = mixed(members, roots, HUBS)
     if not members.isEmpty():
-        roots = connected(similar(last_candidates(members, units, similarity)))
+        roots = connected(similar(other_candidates(members, units, similarity)))
     kept = units.select("unit", "best").join(roots, "unit").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_tessera_row"))
     return only(base, kept, "_tessera_row").select(*columns)

@@ -230,6 +230,33 @@ def test_a_key_loses_no_pair(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in simhash.deduplicate(frame(spark, rows)).collect()) == sorted(want.values()) and len(want) < 0.7 * len(rows)
 
 
+@pytest.mark.parametrize("copies", [40, 160])
+def test_candidates_grow_with_a_group_and_not_with_its_square(spark, monkeypatch, copies):
+    """Copies that are nearer to one text, not their smallest one, than to each other hardly meet but by it."""
+    r, word = random.Random(14), lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randint(3, 7)))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(copies):
+        w = [*base]
+        for _ in range(3):
+            w[r.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    rows.append((copies, " ".join(base)))
+    made, plain = [], simhash.stored
+
+    def counted(df, *args):
+        out = plain(df, *args)
+        if df.columns == ["a", "b"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    want = {}
+    for (d, _), c in zip(rows, plain_classes(rows), strict=True):
+        want[c] = min(want.get(c, d), d)
+    assert sorted(x["doc_id"] for x in simhash.deduplicate(frame(spark, rows)).collect()) == sorted(want.values())
+    assert 0 < sum(made) <= 8 * len(rows), made
+
+
 def test_deduplicate_removes_its_sets_and_compresses_its_texts(spark):
     import os
 
@@ -259,6 +286,15 @@ def test_probes_and_keys_that_meet_nothing_are_not_shuffled_with_the_others(spar
     assert sorted(map(tuple, simhash.meetings(spread).select("key", "unit", "n", "hub", "hub_n").collect())) == [(5, 1, 9, 1, 9), (5, 2, 8, 1, 9), (7, 2, 8, 2, 8), (7, 4, 6, 2, 8), (7, 5, 5, 2, 8)]
 
 
+@pytest.mark.parametrize("ids", [0, 1000])
+def test_hub_of_a_key_is_its_smallest_unit_or_the_most_central_one(spark, monkeypatch, ids):
+    monkeypatch.setattr(common, "BROADCAST_IDS", ids)
+    spread = spark.createDataFrame([(1, 9, 5), (2, 8, 5), (3, 7, 6), (2, 8, 7), (4, 6, 7), (5, 5, 7)], "unit bigint, n int, key bigint")
+    hubs = lambda **how: sorted(map(tuple, simhash.meetings(spread, **how).select("key", "unit", "n", "hub", "hub_n").collect()))
+    assert hubs() == [(5, 1, 9, 1, 9), (5, 2, 8, 1, 9), (7, 2, 8, 2, 8), (7, 4, 6, 2, 8), (7, 5, 5, 2, 8)]
+    assert hubs(central=True) == [(5, 1, 9, 2, 8), (5, 2, 8, 2, 8), (7, 2, 8, 2, 8), (7, 4, 6, 2, 8), (7, 5, 5, 2, 8)]
+
+
 def test_parts_of_large_sets_lose_few_pairs():
     import numpy as np
 
