@@ -819,8 +819,8 @@ def poll_versions(spark, sf):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     try:
         for changed in (docs, docs.where("doc_id % 7 = 0").withColumn("text", F.concat("text", F.lit(" again"))), docs.limit(0)):
-            _written_files(changed.select("name", "text").repartition(max(8, spark.sparkContext.defaultParallelism)), f"{folder}/in")
-            files = polling.accepted(spark, f"{folder}/in")
+            _written_files(changed.select("name", "text"), f"{folder}/in")  # by the tasks that read them, as a shuffle would hold all texts on disk again
+            files = polling.accepted(spark, f"{folder}/in", listings=f"{folder}/listings")
             each = lambda rows, batch: polling.with_content(rows).select("key", "modified", "length", F.md5("content").alias("md5"), "error").write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
             files.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:

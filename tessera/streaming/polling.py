@@ -3,14 +3,23 @@
 The source lists the folder at each trigger and gives what has changed since its offset, less a look-back for files that come with an older
 time; an accept-once filter holds the last accepted version of each key in the state, for a limited time. So no batch reads a ledger: it costs the
 listing, and the state of the keys that it brings. Files are described only (path, time, length) until they are accepted; then their content is read where it is used.
+The driver holds no listing: it goes through the folder file by file, and writes what a batch brings, a partition at a time, to a file that tasks read.
 
 A restarted query, or a batch that is run again, may list files again; the filter's state is restored with it, so nothing is accepted twice.
 """
 
 from __future__ import annotations
 
+import errno
+import heapq
+import os
+import pickle
+import stat
+import tempfile
+import uuid
+import zlib
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import groupby, islice
 from typing import Any
 
 import pandas as pd
@@ -20,7 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.operators import ingest
-from tessera.session import ship
+from tessera.session import shared_dir, ship
 from tessera.streaming.cache import stream_ready
 
 FILE = "path string, key string, modified bigint, length bigint"
@@ -40,9 +49,37 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder or not folder.startswith("file:") else "file://" + folder[5:])
 
 
+def _entries(store, folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    """(path, whether it is a folder, modified in microseconds, length) of the files and folders in a folder; none if it isn't there. A local
+    folder is read as it is gone through, one of another store is listed at once."""
+    from pyarrow import fs
+
+    if not isinstance(store, fs.LocalFileSystem):
+        for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            if f.type in (fs.FileType.File, fs.FileType.Directory):
+                yield f.path, f.type == fs.FileType.Directory, (f.mtime_ns or 0) // 1000, f.size or 0
+        return
+    try:
+        found = os.scandir(folder)
+    except FileNotFoundError:
+        return
+    with found:
+        for e in found:
+            try:
+                s = e.stat()
+            except OSError as error:
+                if error.errno in (errno.ENOENT, errno.ENOTDIR, errno.ELOOP):  # gone since, or a link to nothing
+                    continue
+                raise
+            if stat.S_ISREG(s.st_mode) or stat.S_ISDIR(s.st_mode):
+                yield e.path, stat.S_ISDIR(s.st_mode), s.st_mtime_ns // 1000, s.st_size
+
+
 class _Files(InputPartition):
-    def __init__(self, rows: list[tuple]) -> None:
-        self.rows = rows
+    """A piece of a file of listings."""
+
+    def __init__(self, listing: str, at: int, size: int) -> None:
+        self.listing, self.at, self.size = listing, at, size
 
 
 class _Poll(DataSourceStreamReader):
@@ -50,16 +87,23 @@ class _Poll(DataSourceStreamReader):
         self.folder, self.most = options["path"], int(options.get("maxFilesPerTrigger", 0))
         self.back, self.slice = int(options.get("lookBackSeconds", 60)) * 1_000_000, int(options.get("filesPerPartition", 512))
         self.at: int | None = None
+        self.listings = options.get("listings")
 
-    def _listed(self) -> list[tuple]:
-        """(modified in microseconds, key, path, length), oldest first. A folder that isn't there yet has no files."""
-        from pyarrow import fs
-
+    def _listed(self) -> Iterator[tuple]:
+        """(modified in microseconds, key, path, length), in no order. A folder that isn't there yet has no files."""
         store, root = _store(self.folder)
-        found = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
-        hidden = lambda key: any(p.startswith(("_", ".")) for p in key.split("/"))
-        rows = [((f.mtime_ns or 0) // 1000, f.path[len(root) :].lstrip("/"), f.path, f.size) for f in found if f.type == fs.FileType.File]
-        return sorted(r for r in rows if not hidden(r[1]))
+        open_folders = [_entries(store, root)]
+        while open_folders:
+            if (entry := next(open_folders[-1], None)) is None:
+                open_folders.pop()
+                continue
+            path, is_folder, modified, size = entry
+            if path.rpartition("/")[2].startswith(("_", ".")):
+                continue
+            if is_folder:
+                open_folders.append(_entries(store, path))
+            else:
+                yield modified, path[len(root) :].lstrip("/"), path, size
 
     def initialOffset(self) -> dict:
         return {"modified": -1}
@@ -67,24 +111,46 @@ class _Poll(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         """The time of the newest file, or of the maxFilesPerTrigger-th after what has been given; files of one time stay together."""
         start = -1 if self.at is None else self.at
-        later = [r[0] for r in self._listed() if r[0] > start]
-        if later:
-            self.at = later[min(self.most or len(later), len(later)) - 1]
-        return {"modified": start if self.at is None else self.at}
+        later = (r[0] for r in self._listed() if r[0] > start)
+        self.at = max(heapq.nsmallest(self.most, later) if self.most else later, default=start)
+        return {"modified": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        """Pieces of a file to which the listing is written, each of filesPerPartition files, the oldest first."""
         self.at = max(end["modified"], -1 if self.at is None else self.at)
         if start == end:
             return []
-        rows = [(path, key, modified, size) for modified, key, path, size in self._listed() if start["modified"] - self.back < modified <= end["modified"]]
-        return [_Files(rows[i : i + self.slice]) for i in range(0, len(rows), self.slice)]
+        if self.listings is None:
+            self.listings = tempfile.mkdtemp(prefix="tessera-")
+        store, folder = _store(self.listings)
+        store.create_dir(folder)
+        name, out = f"{end['modified']}-{uuid.uuid4().hex}", []
+        rows = (r for r in self._listed() if start["modified"] - self.back < r[0] <= end["modified"])
+        with store.open_output_stream(f"{folder}/{name}") as listing:
+            while piece := sorted(islice(rows, self.slice)):
+                packed = zlib.compress(pickle.dumps([(path, key, modified, size) for modified, key, path, size in piece]))
+                out.append(_Files(f"{self.listings}/{name}", listing.tell(), len(packed)))
+                listing.write(packed)
+        return out
 
     def read(self, partition: _Files) -> Iterator[tuple]:
-        yield from partition.rows
+        store, path = _store(partition.listing)
+        with store.open_input_file(path) as listing:
+            listing.seek(partition.at)
+            yield from pickle.loads(zlib.decompress(listing.read(partition.size)))
+
+    def commit(self, end: dict) -> None:
+        """Deletes the listings of what is done, also those that a reader before a restart has left."""
+        if self.listings is not None:
+            store, folder = _store(self.listings)
+            for path, *_ in list(_entries(store, folder)):
+                if int(path.rpartition("/")[2].partition("-")[0]) <= end["modified"]:
+                    store.delete_file(path)
 
 
 class PolledFolder(DataSource):
-    """Options: maxFilesPerTrigger (0: all), lookBackSeconds, filesPerPartition."""
+    """Options: maxFilesPerTrigger (0: all), lookBackSeconds, filesPerPartition, listings (a folder of this stream's own, which driver and executors
+    share and whose files go when their batch is committed; unset: a local one)."""
 
     @classmethod
     def name(cls) -> str:
@@ -125,12 +191,12 @@ class _AcceptOnce(StatefulProcessor):
         pass
 
 
-def accepted(spark: SparkSession, folder: str, remember_days: int = REMEMBER_DAYS, **options: int) -> DataFrame:
+def accepted(spark: SparkSession, folder: str, remember_days: int = REMEMBER_DAYS, **options: int | str) -> DataFrame:
     """A stream of FILE rows: each version of each file of a folder, once. A version is new if its time, or at the same time its length,
-    is greater than that of the one accepted before."""
+    is greater than that of the one accepted before. Without the option `listings` each start has a fresh folder for them, in which the last batch's stays."""
     stream_ready(spark)
     spark.dataSource.register(PolledFolder)
-    reader = spark.readStream.format("polled_folder")
+    reader = spark.readStream.format("polled_folder").option("listings", f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}")
     for k, v in options.items():
         reader = reader.option(k, v)
     listed = reader.load(folder)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import pickle
 import time
+import tracemalloc
 
 import pytest
 
@@ -82,6 +84,33 @@ def test_the_reader_goes_on_oldest_first(tmp_path):
     assert batches == [["1.txt", "3.txt", "4.txt"], ["2.txt", "5.txt"], ["0.txt"]]
 
 
+def test_the_driver_holds_no_listing(tmp_path):
+    """What the driver holds doesn't grow with the files; tasks read all of them, also again, until the batch is committed."""
+    folder, listings = tmp_path / "in", tmp_path / "listings"
+    for i in range(5000):
+        write(folder, f"{i % 7}/{i}.md" if i % 3 else f"{i}.md", "x" * (i % 5), 100 + i)
+    write(folder, "_hidden/c.md", "no", 100)
+    (folder / "nothing.md").symlink_to(folder / "gone.md")
+    (folder / "linked.md").symlink_to(folder / "1" / "1.md")
+    reader = polling._Poll({"path": str(folder), "filesPerPartition": 100, "listings": str(listings)})
+    start = reader.initialOffset()
+    reader.latestOffset()
+    tracemalloc.start()
+    end = reader.latestOffset()
+    partitions = reader.partitions(start, end)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 600_000 and max(len(pickle.dumps(p)) for p in partitions) < 500 and len(partitions) == 51
+    names = {(f"{i % 7}/{i}.md" if i % 3 else f"{i}.md"): i for i in range(5000)} | {"linked.md": 1}
+    for _ in range(2):
+        rows = [r for p in partitions for r in polling._Poll({"path": str(folder)}).read(p)]
+        assert sorted(rows) == sorted((f"{folder}/{k}", k, (100 + i) * 1_000_000, i % 5) for k, i in names.items())
+    reader.commit(start)
+    assert len(os.listdir(listings)) == 1
+    polling._Poll({"path": str(folder), "listings": str(listings)}).commit(end)  # after a restart
+    assert os.listdir(listings) == [] and reader.latestOffset() == end
+
+
 def test_index_of_accepted_files(spark, tmp_path, store):
     folder = tmp_path / "in"
     write(folder, "a.md", "alpha beta", 100)
